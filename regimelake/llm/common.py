@@ -18,6 +18,10 @@ SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes of letters and digits, and all beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 #: A-Z to a-z, all other bytes unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -118,9 +122,10 @@ def powers(n: int, base: int) -> np.ndarray:
 class Words:
     """The words of some texts: byte positions, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False, stem: int = 0):
+        """letters: only ASCII letters, digits and bytes beyond ASCII make words. stem: hash so many first bytes as well."""
         data = _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
+        inside = _LETTER[data] if letters else ~_SPACE[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -133,9 +138,11 @@ class Words:
         if len(size):
             where = np.cumsum(size) - size
             at = np.arange(int(size.sum())) - np.repeat(where, size)
-            self.hash = mix(np.add.reduceat(_BYTES[data[inside]] * powers(int(size.max()), int(_BASE))[at], where) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            value = _BYTES[data[inside]] * powers(int(size.max()), int(_BASE))[at]
+            self.hash = mix(np.add.reduceat(value, where) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            self.stem = mix(np.add.reduceat(np.where(at < stem, value, np.uint64(0)), where) + np.uint64(stem)) if stem else None
         else:
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.stem = np.zeros(0, np.uint64)
 
 
 def window_hashes(values: np.ndarray, size: int, key: int = 0) -> np.ndarray:
