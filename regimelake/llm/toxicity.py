@@ -54,14 +54,15 @@ class Model:
         return found, np.where(found, ratio[at] if len(known) else 0.0, 0.0)
 
     def features(self, data, offsets) -> np.ndarray:
-        """Length-normalised evidence of each text: toxic, ordinary, and the toxic part saturated."""
+        """Evidence of each text: the length-normalised toxic part on a log scale, the ordinary part, and how much toxic evidence the mean rests on."""
         words = _words(data, offsets)
         found, ratio = self.look_up(self.words, words.hash)
         ratio = np.where(found, ratio, self.look_up(self.stems, words.stem)[1] if len(words.hash) else 0.0)
         n = np.diff(words.first)
         total = np.vstack([np.zeros((1, 2)), np.cumsum(np.c_[np.maximum(ratio - MILD, 0), np.minimum(ratio + MILD, 0)], axis=0)])
-        mean = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)[:, None]
-        return np.c_[mean, mean[:, 0] / (mean[:, 0] + 0.02), np.ones(len(n))]
+        whole = total[words.first[1:]] - total[words.first[:-1]]
+        mean = whole / np.maximum(n, 1)[:, None]
+        return np.c_[np.log(np.maximum(mean[:, 0], 0) / 0.05 + 0.1), mean[:, 1], np.log1p(np.maximum(whole[:, 0], 0)), np.ones(len(n))]
 
     def scores(self, data, offsets) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(data, offsets) @ self.weights, -30, 30)))
