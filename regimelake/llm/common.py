@@ -160,6 +160,16 @@ def group_of(parts, *columns):
     return F.pmod(F.xxhash64(*columns), F.lit(parts))
 
 
+def likely(rows: DataFrame, keys: DataFrame, column: str, buckets: int = 1 << 20) -> DataFrame:
+    """Rows whose `column` may be among `keys`, before an exact join shuffles them: a filter of `buckets` hash buckets.
+
+    Broadcasts `buckets` numbers at most, whatever the keys; where the keys fill all buckets it lets all rows pass.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+    there = keys.select(bucket.alias("_bucket")).distinct()
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(there), "_bucket", "left_semi").drop("_bucket")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every end of an edge; the component is its smallest id.
 

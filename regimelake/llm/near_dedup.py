@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, group_of, materialize, mix, seeds, small_batches, table, text_slices
+from .common import Words, components, group_of, likely, materialize, mix, seeds, small_batches, table, text_slices
 
 #: A signature has COORDINATES values, each of ROWS minhashes together; pairs that agree in MATCHES go on.
 #: At similarity s one coordinate agrees with probability s**3; at 0.8 a pair has fewer than 4 of 32
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     posted = reps.select("id", F.explode("signature").alias("value"))
     frequent = posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = posted.join(frequent, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values")).filter(F.size("values") >= MATCHES)
-    prefix = kept.select("id", F.explode(F.expr(f"slice(values, 1, size(values) - {MATCHES - 1})")).alias("v")).select("id", "v.value")
+    prefix = materialize(kept.select("id", F.explode(F.expr(f"slice(values, 1, size(values) - {MATCHES - 1})")).alias("v")).select("id", "v.value"))
     lists = prefix.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("n > 1")
     # Lists of the same members say the same: one of them is enough.
     lists = lists.groupBy("n", "who").agg(F.min("value").alias("value"))
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     candidates = components(materialize(joined.unionByName(long_)))
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     clusters = candidates.join(sizes, "component").select("id", F.col("component").alias("cluster"), "members")
-    texts = d.join(clusters, d.doc_id == clusters.id).select("id", "cluster", "members", "text")
+    clusters = materialize(clusters)
+    texts = likely(d.withColumnRenamed("doc_id", "id"), clusters, "id").join(clusters, "id").select("id", "cluster", "members", "text")
     sets = materialize(texts.mapInArrow(lambda it: _sets(it, shingle_words), "id long, cluster long, members long, shingles binary"))
     small = sets.filter(F.col("members") <= BLOCK)
     groups = max(1, sets.count() // 512)
