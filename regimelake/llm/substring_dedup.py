@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, small_batches, table, text_slices, window_hashes
+from .common import Words, likely, materialize, small_batches, table, text_slices, window_hashes
 
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
@@ -138,7 +138,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     first = materialize(d.mapInArrow(lambda it: _first_level(it, window), "key long, doc_id long, n_words long, whole_sha256 string, anchors array<long>, places array<int>"))
     anchors = first.filter("doc_id is not null and size(anchors) > 0").select("key", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("key", "doc_id", F.col("x.anchors").alias("hash"), F.col("x.places").alias("place"))
     hot = _shared(anchors, ["hash"]).groupBy("key").agg(F.collect_set("place").alias("hot"))
-    some = materialize(d.join(hot, "key"))
+    hot = materialize(hot)
+    some = materialize(likely(d, hot, "key").join(hot, "key"))
     second = some.mapInArrow(lambda it: _second_level(it, window), "key long, doc_id long, hashes array<long>, places array<int>")
     halves = materialize(second.select("key", "doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")))
     grouped = _shared(halves, ["hash"]).groupBy("key", "doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("halves"))
