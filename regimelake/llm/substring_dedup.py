@@ -57,40 +57,30 @@ def _first_level(batches, window: int):
             })
 
 
-def _second_level(batches, window: int):
-    """Half-length windows of full windows whose anchor another document has too."""
+def _next_level(batches, window: int, last: bool):
+    """Windows whose base anchor survived, extended to twice its length.
+
+    Below the full window they are again sampled to anchors; full windows all go on, each named by the
+    hashes of its two halves.
+    """
     base, half, _ = levels(window)
+    shorter = half if last else base
     for batch in batches:
         for rows, data, offsets in text_slices([batch], "text"):
             words = Words(data, offsets)
-            grams, halves = window_hashes(words.hash, base), window_hashes(words.hash, half)
-            found, places = [], []
+            halves = window_hashes(words.hash, half)
+            grams = halves if last else window_hashes(words.hash, base)
+            first, second, places = [], [], []
             for i, hot in enumerate(rows.column("hot").to_pylist()):
                 a, b = int(words.first[i]), int(words.first[i + 1])
-                at = minimal_places(grams[a : b - base + 1], window - base + 1)
+                at = minimal_places(grams[a : b - shorter + 1], window - shorter + 1)
                 ok = np.flatnonzero(np.isin(at, np.array(hot, np.int64)))
-                need = np.unique(np.r_[ok, ok + window - half])
-                found.append(halves[a + need].view(np.int64))
-                places.append(need.astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"key": rows.column("key"), "doc_id": rows.column("doc_id"), "hashes": _slice(found, LONGS), "places": _slice(places, INTS)})
-
-
-def _last_level(batches, window: int):
-    """Full windows both of whose halves are repeated, named by the hashes of their halves."""
-    shift = window - levels(window)[1]
-    for batch in batches:
-        first, second, places = [], [], []
-        for rows in batch.column("halves").to_pylist():
-            pos = np.array([r["place"] for r in rows], np.int64)
-            value = np.array([r["hash"] for r in rows], np.int64)
-            order = np.unique(pos, return_index=True)[1]
-            pos, value = pos[order], value[order]
-            other = np.minimum(np.searchsorted(pos, pos + shift), len(pos) - 1)
-            both = pos[other] == pos + shift
-            first.append(value[both])
-            second.append(value[other[both]])
-            places.append(pos[both].astype(np.int32))
-        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "first": _slice(first, LONGS), "second": _slice(second, LONGS), "places": _slice(places, INTS)})
+                if not last:
+                    ok = np.unique(minimal_places(halves[a : b - half + 1], window - half + 1)[ok])
+                first.append(halves[a + ok].view(np.int64))
+                second.append((halves[a + ok + window - half] if last else halves[a + ok]).view(np.int64))
+                places.append(ok.astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"key": rows.column("key"), "doc_id": rows.column("doc_id"), "first": _slice(first, LONGS), "second": _slice(second, LONGS), "places": _slice(places, INTS)})
 
 
 def _spans(batches, window: int):
@@ -129,25 +119,36 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     both are one document, and rows that share only the doc_id keep their own cuts; equal doc_ids never
     count as smaller. Rows of null doc_id take no part and lose nothing; a null text has no words.
 
-    The levels: base windows (13 words of 50) are sampled where their hash is the smallest within a
-    full window, so that equal windows sample equal anchors, and posted; only anchors of two documents
-    survive. A full window whose anchor survives is extended to half windows (25), the repeated ones pairwise to full windows. Each level is one aggregation with map-side combining
-    and one join that Spark can split by skew; a text is shuffled once, where it has a shared anchor.
+    Documents of equal words are one from the start: all but the smallest doc_id lose all their words
+    if they have a full window, and only that one is searched. The levels: base windows (13 words of 50)
+    are sampled where their hash is the smallest within a full window, so that equal windows sample
+    equal anchors, and posted; only anchors of two documents survive. Full windows with such an anchor
+    are extended to half windows (25), sampled in the same way, and where those are repeated to full
+    windows, named by 128 bits. Each level is one aggregation with map-side combining and one join that
+    Spark can split by skew; only texts that may hold a shared anchor are shuffled.
     """
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialize(d.mapInArrow(lambda it: _first_level(it, window), "key long, doc_id long, n_words long, whole_sha256 string, anchors array<long>, places array<int>"))
-    anchors = first.filter("doc_id is not null and size(anchors) > 0").select("key", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("key", "doc_id", F.col("x.anchors").alias("hash"), F.col("x.places").alias("place"))
-    hot = _shared(anchors, ["hash"]).groupBy("key").agg(F.collect_set("place").alias("hot"))
-    hot = materialize(hot)
+    long_ = first.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
+    copies = materialize(_shared(long_.select("key", "doc_id", "n_words", "whole_sha256"), ["whole_sha256"]).filter("least < doc_id").select("key", F.col("n_words").alias("n_removed")).distinct())
+    single = long_.select("key", "doc_id", "anchors", "places").join(copies.select("key"), "key", "left_anti")
+    anchors = single.select("key", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("key", "doc_id", F.col("x.anchors").alias("hash"), F.col("x.places").alias("place"))
+    hot = materialize(_shared(materialize(anchors), ["hash"]).groupBy("key").agg(F.collect_set("place").alias("hot")))
     some = materialize(likely(d, hot, "key").join(hot, "key"))
-    second = some.mapInArrow(lambda it: _second_level(it, window), "key long, doc_id long, hashes array<long>, places array<int>")
-    halves = materialize(second.select("key", "doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place")))
-    grouped = _shared(halves, ["hash"]).groupBy("key", "doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("halves"))
-    full = grouped.mapInArrow(lambda it: _last_level(it, window), "key long, doc_id long, first array<long>, second array<long>, places array<int>")
-    full = materialize(full.select("key", "doc_id", F.explode(F.arrays_zip("first", "second", "places")).alias("x")).select("key", "doc_id", F.col("x.first").alias("first"), F.col("x.second").alias("second"), F.col("x.places").alias("place")))
+    level = materialize(_windows(some, window, False))
+    hot = _shared(level, ["first"]).groupBy("key").agg(F.collect_set("place").alias("hot"))
+    some = some.drop("hot")
+    full = materialize(_windows(some.join(hot, "key"), window, True))
     starts = _shared(full, ["first", "second"]).filter("least < doc_id").groupBy("key").agg(F.collect_set("place").alias("starts"))
     cuts = some.select("key", "text").join(starts, "key").mapInArrow(lambda it: _spans(it, window), "key long, n_removed long, kept string, removed array<int>")
-    return first.select("key", "doc_id", "n_words", "whole_sha256"), materialize(cuts.dropDuplicates(["key"]))
+    whole = copies.select("key", "n_removed", F.lit("").alias("kept"), F.array(F.lit(0), F.col("n_removed").cast("int")).alias("removed"))
+    return first.select("key", "doc_id", "n_words", "whole_sha256"), materialize(cuts.dropDuplicates(["key"]).unionByName(whole))
+
+
+def _windows(texts: DataFrame, window: int, last: bool) -> DataFrame:
+    rows = texts.select("key", "doc_id", "text", "hot").mapInArrow(lambda it: _next_level(it, window, last), "key long, doc_id long, first array<long>, second array<long>, places array<int>")
+    x = rows.select("key", "doc_id", F.explode(F.arrays_zip("first", "second", "places")).alias("x"))
+    return x.select("key", "doc_id", F.col("x.first").alias("first"), F.col("x.places").alias("place"), *([F.col("x.second").alias("second")] if last else []))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
