@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at most, unless a single row is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Bytes between words: space, tab to carriage return.
 _SPACE = np.zeros(256, bool)

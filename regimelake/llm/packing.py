@@ -155,7 +155,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1
 
     def run(batches):
         for batch in batches:
-            for part in parts_of(batch, text, 1 << 22):
+            for part in parts_of(batch, text, 1 << 20):
                 rows = []
                 for k, found in zip(part.column(key).to_pylist(), token_bytes(path, part.column(text).to_pylist()), strict=True):
                     found += last
