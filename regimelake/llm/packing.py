@@ -123,10 +123,20 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, per_pa
 
 @functools.lru_cache(maxsize=2)
 def _tokens(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return Chunks(lambda words: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+
+    def solve(words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 2000):  # few of the library's result objects at a time
+            out += [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
+        return out
+
+    return Chunks(solve)
 
 
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
