@@ -136,7 +136,7 @@ def _tokens(path: str):
             out += [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
         return out
 
-    return Chunks(solve)
+    return Chunks(solve, 400_000)
 
 
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
@@ -165,7 +165,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1
 
     def run(batches):
         for batch in batches:
-            for part in parts_of(batch, text, 1 << 20):
+            for part in parts_of(batch, text, 1 << 22):
                 rows = []
                 for k, found in zip(part.column(key).to_pylist(), token_bytes(path, part.column(text).to_pylist()), strict=True):
                     found += last
