@@ -1,4 +1,215 @@
-"""All queries of the regime operators and their SQL."""
+"""Queries of the chain-regime operators over the test tables, and the SQL that they are compared with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.ema import ema
+from .operators import regimes as R
+from .operators import windows as W
+from .plans import composite as C
+from .plans import sweeps as S
+from .sources import views as V
+
+PHI, SLOT_PHI = 10, 10
+_TWO = {"s2": 1.12, "sigma": 1.10, "size": 1.20, "tx": 1.10, "need": 2}
+
+
+def _inv(s: SparkSession, d: str, by_type: bool = False) -> DataFrame:
+    return W.trim_edges(W.invariants(W.count_windows(V.blocks(s, d, by_type), PHI), PHI))
+
+
+def _scored(s, d):
+    return R.classify(R.ratios(_inv(s, d)), **_TWO)
+
+
+def _slot_windows(s, d):
+    w = W.slot_invariants(W.key_windows(V.slots(s, d), SLOT_PHI), SLOT_PHI)
+    return W.trim_edges(w).drop("idx")
+
+
+def _slot_scored(s, d):
+    return R.classify_slots(R.slot_scores(W.gap_fill(_slot_windows(s, d))))
+
+
+def _layer(s, d, kind=None):
+    b = V.blocks(s, d)
+    return b.filter(F.col("event_type") == kind) if kind else b
+
+
+def _bridge(s, d):
+    return C.bridge_layer(W.hours(_layer(s, d)), _layer(s, d, "purchase"))
+
+
+def _composite(s, d):
+    return C.composite(C.base_layer(_layer(s, d)), _bridge(s, d), C.rollup_layer(_layer(s, d, "click")))
+
+
+def _r(*names, digits=6):
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+def _grid(s, rows):
+    return s.createDataFrame([tuple(map(float, r)) for r in rows], "s2 double, d2_sigma double, d2_size double, d2_tx double")
+
+
+_NEVER = 1e9
+S2_VALUES = (1.05, 1.08, 1.10, 1.12, 1.15, 1.18, 1.20, 1.25)
+D2_VALUES = (1.02, 1.03, 1.05, 1.08, 1.10, 1.12, 1.15, 1.20)
+SIZE_VALUES = TX_VALUES = (1.05, 1.10, 1.15, 1.20, 1.25)
+CUBE = (1.05, 1.10, 1.15, 1.20, 1.25, 1.30, 1.40)
+SLOT_VALUES = (1.01, 1.03, 1.05, 1.08, 1.10, 1.12, 1.15, 1.18, 1.20, 1.25, 1.30)
+CONTINUITY = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+GRIDS = {
+    "sweep_s2": ([(x, 1.05, _NEVER, _NEVER) for x in S2_VALUES], 1),
+    "sweep_d2": ([(1.12, x, _NEVER, _NEVER) for x in D2_VALUES], 1),
+    "sweep_grid2d": ([(1.12, 1.10, x, y) for x in SIZE_VALUES for y in TX_VALUES], 2),
+    "sweep_pol_s2": ([(x, 1.14, 1.18, 1.23) for x in (1.02, 1.03, 1.04, 1.05, 1.06, 1.08, 1.10, 1.12, 1.15, 1.18, 1.20)], 2),
+    "sweep_grid3d": ([(1.04, x, y, z) for x in CUBE for y in CUBE for z in CUBE], 2),
+}
+SLOT_GRIDS = {"sweep_slot_a": [(x, 0.5) for x in SLOT_VALUES], "sweep_slot_b": [(1.12, x) for x in CONTINUITY]}
+
+
+def _sweep(name):
+    rows, need = GRIDS[name]
+    return lambda s, d: S.sweep(R.ratios(_inv(s, d)), _grid(s, rows), V.incidents(s), need)
+
+
+def _slot_sweep(name):
+    return lambda s, d: S.sweep_slots(R.slot_scores(W.gap_fill(_slot_windows(s, d))), s.createDataFrame([tuple(map(float, r)) for r in SLOT_GRIDS[name]], "s2 double, continuity double"), V.incidents(s))
+
+
+def _emas(s, d, alpha):
+    return ema(_inv(s, d), {"e_rho": ("rho_ts", alpha), "e_sigma": ("rho_s", alpha)}).select("idx", *_r("e_rho", "e_sigma"))
+
+
+def _adapter(s, d):
+    """Hourly publication: age of the last batch, and its blobs as bytes and as a share of six."""
+    h = C.last_batch(W.hours(_layer(s, d)), _layer(s, d, "purchase"))
+    n = _layer(s, d, "purchase").groupBy(F.expr(f"us div {W.HOUR}").alias("hour")).agg(F.count(F.lit(1)).alias("blobs"))
+    return h.join(n, "hour", "left").select("hour", F.round(((F.col("hour") + 1) * W.HOUR - F.col("last_us")) / 1e6, 3).alias("publish_latency"), F.coalesce(F.col("blobs") * 131072, F.lit(0)).alias("calldata_bytes"), F.round(F.coalesce(F.col("blobs"), F.lit(0)) / 6, 6).alias("blob_usage"))
+
+
+def _derived(s, d, value, clamp):
+    w = _inv(s, d).withColumn("x", value)
+    ratio = F.try_divide(F.col("x"), F.col("e"))
+    return ema(w, {"e": ("x", R.FAST)}).select("idx", F.round(F.greatest(F.lit(0.01), F.least(F.lit(20.0), ratio)) if clamp else F.coalesce(ratio, F.lit(1.0)), 6).alias("ratio"))
+
+
+def _reset(s, d):
+    """Baselines begin anew at every epoch of 100 windows."""
+    w = _inv(s, d).withColumn("epoch", F.expr("idx div 100")).withColumn("key", F.concat_ws("/", "chain", F.col("epoch").cast("string"))).withColumn("at", F.expr("idx % 100"))
+    return ema(w, {"e": ("rho_ts", R.FAST)}, part="key", order="at").select("idx", "epoch", *_r("e"))
+
+
+def _per_chain(s, d):
+    """Chain thresholds from a parameter table, one row a chain."""
+    params = s.createDataFrame([("click", 1.10, 1.10), ("purchase", 1.15, None), ("error", 1.12, 1.05)], "chain string, p_s2 double, p_sigma double")
+    w = R.ratios(_inv(s, d, True), warm_up=5).join(F.broadcast(params), "chain")
+    return R.classify(w, F.col("p_s2"), F.col("p_sigma")).select("chain", "idx", "state")
+
+
+def _d2_percent(s, d):
+    w = R.ratios(_inv(s, d, True), warm_up=5).filter("sigma is not null")
+    q = [F.round(F.percentile("sigma", p), 6).alias(f"p{int(p * 100)}") for p in (0.90, 0.95, 0.97)]
+    return w.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.count_if(F.col("sigma") >= 1.10) / F.count(F.lit(1)), 4).alias("d2_percent"), F.round(F.avg("sigma"), 6).alias("avg_sigma"), *q)
+
+
+def _profile(s, d):
+    w = R.normal(_scored(s, d), V.incidents(s))
+    q = [F.round(F.percentile("rhythm", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.85, 0.90, 0.95, 0.99)]
+    return w.agg(F.count("rhythm").alias("n"), F.round(F.avg("rhythm"), 6).alias("avg"), F.round(F.stddev_samp("rhythm"), 6).alias("std"), *q, F.round(F.stddev_samp("rhythm") / F.avg("rhythm"), 6).alias("cv"), F.round(F.percentile("rhythm", 0.99) / F.percentile("rhythm", 0.5), 6).alias("p99_p50"))
+
+
+def _hash(s, d):
+    b = W.count_windows(V.blocks(s, d), PHI)
+    h = b.withColumn("h", F.sha2(F.concat_ws(":", "chain", "number", "us", "tx"), 256))
+    return h.groupBy("window_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "h"))), lambda x: x["h"]), ""), 256).alias("batch_hash"))
+
+
+def _bridge_grid(s, d):
+    """Latency and backlog flags of the bridge: gap over 1.5 times its mean, hourly batches under half theirs."""
+    g = C.batch_gaps(_layer(s, d, "purchase")).groupBy(F.expr(f"us div {W.HOUR}").alias("hour")).agg(F.avg("gap").alias("gap"), F.count(F.lit(1)).alias("n"))
+    m = g.agg(F.avg("gap").alias("mg"), F.avg("n").alias("mn"))
+    return g.crossJoin(m).select("hour", F.concat(F.when(F.coalesce(F.col("gap") > 1.5 * F.col("mg"), F.lit(False)), "BS2").otherwise("BS1"), F.when(F.col("n") < 0.5 * F.col("mn"), "L2").otherwise("L1")).alias("state"))  # one row of means
+
+
+def _causal(s, d):
+    """What the two layers' states mean together, from a lookup of five rows with a wildcard."""
+    grid = s.createDataFrame([("S1D1", "BS1", "nominal"), ("S1D1", "BS2", "bridge fault"), ("S2D1", "BS2", "base layer delays the bridge"), ("S2D2", "BS2", "congestion on both"), (None, "BS1", "base layer only")], "l1 string, bs string, reading string")
+    c = _composite(s, d).select("hour", "l1_state", "bs")
+    exact, wild = grid.filter("l1 is not null"), grid.filter("l1 is null").select(F.col("bs").alias("wbs"), F.col("reading").alias("wild"))
+    j = c.join(F.broadcast(exact), (c.l1_state == exact.l1) & (c.bs == exact.bs), "left").select("hour", "l1_state", c.bs, "reading")
+    return j.join(F.broadcast(wild), F.col("bs") == F.col("wbs"), "left").select("hour", F.coalesce("reading", "wild", F.lit("unnamed")).alias("reading"))
+
+
+def _confidence(s, d):
+    sc, e = _scored(s, d), V.incidents(s)
+    t = R.detect(sc, e).agg(F.avg(F.col("tp").cast("double")).alias("tpr"), F.count(F.lit(1)).alias("n"))
+    f = R.false_positive_rate(sc, e)
+    return t.crossJoin(f).select(F.round("tpr", 6).alias("tpr"), "fpr", F.when((F.col("tpr") >= 0.8) & (F.col("fpr") <= 0.1) & (F.col("n") >= 3), "HIGH").when(F.col("tpr") >= 0.5, "MEDIUM").otherwise("LOW").alias("level"))  # two single rows
+
+
+def _incidents_of(s, d, rows):
+    return R.in_incident(rows, V.incidents(s))
+
+
+QUERIES = {
+    "row_windows": lambda s, d: W.count_windows(V.blocks(s, d), PHI).select("number", "window_id"),
+    "slot_windows": lambda s, d: W.key_windows(V.slots(s, d), SLOT_PHI).select("slot", "window_id"),
+    "hour_windows": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", "block_count", *_r("size_avg", "tx_avg", "gas_avg")),
+    "interblock_interval": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", *_r("interval")),
+    "invariants": lambda s, d: W.invariants(W.count_windows(V.blocks(s, d), PHI), PHI).select("window_id", "block_count", "first_block", "last_block", "rho_ts", *_r("rho_s", digits=4), "c_s"),
+    "trim_edges": lambda s, d: _inv(s, d).select("idx", "window_id"),
+    "gap_fill": lambda s, d: W.gap_fill(_slot_windows(s, d)).select("idx", "window_id", "block_count", "rho_ts", "c_s", "start_us"),
+    "ema_fast": lambda s, d: _emas(s, d, R.FAST),
+    "ema_slow": lambda s, d: _emas(s, d, R.SLOW),
+    "ema_nullsafe": lambda s, d: ema(W.gap_fill(_slot_windows(s, d), fill=False), {"e": ("rho_ts", R.FAST)}, first=1.0).select("idx", *_r("e")),
+    "ema_lagged": lambda s, d: R.hourly_ratio(W.hours(_layer(s, d, "purchase")), {"ratio": "size_avg"}).select("hour", *_r("ratio")),
+    "ema_reset": _reset,
+    "ratios": lambda s, d: R.ratios(_inv(s, d)).select("idx", *_r("rhythm", "sigma", "size_r", "tx_r")),
+    "warmup_null": lambda s, d: R.ratios(_inv(s, d)).agg(F.count_if(F.col("rhythm").isNull()).alias("n_null"), F.min(F.when(F.col("rhythm").isNotNull(), F.col("idx"))).alias("first_idx")),
+    "slow_drift": lambda s, d: R.ratios(_inv(s, d), alpha=R.SLOW).select("idx", *_r("rhythm")),
+    "complexity_ratio": lambda s, d: _derived(s, d, F.try_divide("size_avg", "tx_count_avg"), True),
+    "gas_complexity_ratio": lambda s, d: _derived(s, d, F.col("gas_used_avg") / F.nullif("tx_count_avg", F.lit(0.0)), False),
+    "adapter_signals": _adapter,
+    "classify_1d": lambda s, d: R.classify(R.ratios(_inv(s, d))).select("idx", "state"),
+    "classify_2of3": lambda s, d: _scored(s, d).select("idx", "d2_dims", "state"),
+    "classify_slot": lambda s, d: _slot_scored(s, d).select("idx", *_r("rhythm"), "state"),
+    "classify_l1_hour": lambda s, d: C.base_layer(_layer(s, d)).select("hour", *_r("interval_r", "sigma"), "l1_state"),
+    "classify_l2_hour": lambda s, d: C.rollup_layer(_layer(s, d, "click")).select("hour", *_r("count_r", "sigma"), "l2_state"),
+    "bridge_intervals": lambda s, d: C.batch_gaps(_layer(s, d, "purchase")).select("number", *_r("gap")),
+    "asof_last_blob": lambda s, d: C.last_batch(W.hours(_layer(s, d)), _layer(s, d, "purchase")).select("hour", "last_us"),
+    "bridge_bs": lambda s, d: _bridge(s, d).select("hour", *_r("age_min", "baseline"), "bs"),
+    "bridge_grid": _bridge_grid,
+    "composite": _composite,
+    "composite_summary": lambda s, d: _composite(s, d).agg(F.count(F.lit(1)).alias("hours"), F.count_if(F.col("bs") == "BS2").alias("bs2"), F.count_if(F.col("signal") == "MULTI_LAYER").alias("multi"), F.count_if("alert").alias("alerts"), F.count_if("fee_visible").alias("fee")),
+    "first_alert": lambda s, d: _composite(s, d).filter("alert").agg(F.min("hour").alias("hour"), F.min_by("signal", "hour").alias("signal")),
+    "causal_grid": _causal,
+    "event_window": lambda s, d: _incidents_of(s, d, _scored(s, d)).groupBy("event").agg(F.count(F.lit(1)).alias("n")),
+    "event_join": lambda s, d: _incidents_of(s, d, _scored(s, d)).select("event", "idx", "state"),
+    "normal_windows": lambda s, d: R.normal(_scored(s, d), V.incidents(s)).select("idx", "state"),
+    "state_distribution": lambda s, d: _scored(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+    "fpr": lambda s, d: R.false_positive_rate(_scored(s, d), V.incidents(s)),
+    "event_detection": lambda s, d: R.detect(_scored(s, d), V.incidents(s)),
+    "tpr": lambda s, d: R.detect(_scored(s, d), V.incidents(s)).agg(F.round(F.avg(F.col("tp").cast("double")), 6).alias("tpr")),
+    "quantiles_normal": lambda s, d: R.normal(_scored(s, d), V.incidents(s)).agg(*[F.round(F.percentile(c, p), 6).alias(f"{c}_p{int(p * 100)}") for c in ("rhythm", "sigma") for p in (0.1, 0.5, 0.9, 0.95, 0.99)]),
+    "m1": lambda s, d: R.stability(_scored(s, d), V.incidents(s), "rhythm"),
+    "m1_level": lambda s, d: R.stability(_scored(s, d), V.incidents(s), "sigma").select("signal", "level"),
+    "signal_profile": _profile,
+    "confidence_level": _confidence,
+    "histogram": lambda s, d: _scored(s, d).filter("rhythm is not null").groupBy(F.width_bucket("rhythm", F.lit(0.0), F.lit(3.0), F.lit(100)).alias("bin")).agg(F.count(F.lit(1)).alias("n")),
+    "l2_state_per_chain": _per_chain,
+    "l2_d2_percent": _d2_percent,
+    "calibrate_p97": lambda s, d: R.ratios(_inv(s, d, True), warm_up=5).groupBy("chain").agg(F.round(F.percentile("sigma", 0.97), 6).alias("threshold")),
+    "l0_hash": _hash,
+    **{n: _sweep(n) for n in GRIDS},
+    **{n: _slot_sweep(n) for n in SLOT_GRIDS},
+    "sweep_union": lambda s, d: _slot_sweep("sweep_slot_a")(s, d).withColumn("phase", F.lit("A")).unionByName(_slot_sweep("sweep_slot_b")(s, d).drop("n_d2").withColumn("phase", F.lit("B")), allowMissingColumns=True),
+    "pivot_fpr": lambda s, d: _sweep("sweep_grid2d")(s, d).groupBy("d2_size").pivot("d2_tx", list(TX_VALUES)).agg(F.first("fpr")).select("d2_size", *[F.col(f"`{v}`").alias(f"tx_{round(v * 100)}") for v in TX_VALUES]),
+    "highest_full_tpr": lambda s, d: _sweep("sweep_s2")(s, d).agg(F.max(F.when(F.col("n_detected") == len(V.EVENTS), F.col("s2"))).alias("s2")),
+    "select_threshold": lambda s, d: S.select_threshold(_sweep("sweep_pol_s2")(s, d), len(V.EVENTS)),
+}
+
+from .oracles import ORACLE_SQL  # noqa: E402, F401  (its grids come from above)
