@@ -22,18 +22,25 @@ def key_windows(slots: DataFrame, phi: int) -> DataFrame:
 
 
 def invariants(windowed: DataFrame, phi: int) -> DataFrame:
-    """One row for each window of two blocks or more: times, block numbers, cadence, saturation, means, continuity."""
+    """One row for each window of two blocks or more: times, block numbers, cadence, saturation, means, continuity.
+
+    Values stay unrounded; `published` rounds them as they are exported.
+    """
     w = windowed.groupBy("chain", "window_id").agg(
         F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("block_count"), F.min("number").alias("first_block"), F.max("number").alias("last_block"),
         F.avg(F.try_divide("gas_used", "gas_limit")).alias("rho_s"), F.avg("size").alias("size_avg"), F.avg("tx").alias("tx_count_avg"), F.avg("gas_used").alias("gas_used_avg"),
     ).filter("block_count >= 2")
     return w.select(
         "chain", "window_id", "start_us", "end_us", "block_count", "first_block", "last_block",
-        F.round(F.expr("((end_us - start_us) div 1000) / 1000D / (block_count - 1)"), 6).alias("rho_ts"), F.round("rho_s", 6).alias("rho_s"),
-        F.round("size_avg", 2).alias("size_avg"), F.round("tx_count_avg", 4).alias("tx_count_avg"), F.round("gas_used_avg", 4).alias("gas_used_avg"), (F.col("block_count") / phi).alias("c_s"),
+        F.expr("((end_us - start_us) div 1000) / 1000D / (block_count - 1)").alias("rho_ts"), "rho_s", "size_avg", "tx_count_avg", "gas_used_avg", (F.col("block_count") / phi).alias("c_s"),
     )
 
 
+def published(windows: DataFrame) -> DataFrame:
+    """Windows with the digits of the exported tables: cadence and saturation 6, size 2, transactions 4."""
+    return windows.withColumns({c: F.round(c, n) for c, n in (("rho_ts", 6), ("rho_s", 6), ("size_avg", 2), ("tx_count_avg", 4))})
+
+
 def trim_edges(windows: DataFrame) -> DataFrame:
     """Without each chain's first and last window, which may be partial; idx renumbers the rest from 0."""
     ends = windows.groupBy("chain").agg(F.min("window_id").alias("_low"), F.max("window_id").alias("_high"))

@@ -160,7 +160,7 @@ QUERIES = {
     "slot_windows": lambda s, d: W.key_windows(V.slots(s, d), SLOT_PHI).select("slot", "window_id"),
     "hour_windows": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", "block_count", *_r("size_avg", "tx_avg", "gas_avg")),
     "interblock_interval": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", *_r("interval")),
-    "invariants": lambda s, d: W.invariants(W.count_windows(V.blocks(s, d), PHI), PHI).select("window_id", "block_count", "first_block", "last_block", "rho_ts", *_r("rho_s", digits=4), "c_s"),
+    "invariants": lambda s, d: W.invariants(W.count_windows(V.blocks(s, d), PHI), PHI).select("window_id", "block_count", "first_block", "last_block", *_r("rho_ts", "rho_s"), "c_s"),
     "trim_edges": lambda s, d: _inv(s, d).select("idx", "window_id"),
     "gap_fill": lambda s, d: W.gap_fill(_slot_windows(s, d)).select("idx", "window_id", "block_count", "rho_ts", "c_s", "start_us"),
     "ema_fast": lambda s, d: _emas(s, d, R.FAST),
