@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Distinct chunks that a worker remembers; further ones are worked out anew in each batch.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 #: White space other than spaces and line feeds; zero marks keys.
 _ODD = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
