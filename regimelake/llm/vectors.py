@@ -12,6 +12,9 @@ from .common import group_of, materialize, table
 #: Queries and candidates that one task holds.
 QUERY_BLOCK, BLOCK = 1024, 8192
 
+#: Sorted lists are first read to one part in so many, then twice as far each time; queries of one product.
+FIRST, QUERIES_AT_ONCE = 4, 256
+
 
 def _finite(rows: DataFrame, id_: str, vector: str, zero: bool) -> DataFrame:
     """(id, v as doubles) of the rows with an id and finite components, and if asked not all zero."""
@@ -35,47 +38,62 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class SortedLists:
-    """A block of candidates as one sorted list of (value, place) for each dimension."""
+    """A block of candidates with each one's place in the sorted list of every dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        n = len(vectors)
         self.ids, self.vectors = ids, vectors
-        self.up = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(vectors.T, self.up, 1)
+        up = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, up, 0)
+        self.place = np.empty(vectors.shape, np.int32)
+        np.put_along_axis(self.place, up, np.arange(n, dtype=np.int32)[:, None], 0)
+
+    def prefix(self, read: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """After `read` entries of every list from both ends: the components read (0 where not), which are unread, and the last values read."""
+        n = len(self.vectors)
+        seen = np.hstack([self.place >= n - read, self.place < read])
+        return np.where(seen, np.hstack([self.vectors, self.vectors]), 0).astype(kind), (~seen).astype(kind), self.sorted[n - read], self.sorted[read - 1]
 
-    def top(self, query: np.ndarray, own: int, k: int):
-        """The k best by inner product, by reading every list from its best end in step.
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int):
+        """For each query (place, ids, scores): the k best by inner product, by reading every list from its best end in step.
 
         After r entries of every list an unseen component adds its list's last seen contribution at most
         and its far end's at least, which bounds every score from above and below. Candidates whose
         upper bound is under the k-th lower bound, and all unseen ones with them, cannot qualify; when
-        few are left, or all is read, their final scores are resolved.
+        few are left, or all is read, their final scores are resolved. A step of all queries is three
+        products of matrices: positive components read lists from the top, negative ones from the bottom.
         """
-        n, dims = self.vectors.shape
-        use = np.flatnonzero(query)
-        down = query[use] > 0
-        worst = np.where(down, self.sorted[use, 0], self.sorted[use, -1]) * query[use]
-        lower = np.full(n, worst.sum())
-        seen = np.zeros((n, len(use)), bool)
-        allowed = self.ids != own
-        read, left = 0, np.flatnonzero(allowed)
-        step = max(k, n // 8)
-        while read < n and len(left) > max(4 * k, n // 16) and len(use):
-            upto = min(n, read + step)
-            rows = np.where(down[:, None], np.arange(n - 1 - read, n - 1 - upto, -1), np.arange(read, upto))
-            at, value = self.up[use[:, None], rows], self.sorted[use[:, None], rows]
-            gain = value * query[use, None]
-            lower += np.bincount(at.ravel(), (gain - worst[:, None]).ravel(), n)
-            seen[at.ravel(), np.repeat(np.arange(len(use)), upto - read)] = True
-            frontier = gain[:, -1]
-            read = upto
-            upper = lower[left] + (~seen[left]).astype(np.float32) @ (frontier - worst).astype(np.float32)
-            pool = lower[left]
-            if len(left) > k:
-                bar = np.partition(pool, len(pool) - k)[len(pool) - k]
-                left = left[upper * (1 + 1e-5 * np.sign(upper)) + 1e-3 >= bar]
-        scores = self.vectors[left] @ query
-        best = _top(self.ids[left], scores, k)
-        return self.ids[left][best], scores[best]
+        n = len(self.vectors)
+        # Whole numbers whose sums stay under 2**24 are exact in single precision.
+        reach = np.abs(self.vectors).max(initial=0) * np.abs(queries).sum(1).max(initial=0)
+        kind = np.float32 if reach < 1 << 23 else np.float64
+        signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+        worst = (signed * np.r_[self.sorted[0], self.sorted[-1]]).astype(kind)
+        out, todo, read = [], np.arange(len(queries)), max(1, min(n, max(k, n // FIRST)))
+        while len(todo):
+            values, unseen, high, low = self.prefix(read, kind)
+            best = (signed * np.r_[high, low]).astype(kind)
+            more = []
+            for at in range(0, len(todo), QUERIES_AT_ONCE):
+                some = todo[at : at + QUERIES_AT_ONCE]
+                known = signed[some].astype(kind) @ values.T
+                lower = known + worst[some] @ unseen.T
+                mine = own[some, None] == self.ids[None, :]
+                lower[mine] = -np.inf
+                bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf, kind)
+                known += best[some] @ unseen.T
+                left = (known >= bar[:, None]) & ~mine
+                few = left.sum(1) <= max(4 * k, n // 16)
+                for i, q in enumerate(some.tolist()):
+                    if few[i] or read == n:
+                        who = np.flatnonzero(left[i])
+                        scores = self.vectors[who] @ queries[q]
+                        chosen = _top(self.ids[who], scores, k)
+                        out.append((q, self.ids[who][chosen], scores[chosen]))
+                    else:
+                        more.append(q)
+            todo, read = np.array(more, np.int64), min(n, 2 * read)
+        return out
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -100,14 +118,16 @@ def _in_blocks(q: DataFrame, c: DataFrame, run, kind: str) -> DataFrame:
 
 
 def _nra(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = []
+    found = []
+    length = left["v"].map(len)
     for dims, part in right.groupby(right["v"].map(len), sort=False):
-        block = SortedLists(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
-        for own, query in zip(left["id"], left["v"], strict=True):
-            if len(query) == dims:
-                ids, scores = block.top(np.asarray(query, np.float64), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores.astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        mine = left[length == dims]
+        if len(mine):
+            own = mine["id"].to_numpy(np.int64)
+            block = SortedLists(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
+            found += [(own[q], ids, scores) for q, ids, scores in block.top(np.stack(mine["v"].to_numpy()).astype(np.float64), own, k)]
+    query, ids, scores = (np.concatenate([np.zeros(0), *x]).astype(np.int64) for x in ([np.full(len(i), q) for q, i, _ in found], [i for _, i, _ in found], [s for _, _, s in found]))
+    return pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores})
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
