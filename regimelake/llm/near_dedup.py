@@ -18,6 +18,9 @@ COORDINATES, ROWS, MATCHES = 32, 3, 4
 #: Members of a posting list, or of a candidate cluster, that one task compares at a time.
 BLOCK = 2048
 
+#: Rows of short posting lists that one group compares.
+LISTED = 16384
+
 
 def shingles(words: Words, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of `size` words; of all its words, if it has fewer; none without words."""
@@ -78,9 +81,8 @@ def _root(parent: dict, x):
     return x
 
 
-def _span(pairs, ids) -> list[tuple[int, int]]:
-    """A forest with the same components as the pairs (of places in ids)."""
-    parent: dict[int, int] = {}
+def _grow(parent: dict[int, int], pairs) -> list[tuple[int, int]]:
+    """The pairs that join two trees of the forest `parent`, which grows by them."""
     out = []
     for i, j in pairs:
         parent.setdefault(i, i)
@@ -88,10 +90,15 @@ def _span(pairs, ids) -> list[tuple[int, int]]:
         a, b = _root(parent, i), _root(parent, j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(ids[i]), int(ids[j])))
+            out.append((i, j))
     return out
 
 
+def _span(pairs, ids) -> list[tuple[int, int]]:
+    """A forest with the same components as the pairs (of places in ids)."""
+    return [(int(ids[i]), int(ids[j])) for i, j in _grow({}, pairs)]
+
+
 def _agreeing(key, rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs within a part of a long posting list that agree in MATCHES coordinates, as a spanning forest."""
     ids = rows["id"].to_numpy()
@@ -109,6 +116,37 @@ def _agreeing(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(_span(pairs, ids), columns=["a", "b"], dtype="int64")
 
 
+def _agreeing_lists(percent: int):
+    """Pairs that meet in short posting lists and agree, as one spanning forest of all lists of the group."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["value", "id"])
+        ids, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        sig = np.stack(rows["signature"].to_numpy())
+        size = rows["n_shingles"].to_numpy()
+        value = rows["value"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        length = np.diff(np.r_[begin, len(value)])
+        parent: dict[int, int] = {}
+        out = []
+        for n in np.unique(length).tolist():
+            lists = begin[length == n]
+            # Members i and i + step of all lists of n members are compared at once.
+            for step in range(1, n):
+                i = (lists[:, None] + np.arange(n - step)).ravel()
+                j = i + step
+                near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+                i, j = i[near], j[near]
+                same = np.zeros(len(i), np.int8)
+                for c in range(COORDINATES):
+                    same += sig[i, c] == sig[j, c]
+                i, j = place[i[same >= MATCHES]], place[j[same >= MATCHES]]
+                out += _grow(parent, zip(i.tolist(), j.tolist(), strict=True))
+        return pd.DataFrame([(int(ids[i]), int(ids[j])) for i, j in out], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, as a product of 0/1 matrices over the elements that both sides have."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -177,9 +215,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     follows. Representatives are posted under each coordinate and value; values that only one has are
     skipped, a document with fewer than MATCHES other ones too. Of what is left, ordered from rare to
     frequent, all but the last MATCHES - 1 form its prefix: pairs with MATCHES agreements meet in their
-    prefixes. Lists of up to 64 are joined, longer ones compared in blocks; both count agreements.
-    A candidate cluster's sets meet once, in blocks if it is large. Blocks return spanning forests of
-    their links, never all pairs. Only a convergence flag reaches the driver.
+    prefixes. Lists of up to 64 are compared many at a time, longer ones in blocks; both count agreements.
+    A candidate cluster's sets meet once, in blocks if it is large. All of them return spanning forests
+    of their links, never all pairs. Only a convergence flag reaches the driver.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(d.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id long, n_shingles long, one long, two long, signature array<long>"))
@@ -193,11 +231,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # Lists of the same members say the same: one of them is enough.
     lists = lists.groupBy("n", "who").agg(F.min("value").alias("value"))
     members = materialize(prefix.join(lists.select("value", "n"), "value").join(reps.select("id", "signature", "n_shingles"), "id"))
-    short = members.filter("n <= 64")
-    a, b = (short.select("value", F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
-    agree = F.size(F.array_intersect("sa", "sb")) >= MATCHES
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    joined = a.join(b, "value").filter((F.col("a") < F.col("b")) & near & agree).select("a", "b").distinct()
+    parts = max(1, members.count() // LISTED)
+    short = members.filter("n <= 64").select(group_of(parts, "value").alias("g"), "value", "id", "signature", "n_shingles")
+    joined = short.groupBy("g").applyInPandas(_agreeing_lists(percent), "a long, b long")
     blocks = _paired_blocks(members.filter("n > 64").select("value", "id", "signature", "n"), "n")
     long_ = blocks.groupBy("value", "i", "j").applyInPandas(_agreeing, "a long, b long")
     candidates = components(materialize(joined.unionByName(long_)))
