@@ -10,12 +10,15 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import REMEMBERED, Chunks, chunk_of, spaced_chunks
+from .chunks import Chunks, chunk_of, spaced_chunks
 from .common import parts_of, small_batches, table
 
 #: Bytes of the longest piece whose prefixes are stored, and prefixes that a worker stores before it starts again.
 LONG, PREFIXES = 64, 500_000
 
+#: Lengths of tokens where no longer one ends in the last four bytes.
+SHORT = (3, 2, 1)
+
 #: Pairs of tokens whose validity a worker remembers.
 PAIRS = 1_000_000
 
@@ -45,10 +48,12 @@ class PrefixEncoder:
         self.valid: dict[tuple[int, int], bool] = {}
         #: The tokens that merging makes.
         self.made = {t: r for t, r in ranks.items() if self.split(r)}
-        #: By their last three bytes, how long such tokens are at most.
-        self.reach: dict[bytes, int] = {}
+        #: By their last four bytes, the lengths of such tokens, longest first; down to single bytes.
+        lengths: dict[bytes, set[int]] = {}
         for t in self.made:
-            self.reach[t[-3:]] = max(self.reach.get(t[-3:], 2), len(t))
+            if len(t) > 3:
+                lengths.setdefault(t[-4:], {1, 2, 3}).add(len(t))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
 
     def split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice if it is a byte; None if merging never makes it."""
@@ -99,7 +104,10 @@ class PrefixEncoder:
     def last_token(self, piece: bytes, end: int, before) -> int:
         """The last token of the prefix of `end` bytes; before(i) is that of the prefix of i bytes."""
         made, valid = self.made.get, self.valid.get
-        for begin in range(max(0, end - self.reach.get(piece[max(0, end - 3) : end], 2)), end):
+        for size in self.lengths.get(piece[max(0, end - 4) : end], SHORT):
+            begin = end - size
+            if begin < 0:
+                continue
             rank = made(piece[begin:end])
             if rank is not None:
                 if not begin:
@@ -140,13 +148,17 @@ class PrefixEncoder:
         stored = self.stored
         if len(stored) > PREFIXES:
             stored.clear()
-        known = len(piece)
+        size = known = len(piece)
         while known and piece[:known] not in stored:
             known -= 1
-        before = lambda i: stored[piece[:i]]
-        for end in range(known + 1, len(piece) + 1):
+        token, before = self.token, lambda i: stored[piece[:i]]
+        for end in range(known + 1, size + 1):
             stored[piece[:end]] = self.last_token(piece, end, before)
-        return self.read(piece, before)
+        out = []
+        while size:
+            out.append(rank := stored[piece[:size]])
+            size -= len(token[rank])
+        return tuple(out[::-1])
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,15 +167,21 @@ def _worker(path: str, pattern: str):
 
     encoder, cut = PrefixEncoder(load_ranks(path)), regex.compile(pattern).findall
 
-    def solve_pieces(pieces: list[str]) -> list[tuple[int, ...]]:
-        return [encoder.encode(p.encode()) for p in pieces]
-
-    pieces = Chunks(solve_pieces)
+    def pieces(key: str) -> list[str]:
+        """The pattern's pieces; Latin letters after one space or one line end need no pattern."""
+        chunk = chunk_of(key)
+        if chunk[0] in " \n" and chunk[1:].isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
+            return [chunk] if chunk[0] == " " else [chunk[0], chunk[1:]]
+        return cut(chunk)
 
     def solve(keys: list[str]) -> list[tuple[int, ...]]:
-        return [x[0] if len(x) == 1 else tuple(chain.from_iterable(x)) for x in pieces.values([cut(chunk_of(k)) for k in keys])]
+        found, encode = [], encoder.encode
+        for key in keys:
+            x = [encode(p.encode()) for p in pieces(key)]
+            found.append(x[0] if len(x) == 1 else tuple(chain.from_iterable(x)))
+        return found
 
-    return encoder, cut, Chunks(solve, REMEMBERED // 2)
+    return encoder, cut, Chunks(solve)
 
 
 def encode_texts(path: str, pattern: str, texts: list[str | None]) -> list[list[int]]:
