@@ -81,22 +81,26 @@ def _root(parent: dict, x):
     return x
 
 
-def _grow(parent: dict[int, int], pairs) -> list[tuple[int, int]]:
-    """The pairs that join two trees of the forest `parent`, which grows by them."""
-    out = []
+def _grow(parent: dict[int, int], pairs) -> None:
+    """Join the trees of `parent` that the pairs link; the smallest number is the root."""
     for i, j in pairs:
         parent.setdefault(i, i)
         parent.setdefault(j, j)
         a, b = _root(parent, i), _root(parent, j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+
+
+def _stars(parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Each tree as links from its root: lists of much the same members give the same links."""
+    return [(r, x) for x in parent if (r := _root(parent, x)) != x]
 
 
 def _span(pairs, ids) -> list[tuple[int, int]]:
-    """A forest with the same components as the pairs (of places in ids)."""
-    return [(int(ids[i]), int(ids[j])) for i, j in _grow({}, pairs)]
+    """A forest with the same components as the pairs (of places in ids): links from the smallest id of each."""
+    parent: dict[int, int] = {}
+    _grow(parent, ((int(ids[i]), int(ids[j])) for i, j in pairs))
+    return _stars(parent)
 
 
 def _agreeing(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +132,6 @@ def _agreeing_lists(percent: int):
         begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         length = np.diff(np.r_[begin, len(value)])
         parent: dict[int, int] = {}
-        out = []
         for n in np.unique(length).tolist():
             lists = begin[length == n]
             # Members i and i + step of all lists of n members are compared at once.
@@ -141,8 +144,8 @@ def _agreeing_lists(percent: int):
                 for c in range(COORDINATES):
                     same += sig[i, c] == sig[j, c]
                 i, j = place[i[same >= MATCHES]], place[j[same >= MATCHES]]
-                out += _grow(parent, zip(i.tolist(), j.tolist(), strict=True))
-        return pd.DataFrame([(int(ids[i]), int(ids[j])) for i, j in out], columns=["a", "b"], dtype="int64")
+                _grow(parent, zip(i.tolist(), j.tolist(), strict=True))
+        return pd.DataFrame([(int(ids[i]), int(ids[j])) for i, j in _stars(parent)], columns=["a", "b"], dtype="int64")
 
     return run
 
