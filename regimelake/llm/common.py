@@ -170,6 +170,23 @@ def likely(rows: DataFrame, keys: DataFrame, column: str, buckets: int = 1 << 20
     return rows.withColumn("_bucket", bucket).join(F.broadcast(there), "_bucket", "left_semi").drop("_bucket")
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], spread: list[str], how: str = "inner", per_task: int = 1 << 14, buckets: int = 1 << 20) -> DataFrame:
+    """`rows` joined with `keyed` (one row for each key, `n` rows of the key), hot keys dealt over many tasks.
+
+    Keys fall into hash buckets; a bucket of more than `per_task` rows, or four times the mean where that
+    is more, is cut into salts: its rows take one by a hash of `spread`, its keys are repeated for each. At
+    most a quarter of the buckets are hot, so what is broadcast has at most buckets / 4 rows of two numbers.
+    """
+    bucket = F.pmod(F.xxhash64(*on), F.lit(buckets)).cast("int")
+    loads = materialize(keyed.groupBy(bucket.alias("_bucket")).agg(F.sum("n").alias("load")))
+    limit = max(per_task, 4 * (loads.agg(F.sum("load")).first()[0] or 0) // buckets)
+    hot = F.broadcast(loads.filter(F.col("load") > limit).select("_bucket", F.ceil(F.col("load") / limit).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.withColumn("_bucket", bucket).join(hot, "_bucket", "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_bucket", "_salts")
+    right = keyed.drop("n").withColumn("_bucket", bucket).join(hot, "_bucket", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_bucket", "_salts")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every end of an edge; the component is its smallest id.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, likely, materialize, small_batches, table, text_slices, window_hashes
+from .common import Words, likely, materialize, small_batches, spread_join, table, text_slices, window_hashes
 
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
@@ -107,8 +107,8 @@ def _spans(batches, window: int):
 
 def _shared(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows of which another document has the same names, with the smallest such doc_id."""
-    least = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    return rows.join(least.select(*names, "least"), names)
+    least = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    return spread_join(rows, materialize(least.drop("most")), names, ["key"])
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -124,8 +124,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     are sampled where their hash is the smallest within a full window, so that equal windows sample
     equal anchors, and posted; only anchors of two documents survive. Full windows with such an anchor
     are extended to half windows (25), sampled in the same way, and where those are repeated to full
-    windows, named by 128 bits. Each level is one aggregation with map-side combining and one join that
-    Spark can split by skew; only texts that may hold a shared anchor are shuffled.
+    windows, named by 128 bits. Each level is one aggregation with map-side combining and one join in
+    which names of many documents are dealt over many tasks; only texts that may hold a shared anchor are shuffled.
     """
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialize(d.mapInArrow(lambda it: _first_level(it, window), "key long, doc_id long, n_words long, whole_sha256 string, anchors array<long>, places array<int>"))
