@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from regimelake.llm import bpe, html_extraction, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vectors
+from regimelake.llm import bpe, common, html_extraction, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "a", "a\tb\r\n\n c  ", "<|endoftext|> x<|endoftext|>", "Été ﬁ 12345 漢字 🙂🙂", "aaaa" * 700, "x  y\n z", "l'été's don't"]
@@ -202,6 +202,16 @@ def test_html(spark):
     rows = [(1, "http://h/a", page.format("")), (2, "http://h/b", None), (3, None, "plain"), (4, "http://g/1", bare.format("alpha")), (5, "http://g/2", bare.format("beta"))]
     out = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {1: "A&B\none two\nthree", 2: "", 3: "plain", 4: "alpha", 5: "beta"}
+    joined = html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=-1)
+    assert {r.page_id: r.text for r in joined.collect()} == out
+
+
+def test_spread_join(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k % 7 <> 3").withColumn("v", F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = common.spread_join(rows, keyed, ["k"], ["id"], how, per_task=100)
+        assert sorted((r.id, r.k, r.v or 0) for r in got.collect()) == sorted((r.id, r.k, r.v or 0) for r in rows.join(keyed, "k", how).collect())
 
 
 def test_empty_tables(spark):
