@@ -150,6 +150,7 @@ ORACLE_SQL = {
     "ema_nullsafe": f"{_SLOT}, {_fold('se', 'sn', {'e': 'rho_ts'}, _A, first='1.0')} SELECT idx, round(e, 6) AS e FROM se",
     "ema_lagged": f"{_P}, {_hourly('b', {'ratio': 'size_avg'})} SELECT hour, round(ratio, 6) AS ratio FROM br",
     "ema_reset": f"{_inv()}, tk AS MATERIALIZED (SELECT idx // 100 AS epoch, idx % 100 AS k, idx, rho_ts FROM tr), {_fold('em', 'tk', {'e': 'rho_ts'}, _A, 'epoch', 'k')} SELECT epoch * 100 + k AS idx, epoch, round(e, 6) AS e FROM em",
+    "stream_ema": f"{_inv('event_type')}, whole AS (SELECT * FROM inv WHERE block_count = {Q.PHI}), {_fold('em', 'whole', {'e': 'rho_ts'}, _A, order='window_id')} SELECT chain, window_id AS idx, start_us, end_us, round(rho_ts, 6) AS rho_ts, round(CASE WHEN window_id > 50 THEN rho_ts / nullif(e, 0) END, 6) AS rhythm FROM whole JOIN em USING (chain, window_id)",
     "ratios": f"{_rat()} SELECT idx, {_R4} FROM rat",
     "warmup_null": f"{_rat()} SELECT count(*) FILTER (WHERE rhythm IS NULL) AS n_null, min(idx) FILTER (WHERE rhythm IS NOT NULL) AS first_idx FROM rat",
     "slow_drift": f"{_rat(alpha=_SLOW)} SELECT idx, round(rhythm, 6) AS rhythm FROM rat",

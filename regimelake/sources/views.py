@@ -41,7 +41,11 @@ def optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
     """events as blocks: chain, number, us (epoch microseconds), gas_used, gas_limit, tx, size."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_blocks(spark.read.parquet(f"{sf_dir}/events.parquet"), by_type)
+
+
+def as_blocks(e: DataFrame, by_type: bool = False) -> DataFrame:
+    """Rows of events, of a table or a stream, as blocks."""
     chain = F.col("event_type") if by_type else F.lit("evt")
     return e.select(
         chain.alias("chain"), F.col("event_id").alias("number"), F.expr(_MICROS).alias("us"), F.col("value").alias("gas_used"), F.lit(600.0).alias("gas_limit"),

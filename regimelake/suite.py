@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .operators import windows as W
 from .plans import composite as C
 from .plans import sweeps as S
 from .sources import views as V
+from .streaming.online import stream_classify
 
 PHI, SLOT_PHI = 10, 10
 _TWO = {"s2": 1.12, "sigma": 1.10, "size": 1.20, "tx": 1.10, "need": 2}
@@ -103,6 +106,19 @@ def _reset(s, d):
     return ema(w, {"e": ("rho_ts", R.FAST)}, part="key", order="at").select("idx", "epoch", *_r("e"))
 
 
+def _stream(s, d):
+    """The online engine over events as a stream of files, a chain for each type; what it emits is read back.
+
+    The pattern in the path lets a stream read one file as well as a folder of them.
+    """
+    out = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    blocks = V.as_blocks(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]"), True)
+    stream = stream_classify(blocks.select("chain", "number", "us"), PHI)
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(f"{out}/rows").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rhythm"))
+
+
 def _per_chain(s, d):
     """Chain thresholds from a parameter table, one row a chain."""
     params = s.createDataFrame([("click", 1.10, 1.10), ("purchase", 1.15, None), ("error", 1.12, 1.05)], "chain string, p_s2 double, p_sigma double")
@@ -168,6 +184,7 @@ QUERIES = {
     "ema_nullsafe": lambda s, d: ema(W.gap_fill(_slot_windows(s, d), fill=False), {"e": ("rho_ts", R.FAST)}, first=1.0).select("idx", *_r("e")),
     "ema_lagged": lambda s, d: R.hourly_ratio(W.hours(_layer(s, d, "purchase")), {"ratio": "size_avg"}).select("hour", *_r("ratio")),
     "ema_reset": _reset,
+    "stream_ema": _stream,
     "ratios": lambda s, d: R.ratios(_inv(s, d)).select("idx", *_r("rhythm", "sigma", "size_r", "tx_r")),
     "warmup_null": lambda s, d: R.ratios(_inv(s, d)).agg(F.count_if(F.col("rhythm").isNull()).alias("n_null"), F.min(F.when(F.col("rhythm").isNotNull(), F.col("idx"))).alias("first_idx")),
     "slow_drift": lambda s, d: R.ratios(_inv(s, d), alpha=R.SLOW).select("idx", *_r("rhythm")),
