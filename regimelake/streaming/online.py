@@ -1,37 +1,77 @@
-"""The online engine: blocks arrive in order, windows and baselines are state."""
+"""The online engine: blocks arrive as micro-batches, windows and baselines are state."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-STATE = "n long, start_us long, last_us long, count long, sum_s double, e double, idx long"
+from ..functions.ema import numbered
+
+STATE = "n long, start_us long, last_us long, count long, e double, idx long, held_n array<long>, held_us array<long>"
 OUT = "chain string, idx long, start_us long, end_us long, rho_ts double, rhythm double, state string"
 
+#: Rows of a chain in one slice, which is what a task of a micro-batch sorts.
+SLICE = 1 << 18
+
+#: The bucket of blocks without a number, which come last.
+_LAST = (1 << 63) - 1
+
+
+def ordered_slices(blocks: DataFrame, path: str, rows: int = SLICE, bucket: int = 65_536) -> DataFrame:
+    """Write (chain, number, us, slice), `number` now a block's place in its chain from 0, one file a slice; reread as a table.
+
+    Places follow the numbers, equal ones the time; blocks without a number come last. A slice has at
+    most `rows` blocks of each chain. Files get modification times in the order of their slices, as a
+    stream reads files by these; where a store does not keep them, `stream_classify` holds early slices.
+    """
+    b = blocks.select("chain", "number", "us")
+    placed = numbered(b, "chain", [F.asc_nulls_last("number"), "us"], F.coalesce(F.expr(f"number div {bucket}"), F.lit(_LAST)), "place")
+    out = placed.select("chain", F.col("place").cast("long").alias("number"), "us", F.expr(f"place div {rows}").alias("slice"))
+    out.repartition("slice").write.partitionBy("slice").parquet(path)
+    spark = blocks.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(int(s.getPath().getName().split("=")[1]), f.getPath()) for s in fs.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName() for f in fs.listStatus(s.getPath())]
+    began = fs.getFileStatus(folder).getModificationTime() - 1000 * (len(files) + 1)
+    for k, file in files:
+        fs.setTimes(file, began + 1000 * k, -1)
+    return spark.read.schema(out.schema).parquet(path)
+
 
-def stream_classify(blocks: DataFrame, phi: int, alpha: float = 2 / 11, s2: float = 1.12, warm_up: int = 50) -> DataFrame:
+def stream_classify(blocks: DataFrame, phi: int, alpha: float = 2 / 11, s2: float = 1.12, warm_up: int = 50, dense: bool = False) -> DataFrame:
     """One row for each `phi` blocks of a chain: cadence, ratio to its baseline, S1 or S2.
 
     blocks: a stream of (chain, number, us). The state of a chain is its open window and its baseline.
-    A micro-batch is sorted by number; blocks at or before the last one seen are dropped, as input is
-    final. Windows are numbered from 0 with nothing trimmed.
+    A micro-batch is sorted by number. With `dense`, numbers are places from 0 without gaps, and blocks
+    that come early are held in the state until those before them have come, so files may come in any
+    order. Without it nothing tells whether a block is still missing: a block before the last one seen
+    is an error, never dropped. Blocks without a number are left out. Windows are numbered from 0 with
+    nothing trimmed.
     """
 
     def step(key, batches, state):
-        n, start, last, count, _, e, idx = state.get if state.exists else (-1, 0, 0, 0, 0.0, float("nan"), 0)
+        n, start, last, count, e, idx, held_n, held_us = state.get if state.exists else (None, 0, 0, 0, float("nan"), 0, [], [])
+        pdf = pd.concat([pd.DataFrame({"number": held_n, "us": held_us}, dtype="int64"), *(b[["number", "us"]] for b in batches)]).sort_values(["number", "us"])
+        number, us = pdf["number"].tolist(), pdf["us"].tolist()
+        if number and n is not None and number[0] < n + dense:
+            raise ValueError(f"chain {key[0]}: block {number[0]} came after block {n}")
+        if dense:
+            first = 0 if n is None else n + 1
+            ready = next((i for i, x in enumerate(number) if x != first + i), len(number))
+        else:
+            ready = len(number)
         rows = []
-        for x in pd.concat(list(batches)).sort_values("number").itertuples():
-            if x.number <= n:
-                continue
-            start = x.us if not count else start
-            n, last, count = x.number, x.us, count + 1
+        for x, t in zip(number[:ready], us[:ready], strict=True):
+            start = t if not count else min(start, t)
+            n, last, count = x, t if not count else max(last, t), count + 1
             if count == phi:
                 rho = (last - start) // 1000 / 1000 / (phi - 1)
                 e = rho if e != e else alpha * rho + (1 - alpha) * e
                 ratio = rho / e if idx > warm_up and e else None
                 rows.append((key[0], idx, start, last, rho, ratio, "S2" if ratio is not None and ratio >= s2 else "S1"))
                 idx, count = idx + 1, 0
-        state.update((int(n), int(start), int(last), int(count), 0.0, float(e), int(idx)))
+        state.update((n, int(start), int(last), int(count), float(e), int(idx), number[ready:], us[ready:]))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return blocks.groupBy("chain").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    return blocks.filter("number is not null").groupBy("chain").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")

@@ -13,7 +13,7 @@ from .operators import windows as W
 from .plans import composite as C
 from .plans import sweeps as S
 from .sources import views as V
-from .streaming.online import stream_classify
+from .streaming.online import ordered_slices, stream_classify
 
 PHI, SLOT_PHI = 10, 10
 _TWO = {"s2": 1.12, "sigma": 1.10, "size": 1.20, "tx": 1.10, "need": 2}
@@ -107,14 +107,11 @@ def _reset(s, d):
 
 
 def _stream(s, d):
-    """The online engine over events as a stream of files, a chain for each type; what it emits is read back.
-
-    The pattern in the path lets a stream read one file as well as a folder of them.
-    """
+    """The online engine over events as a stream of ordered slices, a chain for each type; what it emits is read back."""
     out = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
-    blocks = V.as_blocks(s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]"), True)
-    stream = stream_classify(blocks.select("chain", "number", "us"), PHI)
+    slices = ordered_slices(V.blocks(s, d, True), f"{out}/blocks")
+    blocks = s.readStream.schema(slices.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/blocks")
+    stream = stream_classify(blocks.select("chain", "number", "us"), PHI, dense=True)
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{out}/rows").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rhythm"))
 
