@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
-import json
 import re
 
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parts_of, small_batches, spread_join, table
 
-#: Pages of a host that its wrapper is induced from at most.
-EXEMPLARS = 4
+#: A node is template where this share of the distinct pages with its path repeat it: outside articles, and within them.
+SHARE, ARTICLE_SHARE = 1 / 3, 1 / 2
 
 #: Bytes of all wrappers that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
@@ -133,113 +133,88 @@ def blocks(root: Node) -> list[tuple[tuple[str, ...], str, bool, bool]]:
     return out
 
 
-def skeleton(root: Node):
-    """The tree of blocks: (name, text, children), which the matching aligns."""
-    tree = ("#", "", [])
-    index: dict = {(): tree}
-    last: tuple = ()
-    for path, text, _, _ in blocks(root):
-        for depth in range(1, len(path) + 1):
-            if path[:depth] != last[:depth] or path[:depth] not in index:
-                index[path[:depth]] = node = (path[depth - 1], "", [])
-                index[path[: depth - 1]][2].append(node)
-                last = path[:depth]
-        index[path][2].append(("text", text, []))
-        last = path
-    return tree
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def matching(a, b) -> tuple[int, list]:
-    """Simple tree matching: the most node pairs of two trees that keep order and parents, and the pairs of texts.
-
-    Roots must have one name; children are aligned by dynamic programming over the two child lists.
-    """
-    if a[0] != b[0]:
-        return 0, []
-    if a[0] == "text":
-        return 1 + (a[1] == b[1]), [(a, b)]
-    rows, columns = a[2], b[2]
-    best = [[(0, None)] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    for i, x in enumerate(rows, 1):
-        for j, y in enumerate(columns, 1):
-            value, pairs = matching(x, y)
-            ways = [(best[i - 1][j][0], "up"), (best[i][j - 1][0], "left")]
-            if value:
-                ways.append((best[i - 1][j - 1][0] + value, pairs))
-            best[i][j] = max(ways, key=lambda w: w[0])
-    pairs, i, j = [], len(rows), len(columns)
-    while i and j:
-        way = best[i][j][1]
-        if way == "up":
-            i -= 1
-        elif way == "left":
-            j -= 1
-        else:
-            pairs = way + pairs
-            i, j = i - 1, j - 1
-    return 1 + best[-1][-1][0], pairs
+def candidates(source: str | None) -> list[tuple[str, int, int]]:
+    """(text, path, node) of the blocks that may be main text: those of the article elements, or on pages without
+    them all; asides never. path and node are hashes of the path, and of path and text; a path's last bit is 1 in an article."""
+    found = blocks(parse(source or ""))
+    main = any(inside for _, _, _, inside in found)
+    known: dict = {}
+    out = []
+    for path, text, aside, inside in found:
+        if not aside and inside == main:
+            if path not in known:
+                known[path] = _hash(*path) & ~1 | main
+            out.append((text, known[path], _hash(*path, text)))
+    return out
 
 
-def induce(sources: list[str]) -> list[list[str]]:
-    """A host's wrapper: [path, text] of the constant nodes, those that an aligned page repeats.
+def extract(source: str | None, constant: set) -> str:
+    """The main text: candidate blocks that are not `constant` nodes of the host.
 
-    Pages whose aligned texts are all equal are copies and say nothing about the template.
+    An article that would lose more than half of its text is a near-copy of others, not a template: it is kept whole.
     """
-    found: set = set()
-    trees = [skeleton(parse(s)) for s in sources]
-    for i, a in enumerate(trees):
-        for b in trees[i + 1 :]:
-            _, pairs = matching(a, b)
-            same = [x[1] for x, y in pairs if x[1] == y[1]]
-            if len(same) < len(pairs):
-                found.update(same)
-    return sorted(found)
-
-
-def extract(source: str | None, constant: set) -> str:
-    """The main text: blocks of the article elements, or on pages without them the varying blocks; asides never."""
-    found = blocks(parse(source or ""))
-    main = any(inside for _, _, _, inside in found)
-    return "\n".join(t for _, t, aside, inside in found if not aside and (inside or not main and t not in constant))
+    found = candidates(source)
+    kept = [t for t, _, node in found if node not in constant]
+    if found and found[0][1] & 1 and 2 * sum(map(len, kept)) < sum(len(t) for t, _, _ in found):
+        kept = [t for t, _, _ in found]
+    return "\n".join(kept)
 
 
 def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
-    """(host, n, wrapper) of all hosts: their pages, and what is constant in `exemplars` of these at most.
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, n, wrapper) of all hosts: their pages, and the nodes (path and text) that are template, from all pages.
 
-    The exemplars are the pages of the smallest hash in each of `exemplars` classes of a host's pages,
-    an aggregation that map tasks combine; so a hot host costs no more than another.
+    Pages of a host whose candidate blocks are all equal are copies and count once. A node is template
+    where enough of the pages that have its path repeat it: SHARE and two of them at least, within an
+    article ARTICLE_SHARE and three. Counts are of hashes, and map tasks combine them; so a hot host is
+    dealt over many tasks.
     """
-    h = pages.select(_host("url").alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(exemplars)).alias("class"), "html")
-    order = F.when(F.col("html").isNotNull(), F.xxhash64("html"))
-    one = h.groupBy("host", "class").agg(F.min_by("html", order).alias("html"), F.count(F.lit(1)).alias("n"))
-    groups = one.groupBy("host").agg(F.sum("n").alias("n"), F.collect_list("html").alias("sources"))
+    h = pages.select(_host("url").alias("host"), "html")
 
     def run(batches):
         for batch in batches:
-            found = [json.dumps(induce(sorted(s))) for s in batch.column("sources").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "n": batch.column("n"), "wrapper": pa.array(found, pa.string())})
-
-    return groups.mapInArrow(run, "host string, n long, wrapper string")
-
-
-def main_text(pages: DataFrame, exemplars: int = EXEMPLARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+            for part in parts_of(batch, "html", 1 << 22):
+                sigs, nodes = [], []
+                for source in part.column("html").to_pylist():
+                    found = {(path, node) for _, path, node in candidates(source)}
+                    sigs.append(_hash(*map(str, sorted(node for _, node in found))))
+                    nodes.append([{"path": path, "node": node} for path, node in sorted(found)] + [{"path": path, "node": None} for path in sorted({path for path, _ in found})])
+                kind = pa.list_(pa.struct([("path", pa.int64()), ("node", pa.int64())]))
+                yield pa.RecordBatch.from_pydict({"host": part.column("host"), "sig": pa.array(sigs, pa.int64()), "nodes": pa.array(nodes, kind)})
+
+    seen = h.mapInArrow(run, "host string, sig long, nodes array<struct<path: long, node: long>>")
+    distinct = materialize(seen.groupBy("host", "sig").agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n")))
+    # A node of no text stands for its path.
+    counts = distinct.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.path", "x.node").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    counts = materialize(counts)
+    of = counts.filter("node is null").select("host", "path", F.col("times").alias("of"))
+    inside = F.col("path").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(inside, (F.col("times") >= 3) & (F.col("times") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("times") >= SHARE * F.col("of"))
+    constant = counts.filter("node is not null").join(of, ["host", "path"]).filter(enough).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("wrapper"))
+    return distinct.groupBy("host").agg(F.sum("n").alias("n")).join(constant, "host", "left")
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text) of every page.
 
-    Each host's wrapper comes from aligned pages; each page is then read alone against it. A null or
+    Each host's wrapper comes from all its pages; each page is then read alone against it. A null or
     empty html gives an empty text; pages without a host share one wrapper; repeated rows are each
-    returned. The article that a page marks is content even where pages repeat it.
+    returned. An article that other pages copy is content, and stays whole.
 
     Wrappers of `broadcast_bytes` at most in all, a size that is measured, go to all tasks and no page is
     shuffled; more of them are joined by host, the pages of hot hosts dealt over many tasks.
     """
     p = pages.select("page_id", "url", "html", _host("url").alias("host"))
-    found = materialize(wrappers(pages, exemplars))
-    some = found.filter("wrapper <> '[]'")
-    if (some.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
+    found = materialize(wrappers(pages))
+    some = found.filter("wrapper is not null")
+    if (some.agg(F.sum(F.octet_length("host") + 8 * F.size("wrapper"))).first()[0] or 0) <= broadcast_bytes:
         joined = p.join(F.broadcast(some.drop("n")), "host", "left")
     else:
         joined = spread_join(p, found, ["host"], ["page_id", "url"], "left")
@@ -247,7 +222,7 @@ def main_text(pages: DataFrame, exemplars: int = EXEMPLARS, broadcast_bytes: int
     def run(batches):
         for batch in batches:
             for part in parts_of(batch, "html", 1 << 22):
-                found = [extract(s, set(json.loads(w)) if w else set()) for s, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True)]
+                found = [extract(s, set(w or ())) for s, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string())})
 
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"

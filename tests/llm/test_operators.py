@@ -206,6 +206,22 @@ def test_html(spark):
     assert {r.page_id: r.text for r in joined.collect()} == out
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_html_wrapper_of_all_pages(spark, broadcast_bytes):
+    bare = "<body><div class=l{0}>Site of layout {0}</div><p>{1}</p><div class=l{0}>End {0}</div>"
+    art = "<article><p>{0}</p><p>Subscribe to our letter</p><p>{1}</p></article>"
+    words = ["".join(random.Random(i).sample("abcdefghij", 8)) for i in range(60)]
+    rows = [(i, "http://h/x", bare.format(i % 10, words[i])) for i in range(30)]
+    rows += [(100 + i, "http://h/copy", bare.format(0, "copied")) for i in range(40)]
+    rows += [(200 + i, "http://a/x", art.format(words[i] * 3, words[30 + i] * 3)) for i in range(6)]
+    near = "<article><p>A passage that near copies share</p><p>{0}</p><p>Another passage of theirs</p></article>"
+    rows += [(300 + i, "http://n/x", near.format(words[i])) for i in range(6)]
+    out = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=broadcast_bytes).collect()}
+    want = {i: words[i] for i in range(30)} | {100 + i: "copied" for i in range(40)}
+    want |= {200 + i: f"{words[i] * 3}\n{words[30 + i] * 3}" for i in range(6)}
+    assert out == want | {300 + i: f"A passage that near copies share\n{words[i]}\nAnother passage of theirs" for i in range(6)}
+
+
 def test_spread_join(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k % 7 <> 3").withColumn("v", F.col("k") * 2)
