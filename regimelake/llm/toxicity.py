@@ -18,6 +18,9 @@ EXPRESSIONS = 200_000
 #: First bytes of a word that make its stem, the level that rare words back off to.
 STEM = 5
 
+#: Without rows to weigh evidence by, one text in so many counts as toxic.
+PRIOR = 10
+
 #: Leanings of up to so many nats are a difference of topic or language, not of toxicity.
 MILD = 1.0
 
@@ -96,7 +99,8 @@ def fit(labelled: DataFrame, spare: DataFrame) -> Model:
     Words are counted by class; the stem level counts in how many different words of a class a stem
     occurs (continuation counts) and is itself smoothed by the counts that the classes share. So a rare
     word is judged by its stem, and an unknown stem not at all. Without labels of both classes every
-    text scores the share of label 1 among the spare rows.
+    text scores the share of label 1 among the spare rows, smoothed by one row that is toxic to 1 / PRIOR;
+    so it scores under 0.5 where there is none.
     """
     counted = labelled.mapInArrow(_count, "word long, stem long, toxic long, ordinary long")
     counts = counted.groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
@@ -141,7 +145,8 @@ def _weights(model: Model, spare: DataFrame) -> np.ndarray:
     x, y = np.c_[seen[["a", "b", "c"]].to_numpy(np.float64), np.ones(len(seen))], seen["toxic"].to_numpy(np.float64)
     w = np.zeros(4)
     if not len(y) or y.min() == y.max():
-        w[3] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        # A prior of one toxic row in PRIOR: without evidence a text is not toxic.
+        w[3] = np.log((y.sum() + 1 / PRIOR) / (len(y) - y.sum() + 1 - 1 / PRIOR))
         return w
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

@@ -206,6 +206,16 @@ def test_html(spark):
     assert {r.page_id: r.text for r in joined.collect()} == out
 
 
+def test_toxicity_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in enumerate(["a clean text", "", None])], SCHEMA)
+    for labels in ([], [(77, 1)], [(0, 0)]):
+        d = str(tmp_path / "-".join(map(str, [n for x in labels for n in x])))
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, d).count() == 3
+
+
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
 def test_html_wrapper_of_all_pages(spark, broadcast_bytes):
     bare = "<body><div class=l{0}>Site of layout {0}</div><p>{1}</p><div class=l{0}>End {0}</div>"
