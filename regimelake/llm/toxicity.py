@@ -12,9 +12,6 @@ from .common import Words, small_batches, table, text_slices
 #: Labelled rows that the models are fitted on at most, those of the smallest hash of doc_id.
 TRAINING_ROWS = 20_000
 
-#: Expressions (words, or stems of words) of each model at most, the most frequent toxic ones first, then the most frequent.
-EXPRESSIONS = 200_000
-
 #: First bytes of a word that make its stem, the level that rare words back off to.
 STEM = 5
 
@@ -84,13 +81,12 @@ def _kneser_ney(toxic, ordinary, sums, backoff):
 
 
 def _level(counts: DataFrame, key: str):
-    """Class sums over all expressions, and the EXPRESSIONS rows of the model."""
+    """Class sums over all expressions, and the rows of the model: those seen twice at least."""
     one, both = F.count_if((F.col("toxic") + F.col("ordinary")) == 1), F.count_if((F.col("toxic") + F.col("ordinary")) == 2)
     s = counts.agg(F.sum("toxic"), F.count_if(F.col("toxic") > 0), F.sum("ordinary"), F.count_if(F.col("ordinary") > 0), one, both).first()
     s = [x or 0 for x in s]
     sums = ((s[0], s[1]), (s[2], s[3]), s[4] / (s[4] + 2 * s[5]) if s[4] else 0.5)
-    rows = counts.filter("toxic + ordinary > 1").orderBy(F.desc("toxic"), F.desc("ordinary"), key).limit(EXPRESSIONS).toPandas()
-    return sums, rows
+    return sums, counts.filter("toxic + ordinary > 1").orderBy(key).toPandas()
 
 
 def fit(labelled: DataFrame, spare: DataFrame) -> Model:
@@ -165,7 +161,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     their weights, TRAINING_ROWS in all at most. Null or empty texts have no evidence and score by the
     base rate; null labels and labels without a document are ignored; repeated rows are each scored. A
     null doc_id is not held out and never learnt from. Scoring is one narrow pass with the fitted
-    arrays, at most 2 * EXPRESSIONS rows, in the closure.
+    arrays, two numbers a word or stem of the TRAINING_ROWS texts, in the closure.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     sample = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

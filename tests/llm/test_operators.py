@@ -216,6 +216,14 @@ def test_toxicity_without_labels(spark, tmp_path):
         assert corpus_pipeline.drop_toxic(spark, docs, d).count() == 3
 
 
+def test_toxicity_keeps_all_repeated_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EXPRESSIONS", 1, raising=False)
+    t = spark.createDataFrame([("vile common", 1), ("vile kind common", 0), ("kind common", 0)], "text string, toxic int")
+    model = toxicity.fit(t, t)
+    words = toxicity._words(np.frombuffer(b"vilekind", np.uint8), np.array([0, 4, 8]))
+    assert model.look_up(model.words, words.hash)[0].all()
+
+
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
 def test_html_wrapper_of_all_pages(spark, broadcast_bytes):
     bare = "<body><div class=l{0}>Site of layout {0}</div><p>{1}</p><div class=l{0}>End {0}</div>"
