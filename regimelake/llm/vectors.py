@@ -193,8 +193,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
 
     Centroids and codebooks are fitted on the SAMPLE rows of the smallest hash of their id; every row is
     indexed. As many lists are probed as hold TARGET of the true neighbours of TRIALS sample rows. Long
-    lists are cut into blocks of BLOCK rows. Each block ranks its codes by the queries' distance tables,
-    ties to the smaller id, and scores RERANK * k of them exactly on the vectors.
+    lists are cut into blocks of BLOCK rows. More lists are probed for a query where these hold fewer than
+    k others. Each block ranks its codes by the queries' distance tables and scores RERANK * k of them, and
+    all that tie with the last, exactly on the vectors.
 
     A query's own row is no candidate. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, nor those of another length than the sample's commonest. Repeated ids are separate candidates;
@@ -218,10 +219,14 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
     def probe(batches):
         for pdf in batches:
             if len(pdf):
-                near = np.argsort(-(np.stack(pdf["v"].to_numpy()) @ index.coarse.T), 1, kind="stable")[:, : index.probes]
-                yield pdf.assign(list=list(near))
+                near = np.argsort(-(np.stack(pdf["v"].to_numpy()) @ index.coarse.T), 1, kind="stable")
+                enough = np.maximum((np.cumsum(sizes[near], 1) < k + 1).sum(1) + 1, index.probes)
+                yield pdf.assign(list=[x[:n] for x, n in zip(near, enough, strict=True)])
 
     held = materialize(c.filter(F.size("v") == size).mapInPandas(assign, "id long, v array<double>, list long, codes binary"))
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for r in held.groupBy("list").count().collect():  # one row a list, 1,024 at most
+        sizes[r["list"]] = r["count"]
     blocks = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     q = _finite(queries, id_, vector, True).filter(F.size("v") == size).mapInPandas(probe, "id long, v array<double>, list array<long>")
     q = q.select("id", "v", F.explode("list").alias("list")).join(blocks, "list").select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
@@ -242,10 +247,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
             for p in range(1, wide):
                 near = near + t[p][codes[:, p]]
             bar = np.partition(near, len(near) - most)[len(near) - most]
-            above = np.flatnonzero(near > bar)
-            take = np.r_[above, np.flatnonzero(near == bar)[: most - len(above)]]
+            take = np.flatnonzero(near >= bar)
             take = take[ids[take] != own]
-            exact = (vectors[take] * query).sum(1)
+            exact = np.concatenate([(vectors[take[i : i + 1024]] * query).sum(1) for i in range(0, max(len(take), 1), 1024)])
             best = _top(ids[take], exact, k)
             out.append(pd.DataFrame({"query_id": own, "vec_id": ids[take][best], "score": exact[best]}))
         return pd.concat(out)

@@ -185,6 +185,14 @@ def test_vectors(spark):
     assert hits >= 0.9 * 20 * 30 and not {r.vec_id for r in found} & {900, 901, 902}
 
 
+def test_nearest_neighbours_of_small_lists(spark):
+    rng = np.random.default_rng(4)
+    v = np.r_[rng.normal(size=(1000, 8)), 50 + rng.normal(size=(3, 8))]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = vectors.nearest_neighbours(e, e.filter("vec_id % 100 = 0")).groupBy("query_id").count().collect()
+    assert len(found) == 11 and {r["count"] for r in found} == {20}
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
