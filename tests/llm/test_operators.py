@@ -185,7 +185,8 @@ def test_vectors(spark):
     assert hits >= 0.9 * 20 * 30 and not {r.vec_id for r in found} & {900, 901, 902}
 
 
-def test_nearest_neighbours_of_small_lists(spark):
+def test_nearest_neighbours_of_small_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TARGET", 0.0)
     rng = np.random.default_rng(4)
     v = np.r_[rng.normal(size=(1000, 8)), 50 + rng.normal(size=(3, 8))]
     e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
