@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ema import ema, lagged
+from ..functions.quantiles import quantiles
 
 FAST, SLOW, HOURLY, WARM_UP = 2 / 11, 2 / 721, 0.1, 50
 ALERTS = ("S2D1", "S2D2", "S1D2")
@@ -48,46 +49,100 @@ def slot_scores(filled: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
     return e.withColumn("rhythm", rhythm).withColumns({c: F.lit(1.0) for c in ("sigma", "size_r", "tx_r")}).drop("_z")
 
 
+def _near():
+    return (F.col("start_us") >= F.col("onset")) & (F.col("start_us") <= F.col("until"))
+
+
 def in_incident(scored: DataFrame, incidents: DataFrame) -> DataFrame:
     """Window and incident pairs: onset <= start <= until."""
-    return scored.join(F.broadcast(incidents), (F.col("start_us") >= F.col("onset")) & (F.col("start_us") <= F.col("until")))  # the caller's handful of labelled intervals
+    return scored.join(F.broadcast(incidents), _near())  # the caller's handful of labelled intervals
 
 
 def normal(scored: DataFrame, incidents: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
     """Windows after the warm-up that lie in no incident."""
-    near = (F.col("start_us") >= F.col("onset")) & (F.col("start_us") <= F.col("until"))
-    return scored.filter(F.col("idx") > warm_up).join(F.broadcast(incidents), near, "left_anti")
+    return scored.filter(F.col("idx") > warm_up).join(F.broadcast(incidents), _near(), "left_anti")
+
+
+def distribution(scored: DataFrame, warm_up: int = WARM_UP, valid_only: bool = False) -> DataFrame:
+    """state, n, percent. All windows are counted, warm-up ones too, and the share is of their number less `warm_up`.
+
+    With `valid_only` (slot chains) only windows after the warm-up are counted, and the share is of these.
+    """
+    rows = scored.filter(F.col("idx") > warm_up) if valid_only else scored
+    counts = rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("whole"))
+    less = F.col("whole") - (0 if valid_only else warm_up)
+    return counts.crossJoin(F.broadcast(whole)).select("state", "n", F.round(F.try_divide(100.0 * F.col("n"), less), 4).alias("percent"))  # one row
 
 
 def detect(scored: DataFrame, incidents: DataFrame) -> DataFrame:
     """Per incident: detected, hours to the first detection, windows, detecting windows and their share."""
-    near = (F.col("start_us") >= F.col("onset")) & (F.col("start_us") <= F.col("until"))
     hit = F.array_contains("expected", F.col("state"))
-    j = F.broadcast(incidents).join(scored, near, "left").groupBy("event", "onset").agg(F.count("start_us").alias("n_window"), F.count_if(hit).alias("n_detected"), F.min(F.when(hit, F.col("start_us"))).alias("first_us"))
+    j = F.broadcast(incidents).join(scored, _near(), "left").groupBy("event", "onset").agg(F.count("start_us").alias("n_window"), F.count_if(hit).alias("n_detected"), F.min(F.when(hit, F.col("start_us"))).alias("first_us"))
     return j.select(
         "event", (F.col("n_detected") > 0).alias("tp"), F.round((F.col("first_us") - F.col("onset")) / 3.6e9, 1).alias("latency_h"), "n_window", "n_detected",
         F.round(F.coalesce(F.try_divide("n_detected", "n_window"), F.lit(0.0)), 3).alias("detect_ratio"),
     )
 
 
+def undetected(scored: DataFrame, incidents: DataFrame) -> DataFrame:
+    """What came nearest in the incidents that have windows and no detection: largest rhythm and tx ratio, smallest continuity."""
+    hit = F.array_contains("expected", F.col("state"))
+    j = in_incident(scored, incidents).groupBy("event").agg(F.count_if(hit).alias("hits"), F.max("rhythm").alias("max_rhythm"), F.min("c_s").alias("min_c_s"), F.max("tx_r").alias("max_tx"))
+    return j.filter("hits = 0").drop("hits")
+
+
 def false_positive_rate(scored: DataFrame, incidents: DataFrame, states=ALERTS) -> DataFrame:
-    bad = F.col("state").isin(*states)
-    return normal(scored, incidents).agg(F.round(F.avg(F.when(bad, 1.0).otherwise(0.0)), 6).alias("fpr"), F.count_if(bad).alias("n_fp"), F.count(F.lit(1)).alias("n_normal"))
+    """Share and number of normal windows in one of `states`, the share of structural (S2) states and of demand alone."""
+    def share(of):
+        return F.round(F.avg(F.when(F.col("state").isin(*of), 1.0).otherwise(0.0)), 6)
+
+    tau = [s for s in states if s.startswith("S2")]
+    pi = [s for s in states if not s.startswith("S2")]
+    return normal(scored, incidents).agg(share(states).alias("fpr"), share(tau).alias("fpr_tau"), share(pi).alias("fpr_pi"), F.count_if(F.col("state").isin(*states)).alias("n_fp"), F.count(F.lit(1)).alias("n_normal"))
 
 
 def stability(scored: DataFrame, incidents: DataFrame, signal: str, cap: float = 1.05) -> DataFrame:
     """M1: the largest incident ratio over the normal median, relative to the variation of nominal ratios."""
     n = normal(scored, incidents).filter(F.col(signal).isNotNull())
-    base = n.agg(F.median(signal).alias("p50"), (F.stddev_samp(F.when(F.col(signal) < cap, F.col(signal))) / F.avg(F.when(F.col(signal) < cap, F.col(signal)))).alias("cv"))
+    base = n.agg((F.stddev_samp(F.when(F.col(signal) < cap, F.col(signal))) / F.avg(F.when(F.col(signal) < cap, F.col(signal)))).alias("cv"))
+    base = base.crossJoin(quantiles(n, signal, {"p50": 0.5}))
     top = in_incident(scored, incidents).filter(F.col(signal).isNotNull()).agg(F.max(signal).alias("max_event"), F.max_by("event", signal).alias("best_event"))
     m1 = ((F.col("max_event") - F.col("p50")) / F.col("p50")) / F.col("cv")
-    return base.crossJoin(top).select(F.lit(signal).alias("signal"), "best_event", F.round("max_event", 6).alias("max_event"), F.round("p50", 6).alias("p50"), F.round("cv", 6).alias("cv"), F.round(m1, 4).alias("m1"), level(m1).alias("level"))  # two single rows
+    return base.crossJoin(top).select(F.lit(signal).alias("signal"), "best_event", F.round("max_event", 6).alias("max_event"), F.round("p50", 6).alias("p50"), F.round("cv", 6).alias("cv"), F.round(m1, 4).alias("m1"), level(m1).alias("level"))  # single rows
 
 
 def level(m1) -> F.Column:
     return F.when(m1 >= 2, "Excellent").when(m1 >= 1, "Certified").when(m1 >= 0.5, "Operational").otherwise("Provisional")
 
 
+def confidence(tpr, fpr, incidents, deployed_days, data_days) -> F.Column:
+    """How far a calibration can be trusted. HIGH: tpr of 0.80, fpr of 0.10 at most, three incidents, over 30 days in use.
+    MEDIUM (events): measured on incidents. MEDIUM (statistics): no incidents, 30 days of data at least. Else LOW."""
+    measured = (incidents > 0) & tpr.isNotNull() & fpr.isNotNull()
+    high = measured & (tpr >= 0.80) & (fpr <= 0.10) & (incidents >= 3) & (deployed_days > 30)
+    return F.when(F.coalesce(high, F.lit(False)), "HIGH").when(measured, "MEDIUM event-based").when((incidents == 0) & (data_days >= 30), "MEDIUM statistical").otherwise("LOW")
+
+
+def validity(n, mean, deviation, least: int = 30, still: float = 0.001) -> F.Column:
+    """Whether a signal of a chain can be used: too few windows are Observational, a mean of zero is Broken, and one that hardly varies Dormant."""
+    return F.when(n < least, "Observational").when(F.coalesce(mean, F.lit(0.0)) == 0, "Broken").when(F.coalesce(deviation / F.abs(mean), F.lit(0.0)) < still, "Dormant").otherwise("Valid")
+
+
+def continuity_check(windows: DataFrame, bound: float = 0.99) -> DataFrame:
+    """Per chain nine quantiles of c_s, and whether its 10 % quantile is over `bound`: then the continuity threshold is switched off (null)."""
+    points = {f"p{round(100 * p):02d}": p for p in (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)}
+    q = quantiles(windows, "c_s", points, ["chain"])
+    off = F.col("p10") > bound
+    return q.select("chain", *[F.round(n, 6).alias(n) for n in points], off.alias("disabled"), F.round(F.when(~off, F.col("p10")), 6).alias("continuity_p10"))
+
+
+def latest_valid(windows: DataFrame, continuity: float = 0.90, cadence: float = 2.5) -> DataFrame:
+    """Per chain the latest window, and whether its continuity is over `continuity` and its cadence under `cadence`."""
+    last = windows.groupBy("chain").agg(F.max_by(F.struct("window_id", "c_s", "rho_ts"), "window_id").alias("w")).select("chain", "w.*")
+    return last.withColumn("valid", F.coalesce((F.col("c_s") > continuity) & (F.col("rho_ts") < cadence), F.lit(False)))
+
+
 def hourly_ratio(hourly: DataFrame, columns: dict[str, str], warm_up: int = 20) -> DataFrame:
     """Ratios over the baseline before the hour; hours without a value neither count nor update; none in the first 20 hours."""
     e = ema(hourly, {f"_e_{n}": (c, HOURLY) for n, c in columns.items()})

@@ -1,9 +1,9 @@
-"""DuckDB SQL for the queries of the suite, written from the definitions."""
+"""DuckDB SQL for the queries of the suite, written from the published definitions, not from the engine."""
 
 from __future__ import annotations
 
 from . import suite as Q
-from .sources.views import _JANUARY, DAY, EVENTS
+from .sources.views import _JANUARY, DAY, EVENTS, FIRST_HOUR, LAST_HOUR
 
 _A = "(CAST(2 AS DOUBLE) / 11)"
 _SLOW = "(CAST(2 AS DOUBLE) / 721)"
@@ -12,7 +12,7 @@ _HOUR = 3_600_000_000
 
 def _blk(chain: str = "'evt'") -> str:
     return f"""blk AS (SELECT {chain} AS chain, event_id AS number, epoch_us(ts) AS us, value AS gas_used, CAST(600 AS DOUBLE) AS gas_limit,
-        CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS tx, value * length(event_type) AS size, event_type FROM events)"""
+        CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS tx, value * length(event_type) AS size, event_type, length(props) AS input_bytes, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) % 7 AS blobs FROM events)"""
 
 
 def _inv(chain: str = "'evt'") -> str:
@@ -63,11 +63,12 @@ _SLOT = f"""WITH RECURSIVE {_blk()}, sl AS (SELECT chain, us // 60000000 AS slot
 _SLOT_SC = f"{_SLOT}, {_fold('se', 'gf', {'e': 'z'}, _A)}, ss AS MATERIALIZED (SELECT gf.*, CASE WHEN gf.idx > 50 THEN least(rho_ts, 20.0) / e END AS rhythm FROM gf JOIN se USING (chain, idx)), {_GT}"
 
 
-def _hours(name: str, where: str) -> str:
+def _hours(name: str, where: str, least: int = 1) -> str:
+    """All hours of the fixture's range; hours of fewer than `least` blocks are missing."""
     return f"""{name}b AS (SELECT *, us // {_HOUR} AS hour, (us - lag(us) OVER (PARTITION BY us // {_HOUR} ORDER BY us, number)) / CAST(1000000 AS DOUBLE) AS gap FROM blk WHERE {where}),
-    {name}h AS (SELECT hour, count(*) AS block_count, CASE WHEN count(*) >= 2 THEN coalesce(avg(gap) FILTER (WHERE gap > 0 AND gap < 60), 12.0) END AS interval, avg(size) AS size_avg, avg(tx) AS tx_avg, avg(gas_used) AS gas_avg FROM {name}b GROUP BY hour),
-    {name} AS MATERIALIZED (SELECT 'evt' AS chain, hour, hour - lo AS idx, coalesce(block_count, 0) AS block_count, CAST(block_count AS DOUBLE) AS n, interval, size_avg, tx_avg, gas_avg
-        FROM (SELECT unnest(range(min(hour), max(hour) + 1)) AS hour, min(hour) AS lo FROM {name}h) LEFT JOIN {name}h USING (hour))"""
+    {name}h AS (SELECT hour, count(*) AS block_count, CASE WHEN count(*) >= 2 THEN coalesce(avg(gap) FILTER (WHERE gap > 0 AND gap < 60), 12.0) END AS interval, avg(size) AS size_avg, avg(tx) AS tx_avg, avg(gas_used) AS gas_avg, avg(tx) AS blob_avg, avg(gas_used) AS basefee_avg FROM {name}b GROUP BY hour HAVING count(*) >= {least}),
+    {name} AS MATERIALIZED (SELECT 'evt' AS chain, hour, hour - {FIRST_HOUR} AS idx, coalesce(block_count, 0) AS block_count, CAST(block_count AS DOUBLE) AS n, interval, size_avg, tx_avg, gas_avg, blob_avg, basefee_avg
+        FROM (SELECT unnest(range({FIRST_HOUR}, {LAST_HOUR})) AS hour) LEFT JOIN {name}h USING (hour))"""
 
 
 def _hourly(name: str, columns: dict[str, str]) -> str:
@@ -75,16 +76,32 @@ def _hourly(name: str, columns: dict[str, str]) -> str:
     return f"{_fold(name + 'e', name, columns, '0.1')}, {name}r AS MATERIALIZED (SELECT h.*, {r} FROM {name} h LEFT JOIN {name}e p ON p.idx = h.idx - 1)"
 
 
-_L1 = f"WITH RECURSIVE {_blk()}, {_hours('a', 'true')}, {_hourly('a', {'interval_r': 'interval', 'size_r': 'size_avg', 'tx_r': 'tx_avg', 'gas_r': 'gas_avg'})}, l1 AS (SELECT *, (size_r + tx_r + gas_r) / 3 AS sigma, (CASE WHEN interval_r > 1.10 THEN 'S2' ELSE 'S1' END) || (CASE WHEN (size_r + tx_r + gas_r) / 3 > 1.10 THEN 'D2' ELSE 'D1' END) AS l1_state FROM ar)"
+def _regime(structure: str, demand: str) -> str:
+    return f"CASE WHEN {structure} AND {demand} THEN 'S2D2' WHEN {structure} THEN 'S2D1' WHEN {demand} THEN 'S1D2' ELSE 'S1D1' END"
+
+
+_SIGMA1 = "((size_r + tx_r + blob_r) / 3)"
+_L1 = f"WITH RECURSIVE {_blk()}, {_hours('a', 'true', 2)}, {_hourly('a', {'interval_r': 'interval', 'size_r': 'size_avg', 'tx_r': 'tx_avg', 'blob_r': 'blob_avg'})}, l1 AS (SELECT *, {_SIGMA1} AS sigma, CASE WHEN idx >= 20 AND block_count > 0 THEN {_regime('interval_r > 1.10', f'{_SIGMA1} > 1.10')} END AS l1_state FROM ar)"
 _HC = _hours("c", "event_type = 'click'")
 _CR = {"count_r": "n", "size_r": "size_avg", "gas_r": "gas_avg"}
-_L2 = f"{_HC}, {_hourly('c', _CR)}, l2 AS (SELECT *, (size_r + gas_r) / 2 AS sigma, CASE WHEN n IS NOT NULL THEN (CASE WHEN count_r < 0.90 THEN 'Sx' ELSE 'S1' END) || (CASE WHEN (size_r + gas_r) / 2 > 1.10 THEN 'Dx' ELSE 'D1' END) END AS l2_state FROM cr)"
+_SIGMA2 = "((size_r + gas_r) / 2)"
+_L2 = f"{_HC}, {_hourly('c', _CR)}, l2 AS (SELECT *, {_SIGMA2} AS sigma, CASE WHEN idx >= 20 AND n IS NOT NULL THEN {_regime('count_r < 0.90', f'{_SIGMA2} > 1.10')} END AS l2_state FROM cr)"
 _GAPS = "pg AS (SELECT number, us, (us - lag(us) OVER (ORDER BY us, number)) / CAST(60000000 AS DOUBLE) AS own FROM blk WHERE event_type = 'purchase'), bg AS (SELECT number, us, last_value(own) OVER (PARTITION BY us ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS gap FROM pg)"
-_LAST = f"lb AS (SELECT a.hour, a.idx, (SELECT max(us) FROM blk WHERE event_type = 'purchase' AND us < (a.hour + 1) * {_HOUR}) AS last_us FROM a)"
+_ALL_HOURS = f"hr AS (SELECT unnest(range({FIRST_HOUR}, {LAST_HOUR})) AS hour)"
+_LAST = f"{_ALL_HOURS}, lb AS (SELECT hour, hour - {FIRST_HOUR} AS idx, (SELECT max(us) FROM blk WHERE event_type = 'purchase' AND us < (hr.hour + 1) * {_HOUR}) AS last_us FROM hr)"
 _BR = f"""{_GAPS}, {_LAST}, gh AS (SELECT us // {_HOUR} AS hour, nullif(avg(gap), 0) AS gap FROM bg WHERE gap < 60 GROUP BY 1), bh AS MATERIALIZED (SELECT 'evt' AS chain, lb.hour, lb.idx, last_us, gap FROM lb LEFT JOIN gh USING (hour)),
-    {_fold('be', 'bh', {'e': 'gap'}, '0.1')}, br AS (SELECT bh.hour, coalesce(((bh.hour + 1) * {_HOUR} - last_us) / CAST(60000000 AS DOUBLE), 9999.0) AS age_min, p.e AS baseline FROM bh LEFT JOIN be p ON p.idx = bh.idx - 1), bs AS (SELECT *, CASE WHEN age_min > 2 * baseline THEN 'BS2' ELSE 'BS1' END AS bs FROM br)"""
-_LOW = "(coalesce(l2_state, 'N/A') IN ('SxD1', 'SxDx'))"
-_COMP = f"{_L1}, {_L2}, {_BR}, comp AS (SELECT l1.hour, l1_state, bs, coalesce(l2_state, 'N/A') AS l2_state, round(age_min, 4) AS age_min, CASE WHEN bs = 'BS2' AND {_LOW} THEN 'MULTI_LAYER' WHEN bs = 'BS2' THEN 'BRIDGE_ONLY' WHEN {_LOW} THEN 'L2_ONLY' ELSE 'NORMAL' END AS signal, (bs = 'BS2' OR {_LOW}) AS alert, coalesce(l1.gas_avg > 250, false) AS fee_visible FROM l1 JOIN bs USING (hour) LEFT JOIN l2 USING (hour))"
+    {_fold('be', 'bh', {'e': 'gap'}, '0.1')}, br AS (SELECT bh.hour, bh.idx, coalesce(((bh.hour + 1) * {_HOUR} - last_us) / CAST(60000000 AS DOUBLE), 9999.0) AS age_min, p.e AS baseline FROM bh LEFT JOIN be p ON p.idx = bh.idx - 1),
+    bs AS (SELECT *, CASE WHEN baseline IS NOT NULL AND age_min > 2 * baseline THEN 'BS2' ELSE 'BS1' END AS bs FROM br WHERE idx >= 20)"""
+_COMP = f"""{_L1}, {_L2}, {_BR}, three AS (SELECT l1.*, bs.bs, bs.age_min, bs.baseline, l2.l2_state, l2.sigma AS sigma2, l2.count_r AS count2, l2.basefee_avg AS fee2 FROM l1 JOIN bs USING (hour) LEFT JOIN l2 ON l2.hour = l1.hour WHERE l1.l1_state IS NOT NULL),
+    comp AS (SELECT strftime(make_timestamp(hour * {_HOUR}), '%Y-%m-%d %H:%M:%S') AS window_start, l1_state AS l1_regime, round(sigma, 6) AS l1_sigma_ratio, round(interval_r, 6) AS l1_interval_ratio, round(blob_r, 6) AS l1_blob_ratio, round(basefee_avg, 6) AS l1_basefee_gwei,
+        bs AS bridge_regime, round(age_min, 6) AS bridge_last_age_min, round(nullif(baseline, 0), 6) AS bridge_ema_min,
+        coalesce(l2_state, 'N/A') AS l2_regime, CASE WHEN l2_state IS NOT NULL THEN round(sigma2, 6) END AS l2_sigma_ratio, CASE WHEN l2_state IS NOT NULL THEN round(count2, 6) END AS l2_count_ratio, CASE WHEN l2_state IS NOT NULL THEN round(fee2, 6) END AS l2_basefee_gwei,
+        CASE WHEN bs = 'BS2' AND l2_state IN ('S1D2', 'S2D1', 'S2D2') THEN 'MULTI_LAYER' WHEN bs = 'BS2' THEN 'BRIDGE_ONLY' WHEN l2_state IN ('S1D2', 'S2D1', 'S2D2') THEN 'L2_ONLY' ELSE 'NORMAL' END AS composite,
+        basefee_avg > {Q.VISIBLE_FEE} AS fee_monitor_visible, (bs = 'BS2' OR coalesce(l2_state IN ('S2D1', 'S2D2'), false)) AS alert FROM three)"""
+_RELAY = f"""{_GAPS}, {_ALL_HOURS}, tr_ AS (SELECT us // {_HOUR} AS hour, avg(gap) AS t_relay, count(*) AS throughput FROM bg GROUP BY 1), pe AS (SELECT us // {_HOUR} AS hour, count(*) AS pending FROM blk WHERE event_type = 'click' GROUP BY 1),
+    rh AS MATERIALIZED (SELECT 'evt' AS chain, hour, hour - {FIRST_HOUR} AS idx, t_relay, throughput, pending FROM hr LEFT JOIN tr_ USING (hour) LEFT JOIN pe USING (hour)), {_fold('re', 'rh', {'e': 't_relay'}, '0.1')},
+    rg AS (SELECT rh.hour, t_relay / nullif(p.e, 0) AS latency_ratio, pending / nullif(CAST(throughput AS DOUBLE), 0) AS backlog_ratio FROM rh LEFT JOIN re p ON p.idx = rh.idx - 1),
+    grid AS (SELECT *, CASE WHEN coalesce(latency_ratio > 2, false) THEN CASE WHEN coalesce(backlog_ratio > 1, false) THEN 'BS2L2' ELSE 'BS2L1' END WHEN coalesce(backlog_ratio > 1, false) THEN 'BS1L2' ELSE 'BS1L1' END AS grid FROM rg)"""
 _MULTI = _rat("event_type", 5)
 
 
@@ -93,13 +110,17 @@ def _grid(columns: str, rows) -> str:
 
 
 def _swept(base: str, keys: str, state: str, source: str) -> str:
-    """fpr, n_s2, n_d2, n_detected for each grid point, as the relation sw."""
+    """fpr, n_s2, n_d2, n_detected, and of each incident whether and after how many hours, for each grid point, as the relation swp."""
+    names = [e[0] for e in EVENTS]
+    hours = ", ".join(f"min(start_us - onset) FILTER (WHERE event = '{e}') / CAST({_HOUR} AS DOUBLE) AS {e}_h" for e in names)
+    out = ", ".join(f"h.{e}_h IS NOT NULL AS {e}_detected, round(h.{e}_h, 4) AS {e}_latency_h" for e in names)
     return f"""{base}, w AS (SELECT {keys}, idx, start_us, {state} AS state FROM {source} CROSS JOIN gr WHERE idx > 50),
     f AS (SELECT {keys}, round(avg(CASE WHEN {_BAD} THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT EXISTS (SELECT 1 FROM gt WHERE start_us BETWEEN onset AND until)), 4) AS fpr, count(*) FILTER (WHERE state LIKE 'S2%') AS n_s2, count(*) FILTER (WHERE state LIKE '%D2') AS n_d2 FROM w GROUP BY {keys}),
-    h AS (SELECT {keys}, count(DISTINCT event) AS n FROM w JOIN gt ON start_us BETWEEN onset AND until AND list_contains(expected, state) GROUP BY {keys}),
-    swp AS (SELECT f.*, CAST(coalesce(h.n, 0) AS INTEGER) AS n_detected FROM f LEFT JOIN h USING ({keys}))"""
+    h AS (SELECT {keys}, count(DISTINCT event) AS n, {hours} FROM w JOIN gt ON start_us BETWEEN onset AND until AND list_contains(expected, state) GROUP BY {keys}),
+    swp AS (SELECT f.*, CAST(coalesce(h.n, 0) AS INTEGER) AS n_detected, {out} FROM f LEFT JOIN h USING ({keys}))"""
 
 
+_BRIEF = "* EXCLUDE (" + ", ".join(f"{e[0]}_latency_h" for e in EVENTS) + ")"
 _KEYS = "s2, d2_sigma, d2_size, d2_tx"
 
 
@@ -110,9 +131,12 @@ def _sweep(name: str) -> str:
     return _swept(f"{_rat()}, {_GT}, {_grid(_KEYS, rows)}", _KEYS, state, "rat")
 
 
-def _slot_sweep(name: str) -> str:
-    state = "CASE WHEN coalesce(rhythm > s2, false) OR coalesce(c_s < continuity, false) THEN 'S2D1' ELSE 'S1D1' END"
-    return _swept(f"{_SLOT_SC}, {_grid('s2, continuity', Q.SLOT_GRIDS[name])}", "s2, continuity", state, "ss")
+_SLOT_STATE = "CASE WHEN coalesce(rhythm > s2, false) OR coalesce(c_s < continuity, false) THEN 'S2D1' ELSE 'S1D1' END"
+_PHASE_A = _swept(f"{_SLOT_SC}, {_grid('s2, continuity', [(x, 0.5) for x in Q.SLOT_VALUES])}", "s2, continuity", _SLOT_STATE, "ss")
+#: All detected and fpr under 0.05, lowest fpr first; else most detected of those under 0.05; else the middle of the list.
+_CHOSEN = f"""(SELECT coalesce((SELECT s2 FROM swp WHERE n_detected = {len(EVENTS)} AND fpr < 0.05 ORDER BY fpr, s2 LIMIT 1), (SELECT s2 FROM swp WHERE fpr < 0.05 ORDER BY n_detected DESC, s2 LIMIT 1), CAST({Q.SLOT_VALUES[len(Q.SLOT_VALUES) // 2]} AS DOUBLE)))"""
+_VALUES_B = ", ".join(f"(CAST({x} AS DOUBLE))" for x in Q.CONTINUITY)
+_PHASE_B = _swept(f"{_SLOT_SC}, gr AS (SELECT ({_PHASE_A} SELECT {_CHOSEN}) AS s2, continuity FROM (VALUES {_VALUES_B}) v(continuity))", "s2, continuity", _SLOT_STATE, "ss")
 
 
 def _q(c: str, p: float, name: str) -> str:
@@ -138,9 +162,12 @@ _A1 = f"WITH RECURSIVE {_blk()}, {_hours('a', 'true')}"
 _R4 = "round(rhythm, 6) AS rhythm, round(sigma, 6) AS sigma, round(size_r, 6) AS size_r, round(tx_r, 6) AS tx_r"
 
 ORACLE_SQL = {
+    "catalog_columns": "SELECT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name = 'events'",
+    "range_cut": f"WITH {_blk()}, cut AS (SELECT *, (row_number() OVER (ORDER BY number) - 1) // {Q.PHI} AS window_id FROM blk WHERE number > 0 AND us BETWEEN {_JANUARY + 9 * DAY} AND {_JANUARY + 19 * DAY}) SELECT window_id, min(number) AS first_block, max(number) AS last_block, count(*) AS block_count FROM cut GROUP BY window_id HAVING count(*) >= 2",
     "row_windows": f"SELECT event_id AS number, (row_number() OVER (ORDER BY event_id) - 1) // {Q.PHI} AS window_id FROM events",
     "slot_windows": f"SELECT epoch_us(ts) // 60000000 AS slot, epoch_us(ts) // 60000000 // {Q.SLOT_PHI} AS window_id FROM events WHERE event_type = 'error'",
-    "hour_windows": f"{_P} SELECT hour, block_count, round(size_avg, 6) AS size_avg, round(tx_avg, 6) AS tx_avg, round(gas_avg, 6) AS gas_avg FROM b",
+    "hour_windows": f"{_P} SELECT hour, block_count, round(size_avg, 6) AS size_avg, round(tx_avg, 6) AS tx_avg, round(gas_avg, 6) AS gas_avg, round(blob_avg, 6) AS blob_avg, round(basefee_avg, 6) AS basefee_avg FROM b",
+    "hourly_rollup": f"WITH {_blk()} SELECT us // {_HOUR} AS hour, count(*) AS block_count, round(avg(size), 6) AS size_avg, round(avg(gas_used), 6) AS gas_avg, round(avg(gas_used), 6) AS basefee_avg FROM blk WHERE event_type = 'click' GROUP BY 1",
     "interblock_interval": f"{_P} SELECT hour, round(interval, 6) AS interval FROM b",
     "invariants": f"{_inv()} SELECT window_id, block_count, first_block, last_block, round(rho_ts, 6) AS rho_ts, round(rho_s, 6) AS rho_s, c_s FROM inv",
     "trim_edges": f"{_inv()} SELECT idx, window_id FROM tr",
@@ -150,47 +177,60 @@ ORACLE_SQL = {
     "ema_nullsafe": f"{_SLOT}, {_fold('se', 'sn', {'e': 'rho_ts'}, _A, first='1.0')} SELECT idx, round(e, 6) AS e FROM se",
     "ema_lagged": f"{_P}, {_hourly('b', {'ratio': 'size_avg'})} SELECT hour, round(ratio, 6) AS ratio FROM br",
     "ema_reset": f"{_inv()}, tk AS MATERIALIZED (SELECT idx // 100 AS epoch, idx % 100 AS k, idx, rho_ts FROM tr), {_fold('em', 'tk', {'e': 'rho_ts'}, _A, 'epoch', 'k')} SELECT epoch * 100 + k AS idx, epoch, round(e, 6) AS e FROM em",
-    "stream_ema": f"{_inv('event_type')}, whole AS (SELECT * FROM inv WHERE block_count = {Q.PHI}), {_fold('em', 'whole', {'e': 'rho_ts'}, _A, order='window_id')} SELECT chain, window_id AS idx, start_us, end_us, round(rho_ts, 6) AS rho_ts, round(CASE WHEN window_id > 50 THEN rho_ts / nullif(e, 0) END, 6) AS rhythm FROM whole JOIN em USING (chain, window_id)",
+    "stream_ema": f"{_inv('event_type')}, whole AS (SELECT * FROM inv WHERE block_count = {Q.PHI}), {_fold('em', 'whole', {'e': 'rho_ts', 'l': 'rho_s'}, _A, order='window_id')}, {_fold('sl', 'whole', {'e': 'rho_ts'}, _SLOW, order='window_id')}, st AS (SELECT chain, window_id AS idx, start_us, end_us, rho_ts, rho_s, CASE WHEN window_id > 50 THEN rho_ts / nullif(em.e, 0) END AS rhythm, CASE WHEN window_id > 50 THEN rho_ts / nullif(sl.e, 0) END AS rhythm_slow, CASE WHEN window_id > 50 THEN rho_s / nullif(em.l, 0) END AS sigma FROM whole JOIN em USING (chain, window_id) JOIN sl USING (chain, window_id)) SELECT chain, idx, start_us, end_us, round(rho_ts, 6) AS rho_ts, round(rho_s, 6) AS rho_s, round(rhythm, 6) AS rhythm, round(rhythm_slow, 6) AS rhythm_slow, round(sigma, 6) AS sigma, (CASE WHEN {_ge('rhythm', 1.12)} THEN 'S2' ELSE 'S1' END) || (CASE WHEN {_ge('sigma', 1.10)} THEN 'D2' ELSE 'D1' END) AS state FROM st",
     "ratios": f"{_rat()} SELECT idx, {_R4} FROM rat",
     "warmup_null": f"{_rat()} SELECT count(*) FILTER (WHERE rhythm IS NULL) AS n_null, min(idx) FILTER (WHERE rhythm IS NOT NULL) AS first_idx FROM rat",
     "slow_drift": f"{_rat(alpha=_SLOW)} SELECT idx, round(rhythm, 6) AS rhythm FROM rat",
+    "continuity_ratio": f"{_SLOT}, {_fold('ce', 'gf', {'e': 'c_s'}, _A)} SELECT idx, round(c_s / nullif(e, 0), 6) AS continuity_ratio FROM gf JOIN ce USING (chain, idx)",
     "complexity_ratio": _derived("size_avg / nullif(tx_count_avg, 0)", "greatest(0.01, least(20.0, x / nullif(e, 0)))"),
     "gas_complexity_ratio": _derived("gas_used_avg / nullif(tx_count_avg, 0)", "coalesce(x / nullif(e, 0), 1.0)"),
-    "adapter_signals": f"{_A1}, {_LAST}, nb AS (SELECT us // {_HOUR} AS hour, count(*) AS blobs FROM blk WHERE event_type = 'purchase' GROUP BY 1) SELECT hour, round(((hour + 1) * {_HOUR} - last_us) / CAST(1000000 AS DOUBLE), 3) AS publish_latency, coalesce(blobs * 131072, 0) AS calldata_bytes, round(coalesce(blobs, 0) / CAST(6 AS DOUBLE), 6) AS blob_usage FROM lb LEFT JOIN nb USING (hour)",
+    "adapter_signals": f"WITH {_blk()}, ba AS (SELECT *, (SELECT max(us) FROM blk r WHERE r.event_type = 'click' AND r.us < b.us) AS last_us, CASE WHEN blobs > 0 THEN blobs * 131072 ELSE input_bytes END AS bytes FROM blk b WHERE event_type = 'purchase') SELECT number, round((us - last_us) / CAST(1000000 AS DOUBLE), 3) AS publish_latency, bytes AS calldata_bytes, round(blobs / CAST(6 AS DOUBLE), 6) AS blob_usage, round(bytes / nullif(CAST(tx AS DOUBLE), 0), 6) AS calldata_per_tx FROM ba",
     "classify_1d": f"{_rat()} SELECT idx, (CASE WHEN {_ge('rhythm', 1.12)} THEN 'S2' ELSE 'S1' END) || (CASE WHEN {_ge('sigma', 1.10)} THEN 'D2' ELSE 'D1' END) AS state FROM rat",
     "classify_2of3": f"{_SC} SELECT idx, d2_dims, state FROM sc",
     "classify_slot": f"{_SLOT_SC} SELECT idx, round(rhythm, 6) AS rhythm, CASE WHEN coalesce(rhythm > 1.12, false) OR c_s < 0.5 THEN 'S2D1' ELSE 'S1D1' END AS state FROM ss",
-    "classify_l1_hour": f"{_L1} SELECT hour, round(interval_r, 6) AS interval_r, round(sigma, 6) AS sigma, l1_state FROM l1",
-    "classify_l2_hour": f"WITH RECURSIVE {_blk()}, {_L2} SELECT hour, round(count_r, 6) AS count_r, round(sigma, 6) AS sigma, l2_state FROM l2",
+    "classify_l1_hour": f"{_L1} SELECT hour, round(interval_r, 6) AS interval_r, round(size_r, 6) AS size_r, round(tx_r, 6) AS tx_r, round(blob_r, 6) AS blob_r, round(sigma, 6) AS sigma, l1_state FROM l1",
+    "classify_l2_hour": f"WITH RECURSIVE {_blk()}, {_L2} SELECT hour, round(count_r, 6) AS count_r, round(size_r, 6) AS size_r, round(gas_r, 6) AS gas_r, round(sigma, 6) AS sigma, l2_state FROM l2",
     "bridge_intervals": f"WITH {_blk()}, {_GAPS} SELECT number, round(gap, 6) AS gap FROM bg",
-    "asof_last_blob": f"{_A1}, {_LAST} SELECT hour, last_us FROM lb",
-    "bridge_bs": f"{_A1}, {_BR} SELECT hour, round(age_min, 6) AS age_min, round(baseline, 6) AS baseline, bs FROM bs",
-    "bridge_grid": f"WITH {_blk()}, {_GAPS}, g AS (SELECT us // {_HOUR} AS hour, avg(gap) AS gap, count(*) AS n FROM bg GROUP BY 1) SELECT hour, (CASE WHEN gap > 1.5 * (SELECT avg(gap) FROM g) THEN 'BS2' ELSE 'BS1' END) || (CASE WHEN n < 0.5 * (SELECT avg(n) FROM g) THEN 'L2' ELSE 'L1' END) AS state FROM g",
+    "asof_last_blob": f"WITH {_blk()}, {_LAST} SELECT hour, last_us FROM lb",
+    "bridge_bs": f"WITH RECURSIVE {_blk()}, {_BR} SELECT hour, round(age_min, 6) AS age_min, round(baseline, 6) AS baseline, bs FROM bs",
+    "bridge_grid": f"WITH RECURSIVE {_blk()}, {_RELAY} SELECT hour, round(latency_ratio, 6) AS latency_ratio, round(backlog_ratio, 6) AS backlog_ratio, grid FROM grid",
     "composite": f"{_COMP} SELECT * FROM comp",
-    "composite_summary": f"{_COMP} SELECT count(*) AS hours, count(*) FILTER (WHERE bs = 'BS2') AS bs2, count(*) FILTER (WHERE signal = 'MULTI_LAYER') AS multi, count(*) FILTER (WHERE alert) AS alerts, count(*) FILTER (WHERE fee_visible) AS fee FROM comp",
-    "first_alert": f"{_COMP} SELECT min(hour) AS hour, arg_min(signal, hour) AS signal FROM comp WHERE alert",
-    "causal_grid": f"{_COMP} SELECT hour, CASE WHEN l1_state = 'S1D1' AND bs = 'BS1' THEN 'nominal' WHEN l1_state = 'S1D1' THEN 'bridge fault' WHEN l1_state = 'S2D1' AND bs = 'BS2' THEN 'base layer delays the bridge' WHEN l1_state = 'S2D2' AND bs = 'BS2' THEN 'congestion on both' WHEN bs = 'BS1' THEN 'base layer only' ELSE 'unnamed' END AS reading FROM comp",
+    "composite_summary": f"{_COMP} SELECT count(*) AS hours, count(*) FILTER (WHERE bridge_regime = 'BS2') AS bs2, count(*) FILTER (WHERE l2_regime IN ('S1D2', 'S2D1', 'S2D2')) AS l2_degraded, count(*) FILTER (WHERE composite = 'MULTI_LAYER') AS multi, count(*) FILTER (WHERE alert) AS alerts, count(*) FILTER (WHERE fee_monitor_visible) AS fee FROM comp",
+    "first_alert": f"{_COMP} SELECT min(window_start) AS window_start, arg_min(composite, window_start) AS composite FROM comp WHERE alert",
+    "causal_grid": f"""{_L1}, {_RELAY}, j AS (SELECT l1.hour, l1_state, grid FROM l1 JOIN grid USING (hour) WHERE l1_state IS NOT NULL) SELECT *,
+        CASE WHEN grid IN ('BS2L1', 'BS2L2') THEN 'bridge congested, the rollup answers alone' WHEN grid = 'BS1L2' THEN NULL WHEN l1_state = 'S1D1' THEN 'overall calm' WHEN l1_state = 'S1D2' THEN 'healthy adoption' WHEN l1_state = 'S2D1' THEN 'structural stress that prices do not show' ELSE 'systemic congestion' END AS reading,
+        CASE WHEN grid IN ('BS2L1', 'BS2L2') THEN 'adaptation up' WHEN grid = 'BS1L2' THEN NULL WHEN l1_state = 'S1D1' THEN 'demand down, composition down, adaptation down' WHEN l1_state = 'S1D2' THEN 'demand up, composition stable, adaptation stable' WHEN l1_state = 'S2D1' THEN 'demand down, composition up, adaptation up' ELSE 'demand up, composition up, adaptation up' END AS response FROM j""",
     "event_window": f"{_SC} SELECT event, count(*) AS n FROM sc JOIN gt ON start_us BETWEEN onset AND until GROUP BY event",
     "event_join": f"{_SC} SELECT event, idx, state FROM sc JOIN gt ON start_us BETWEEN onset AND until",
     "normal_windows": f"{_SC} SELECT idx, state FROM nm",
-    "state_distribution": f"{_SC} SELECT state, count(*) AS n FROM sc GROUP BY state",
-    "fpr": f"{_SC} SELECT round({_FPR}, 6) AS fpr, count(*) FILTER (WHERE {_BAD}) AS n_fp, count(*) AS n_normal FROM nm",
+    "state_distribution": f"{_SC} SELECT state, count(*) AS n, round(100.0 * count(*) / nullif((SELECT count(*) FROM sc) - 50, 0), 4) AS percent FROM sc GROUP BY state",
+    "slot_distribution": f"{_SLOT_SC}, v AS (SELECT CASE WHEN coalesce(rhythm > 1.12, false) OR c_s < 0.5 THEN 'S2D1' ELSE 'S1D1' END AS state FROM ss WHERE idx > 50) SELECT state, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM v), 4) AS percent FROM v GROUP BY state",
+    "fpr": f"{_SC} SELECT round({_FPR}, 6) AS fpr, round(avg(CASE WHEN state IN ('S2D1', 'S2D2') THEN 1.0 ELSE 0.0 END), 6) AS fpr_tau, round(avg(CASE WHEN state = 'S1D2' THEN 1.0 ELSE 0.0 END), 6) AS fpr_pi, count(*) FILTER (WHERE {_BAD}) AS n_fp, count(*) AS n_normal FROM nm",
+    "undetected": f"{_SLOT_SC}, v AS (SELECT *, CASE WHEN coalesce(rhythm > 1.5, false) OR c_s < 0.2 THEN 'S2D1' ELSE 'S1D1' END AS state FROM ss) SELECT event, round(max(rhythm), 6) AS max_rhythm, round(min(c_s), 6) AS min_c_s, CAST(1.0 AS DOUBLE) AS max_tx FROM v JOIN gt ON start_us BETWEEN onset AND until GROUP BY event HAVING count(*) FILTER (WHERE list_contains(expected, state)) = 0",
     "event_detection": f"{_DET} SELECT event, n_detected > 0 AS tp, round((first_us - onset) / CAST(3600000000 AS DOUBLE), 1) AS latency_h, n_window, n_detected, round(coalesce(n_detected / nullif(CAST(n_window AS DOUBLE), 0), 0), 3) AS detect_ratio FROM det",
     "tpr": f"{_DET} SELECT round(avg(CASE WHEN n_detected > 0 THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM det",
     "quantiles_normal": f"{_SC} SELECT " + ", ".join(_q(c, p, f"{c}_p{int(p * 100)}") for c in ("rhythm", "sigma") for p in (0.1, 0.5, 0.9, 0.95, 0.99)) + " FROM nm",
     "m1": _m1("rhythm"),
     "m1_level": f"SELECT signal, level FROM ({_m1('sigma')})",
     "signal_profile": f"{_SC} SELECT count(rhythm) AS n, round(avg(rhythm), 6) AS avg, round(stddev_samp(rhythm), 6) AS std, " + ", ".join(_q("rhythm", p, f"p{int(p * 100)}") for p in (0.5, 0.85, 0.90, 0.95, 0.99)) + ", round(stddev_samp(rhythm) / avg(rhythm), 6) AS cv, round(quantile_cont(rhythm, 0.99) / quantile_cont(rhythm, 0.5), 6) AS p99_p50 FROM nm",
-    "confidence_level": f"{_DET}, t AS (SELECT avg(CASE WHEN n_detected > 0 THEN 1.0 ELSE 0.0 END) AS tpr, count(*) AS n FROM det), x AS (SELECT round({_FPR}, 6) AS fpr FROM nm) SELECT round(tpr, 6) AS tpr, fpr, CASE WHEN tpr >= 0.8 AND fpr <= 0.1 AND n >= 3 THEN 'HIGH' WHEN tpr >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM t, x",
-    "histogram": f"{_SC} SELECT CASE WHEN rhythm >= 3 THEN 101 WHEN rhythm < 0 THEN 0 ELSE CAST(floor(rhythm * 100 / 3) AS BIGINT) + 1 END AS bin, count(*) AS n FROM sc WHERE rhythm IS NOT NULL GROUP BY 1",
-    "l2_state_per_chain": f"{_MULTI}, pr AS (SELECT * FROM (VALUES ('click', 1.10, 1.10), ('purchase', 1.15, NULL), ('error', 1.12, 1.05)) v(chain, p2, ps)) SELECT chain, idx, (CASE WHEN coalesce(rhythm >= CAST(p2 AS DOUBLE), false) THEN 'S2' ELSE 'S1' END) || (CASE WHEN coalesce(sigma >= CAST(ps AS DOUBLE), false) THEN 'D2' ELSE 'D1' END) AS state FROM rat JOIN pr USING (chain)",
-    "l2_d2_percent": f"{_MULTI} SELECT chain, count(*) AS n, round(100.0 * count(*) FILTER (WHERE sigma >= 1.10) / count(*), 4) AS d2_percent, round(avg(sigma), 6) AS avg_sigma, {_q('sigma', 0.9, 'p90')}, {_q('sigma', 0.95, 'p95')}, {_q('sigma', 0.97, 'p97')} FROM rat WHERE sigma IS NOT NULL GROUP BY chain",
-    "calibrate_p97": f"{_MULTI} SELECT chain, {_q('sigma', 0.97, 'threshold')} FROM rat GROUP BY chain",
-    "l0_hash": f"WITH {_blk()}, wb AS (SELECT *, (row_number() OVER (ORDER BY number) - 1) // {Q.PHI} AS window_id FROM blk) SELECT window_id, sha256(string_agg(sha256(chain || ':' || number || ':' || us || ':' || tx), '' ORDER BY number)) AS batch_hash FROM wb GROUP BY window_id",
-    **{n: f"{_sweep(n)} SELECT * FROM swp" for n in Q.GRIDS},
-    **{n: f"{_slot_sweep(n)} SELECT * FROM swp" for n in Q.SLOT_GRIDS},
-    "sweep_union": f"SELECT s2, continuity, fpr, n_s2, n_d2, n_detected, 'A' AS phase FROM ({_slot_sweep('sweep_slot_a')} SELECT * FROM swp) UNION ALL SELECT s2, continuity, fpr, n_s2, NULL, n_detected, 'B' FROM ({_slot_sweep('sweep_slot_b')} SELECT * FROM swp)",
-    "pivot_fpr": f"{_sweep('sweep_grid2d')} SELECT d2_size, " + ", ".join(f"max(fpr) FILTER (WHERE d2_tx = {v}) AS tx_{round(v * 100)}" for v in Q.TX_VALUES) + " FROM swp GROUP BY d2_size",
+    "confidence_level": f"""{_DET}, sp AS (SELECT (max(end_us) - min(start_us)) / CAST({DAY} AS DOUBLE) AS days FROM sc), x AS (SELECT (SELECT avg(CASE WHEN n_detected > 0 THEN 1.0 ELSE 0.0 END) FROM det) AS tpr, (SELECT round({_FPR}, 6) FROM nm) AS fpr, (SELECT count(*) FROM det) AS n, days FROM sp)
+        SELECT 'evt' AS chain, round(tpr, 6) AS tpr, fpr, n, CASE WHEN tpr >= 0.8 AND fpr <= 0.1 AND n >= 3 AND days > 30 THEN 'HIGH' ELSE 'MEDIUM event-based' END AS level FROM x
+        UNION ALL SELECT event_type, NULL, NULL, 0, CASE WHEN max(epoch_us(ts)) - min(epoch_us(ts)) >= 30 * {DAY} THEN 'MEDIUM statistical' ELSE 'LOW' END FROM events GROUP BY event_type""",
+    "signal_validity": f"{_inv('event_type')}, u AS (SELECT chain, unnest(['rho_ts', 'rho_s', 'c_s']) AS signal, unnest([rho_ts, rho_s, c_s]) AS x FROM inv), g AS (SELECT chain, signal, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS deviation FROM u GROUP BY ALL) SELECT chain, signal, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, CASE WHEN n < 30 THEN 'Observational' WHEN mean = 0 THEN 'Broken' WHEN deviation / abs(mean) < 0.001 THEN 'Dormant' ELSE 'Valid' END AS status FROM g",
+    "continuity_check": f"{_SLOT}, q AS (SELECT chain, quantile_cont(c_s, [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]) AS q FROM (SELECT 'evt' AS chain, c_s FROM st) GROUP BY chain) SELECT chain, " + ", ".join(f"round(q[{i}], 6) AS p{p}" for i, p in enumerate(("01", "05", "10", "25", "50", "75", "90", "95", "99"), 1)) + ", q[3] > 0.99 AS disabled, CASE WHEN q[3] <= 0.99 THEN round(q[3], 6) END AS continuity_p10 FROM q",
+    "latest_valid": f"{_inv('event_type')} SELECT chain, window_id, round(c_s, 6) AS c_s, round(rho_ts, 6) AS rho_ts, (c_s > 0.9 AND rho_ts < 2.5) AS valid FROM inv QUALIFY row_number() OVER (PARTITION BY chain ORDER BY window_id DESC) = 1",
+    "histogram": f"{_SC}, lh AS (SELECT min(rhythm) AS least_, max(rhythm) AS most_ FROM sc) SELECT CAST(least(floor((rhythm - least_) / (most_ - least_) * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM sc, lh WHERE rhythm IS NOT NULL GROUP BY 1",
+    "l2_state_per_chain": f"{_MULTI}, pr AS (SELECT * FROM (VALUES ('click', 1.05, 1.20), ('purchase', 1.15, NULL), ('error', 1.05, 1.12)) v(chain, p2, ps)) SELECT chain, idx, (CASE WHEN coalesce(rhythm >= CAST(p2 AS DOUBLE), false) THEN 'S2' ELSE 'S1' END) || (CASE WHEN coalesce(sigma >= CAST(ps AS DOUBLE), false) THEN 'D2' ELSE 'D1' END) AS state FROM rat LEFT JOIN pr USING (chain)",
+    "l2_d2_percent": f"{_MULTI} SELECT chain, count(*) AS n, round(100.0 * count(*) FILTER (WHERE sigma >= 1.10) / count(*), 4) AS d2_percent, round(avg(sigma), 6) AS avg_sigma, {_q('sigma', 0.9, 'p90')}, {_q('sigma', 0.95, 'p95')}, {_q('sigma', 0.97, 'p97')}, {_q('sigma', 0.98, 'p98')}, {_q('sigma', 0.99, 'p99')} FROM rat WHERE sigma IS NOT NULL GROUP BY chain",
+    "calibrate_p97": f"{_MULTI}, c AS (SELECT chain, (max(end_us) - min(start_us)) / CAST({DAY} AS DOUBLE) AS days, quantile_cont(sigma, 0.97) AS p97 FROM rat GROUP BY chain) SELECT chain, round(days, 6) AS days, round(p97, 6) AS p97, CASE WHEN days >= 30 THEN round(p97, 6) END AS threshold, CASE WHEN days >= 29 THEN round(p97, 6) END AS threshold_29d FROM c WHERE p97 IS NOT NULL",
+    "l0_hash": f"WITH {_blk()}, wb AS (SELECT *, (row_number() OVER (ORDER BY number) - 1) // {Q.PHI} AS window_id FROM blk) SELECT window_id, sha256(string_agg(sha256(concat_ws(':', chain, number, us, CAST(round(gas_used * 1000000) AS BIGINT), 600000000, CAST(round(size * 1000000) AS BIGINT), tx)), '' ORDER BY number)) AS batch_hash FROM wb GROUP BY window_id",
+    "l1_hash": f"{_inv()} SELECT window_id, sha256(concat_ws(':', chain, window_id, start_us, end_us, block_count, first_block, last_block, " + ", ".join(f"CAST(round({c} * 1000000) AS BIGINT)" for c in ("rho_ts", "rho_s", "size_avg", "tx_count_avg", "c_s")) + ")) AS l1_hash FROM inv",
+    **{n: f"{_sweep(n)} SELECT {'*' if n in Q.WITH_LATENCY else _BRIEF} FROM swp" for n in Q.GRIDS},
+    "sweep_slot_a": f"{_PHASE_A} SELECT * FROM swp",
+    "sweep_slot_b": f"{_PHASE_B} SELECT {_BRIEF} FROM swp",
+    "sweep_union": f"SELECT *, 'A' AS phase FROM ({_PHASE_A} SELECT * FROM swp) UNION ALL BY NAME SELECT *, 'B' AS phase FROM ({_PHASE_B} SELECT {_BRIEF} FROM swp)",
+    "select_slot_threshold": f"{_PHASE_A} SELECT {_CHOSEN} AS s2",
+    "pivot_fpr": f"{_sweep('sweep_grid2d')} SELECT d2_size, " + ", ".join(f"max({c}) FILTER (WHERE d2_tx = {v}) AS {c}_tx_{round(v * 100)}" for v in Q.TX_VALUES for c in ("fpr", "n_d2")) + " FROM swp GROUP BY d2_size",
     "highest_full_tpr": f"{_sweep('sweep_s2')} SELECT max(s2) FILTER (WHERE n_detected = {len(EVENTS)}) AS s2 FROM swp",
     "select_threshold": f"{_sweep('sweep_pol_s2')} SELECT * FROM swp ORDER BY n_detected DESC, fpr, s2 LIMIT 1",
 }

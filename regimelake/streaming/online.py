@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ema import numbered
+from ..functions.ema import affine, numbered
 
-STATE = "n long, start_us long, last_us long, count long, e double, idx long, held_n array<long>, held_us array<long>"
-OUT = "chain string, idx long, start_us long, end_us long, rho_ts double, rhythm double, state string"
+STATE = "n long, start_us long, last_us long, count long, load double, loads long, e double, slow double, e_load double, idx long, held_n array<long>, held_us array<long>, held_load array<double>"
+OUT = "chain string, idx long, start_us long, end_us long, rho_ts double, rho_s double, rhythm double, rhythm_slow double, sigma double, state string"
 
 #: Rows of a chain in one slice, which is what a task of a micro-batch sorts.
 SLICE = 1 << 18
@@ -19,15 +20,16 @@ _LAST = (1 << 63) - 1
 
 
 def ordered_slices(blocks: DataFrame, path: str, rows: int = SLICE, bucket: int = 65_536) -> DataFrame:
-    """Write (chain, number, us, slice), `number` now a block's place in its chain from 0, one file a slice; reread as a table.
+    """Write (chain, number, us, load, slice), `number` now a block's place in its chain from 0, one file a slice; reread as a table.
 
     Places follow the numbers, equal ones the time; blocks without a number come last. A slice has at
     most `rows` blocks of each chain. Files get modification times in the order of their slices, as a
     stream reads files by these; where a store does not keep them, `stream_classify` holds early slices.
     """
-    b = blocks.select("chain", "number", "us")
+    load = F.try_divide("gas_used", "gas_limit").cast("double") if "gas_limit" in blocks.columns else F.lit(None).cast("double")
+    b = blocks.select("chain", "number", "us", load.alias("load"))
     placed = numbered(b, "chain", [F.asc_nulls_last("number"), "us"], F.coalesce(F.expr(f"number div {bucket}"), F.lit(_LAST)), "place")
-    out = placed.select("chain", F.col("place").cast("long").alias("number"), "us", F.expr(f"place div {rows}").alias("slice"))
+    out = placed.select("chain", F.col("place").cast("long").alias("number"), "us", "load", F.expr(f"place div {rows}").alias("slice"))
     out.repartition("slice").write.partitionBy("slice").parquet(path)
     spark = blocks.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,39 +41,77 @@ def ordered_slices(blocks: DataFrame, path: str, rows: int = SLICE, bucket: int
     return spark.read.schema(out.schema).parquet(path)
 
 
-def stream_classify(blocks: DataFrame, phi: int, alpha: float = 2 / 11, s2: float = 1.12, warm_up: int = 50, dense: bool = False) -> DataFrame:
-    """One row for each `phi` blocks of a chain: cadence, ratio to its baseline, S1 or S2.
+def _baseline(values: np.ndarray, before: float, alpha: float) -> np.ndarray:
+    """The EMA after each value, from `before` (NaN: none yet)."""
+    if before != before:
+        known = np.flatnonzero(~np.isnan(values))
+        if not len(known):
+            return np.full(len(values), np.nan)
+        before = values[known[0]]
+        a, b = affine(values, alpha)
+        return np.where(np.arange(len(values)) < known[0], np.nan, a * before + b)
+    a, b = affine(values, alpha)
+    return a * before + b
 
-    blocks: a stream of (chain, number, us). The state of a chain is its open window and its baseline.
-    A micro-batch is sorted by number. With `dense`, numbers are places from 0 without gaps, and blocks
-    that come early are held in the state until those before them have come, so files may come in any
-    order. Without it nothing tells whether a block is still missing: a block before the last one seen
-    is an error, never dropped. Blocks without a number are left out. Windows are numbered from 0 with
-    nothing trimmed.
+
+def stream_classify(blocks: DataFrame, phi: int, alpha: float = 2 / 11, slow: float = 2 / 721, s2: float = 1.12, d2: float = 1.10, warm_up: int = 50, dense: bool = False) -> DataFrame:
+    """One row for each `phi` blocks of a chain: cadence and load, their ratios to baselines, and the state (S1 or S2, D1 or D2).
+
+    blocks: a stream of (chain, number, us) and, for demand, load. The state of a chain is its open window, the fast and slow
+    baseline of cadence and the fast one of load. A micro-batch is sorted by number. With `dense`, numbers are
+    places from 0 without gaps, and blocks that come early are held in the state until those before them have
+    come, so files may come in any order. Without it nothing tells whether a block is still missing: a block
+    before the last one seen is an error, never dropped. Blocks without a number are left out, null loads do
+    not enter a window's mean. Windows are numbered from 0 with nothing trimmed.
     """
 
     def step(key, batches, state):
-        n, start, last, count, e, idx, held_n, held_us = state.get if state.exists else (None, 0, 0, 0, float("nan"), 0, [], [])
-        pdf = pd.concat([pd.DataFrame({"number": held_n, "us": held_us}, dtype="int64"), *(b[["number", "us"]] for b in batches)]).sort_values(["number", "us"])
-        number, us = pdf["number"].tolist(), pdf["us"].tolist()
-        if number and n is not None and number[0] < n + dense:
+        none = float("nan")
+        n, start, last, count, load, loads, e, e_slow, e_load, idx, held_n, held_us, held_load = state.get if state.exists else (None, 0, 0, 0, 0.0, 0, none, none, none, 0, [], [], [])
+        held = pd.DataFrame({"number": pd.Series(held_n, dtype="int64"), "us": pd.Series(held_us, dtype="int64"), "load": pd.Series(held_load, dtype="float64")})
+        parts = [x for x in (held, *(b[["number", "us", "load"]] for b in batches)) if len(x)]
+        pdf = (pd.concat(parts) if parts else held).sort_values(["number", "us"], kind="stable")
+        number, us, loaded = pdf["number"].to_numpy(np.int64), pdf["us"].to_numpy(np.int64), pdf["load"].to_numpy(np.float64, na_value=np.nan)
+        if len(number) and n is not None and number[0] < n + dense:
             raise ValueError(f"chain {key[0]}: block {number[0]} came after block {n}")
+        ready = len(number)
         if dense:
-            first = 0 if n is None else n + 1
-            ready = next((i for i, x in enumerate(number) if x != first + i), len(number))
-        else:
-            ready = len(number)
-        rows = []
-        for x, t in zip(number[:ready], us[:ready], strict=True):
-            start = t if not count else min(start, t)
-            n, last, count = x, t if not count else max(last, t), count + 1
-            if count == phi:
-                rho = (last - start) // 1000 / 1000 / (phi - 1)
-                e = rho if e != e else alpha * rho + (1 - alpha) * e
-                ratio = rho / e if idx > warm_up and e else None
-                rows.append((key[0], idx, start, last, rho, ratio, "S2" if ratio is not None and ratio >= s2 else "S1"))
-                idx, count = idx + 1, 0
-        state.update((n, int(start), int(last), int(count), float(e), int(idx), number[ready:], us[ready:]))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return blocks.filter("number is not null").groupBy("chain").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+            late = np.flatnonzero(number != np.arange(len(number)) + (0 if n is None else n + 1))
+            ready = int(late[0]) if len(late) else ready
+        rows = pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
+        if ready:
+            window = (count + np.arange(ready)) // phi
+            begin = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+            starts, ends = np.minimum.reduceat(us[:ready], begin), np.maximum.reduceat(us[:ready], begin)
+            there = ~np.isnan(loaded[:ready])
+            total, known = np.add.reduceat(np.where(there, loaded[:ready], 0.0), begin), np.add.reduceat(there.astype(np.int64), begin)
+            if count:
+                starts[0], ends[0] = min(start, starts[0]), max(last, ends[0])
+                total[0], known[0] = total[0] + load, known[0] + loads
+            whole = (count + ready) // phi
+            n, count = int(number[ready - 1]), (count + ready) % phi
+            if count:
+                start, last, load, loads = int(starts[-1]), int(ends[-1]), float(total[-1]), int(known[-1])
+            if whole:
+                rho = (ends[:whole] - starts[:whole]) // 1000 / 1000 / max(phi - 1, 1)
+                mean = np.divide(total[:whole], known[:whole], out=np.full(whole, np.nan), where=known[:whole] > 0)
+                fast, long_, demand = _baseline(rho, e, alpha), _baseline(rho, e_slow, slow), _baseline(mean, e_load, alpha)
+                e, e_slow, e_load = float(fast[-1]), float(long_[-1]), float(demand[-1])
+                at = idx + np.arange(whole)
+
+                def ratio(values, base):
+                    return np.where((at > warm_up) & (base != 0), np.divide(values, base, out=np.full(whole, np.nan), where=base != 0), np.nan)
+
+                rhythm, drift, sigma = ratio(rho, fast), ratio(rho, long_), ratio(mean, demand)
+                state_ = np.char.add(np.where(rhythm >= s2, "S2", "S1"), np.where(sigma >= d2, "D2", "D1"))
+                rows = pd.DataFrame({"chain": key[0], "idx": at, "start_us": starts[:whole], "end_us": ends[:whole], "rho_ts": rho, "rho_s": mean, "rhythm": rhythm, "rhythm_slow": drift, "sigma": sigma, "state": state_})
+                idx += whole
+        state.update((n, int(start), int(last), int(count), float(load), int(loads), e, e_slow, e_load, int(idx), number[ready:].tolist(), us[ready:].tolist(), loaded[ready:].tolist()))
+        yield rows
+
+    if "load" not in blocks.columns:
+        blocks = blocks.withColumn("load", F.lit(None).cast("double"))
+    out = blocks.filter("number is not null").groupBy("chain").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    # Arrow may carry a missing ratio as NaN, which would reach every threshold downstream.
+    doubles = ("rho_s", "rhythm", "rhythm_slow", "sigma")
+    return out.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in doubles else F.col(c) for c in out.columns])

@@ -2,38 +2,54 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ema import ema
+from .functions.ema import ema, last_before
+from .functions.quantiles import histogram, quantiles
 from .operators import regimes as R
 from .operators import windows as W
 from .plans import composite as C
 from .plans import sweeps as S
 from .sources import views as V
+from .sources.shared import materialize, new_folder
 from .streaming.online import ordered_slices, stream_classify
 
 PHI, SLOT_PHI = 10, 10
 _TWO = {"s2": 1.12, "sigma": 1.10, "size": 1.20, "tx": 1.10, "need": 2}
 
+#: The fixture's base fees lie around this; the library's own threshold is 10.
+VISIBLE_FEE = 250.0
+
+
+def _windows(s: SparkSession, d: str, by_type: bool = False) -> DataFrame:
+    """Windows of all blocks, written once: there is one for PHI blocks."""
+    return materialize(W.invariants(W.count_windows(V.blocks(s, d, by_type), PHI), PHI))
+
 
 def _inv(s: SparkSession, d: str, by_type: bool = False) -> DataFrame:
-    return W.trim_edges(W.invariants(W.count_windows(V.blocks(s, d, by_type), PHI), PHI))
+    return W.trim_edges(_windows(s, d, by_type))
+
+
+def _ratios(s, d):
+    return R.ratios(_inv(s, d))
 
 
 def _scored(s, d):
-    return R.classify(R.ratios(_inv(s, d)), **_TWO)
+    return R.classify(_ratios(s, d), **_TWO)
 
 
 def _slot_windows(s, d):
     w = W.slot_invariants(W.key_windows(V.slots(s, d), SLOT_PHI), SLOT_PHI)
-    return W.trim_edges(w).drop("idx")
+    return W.trim_edges(materialize(w)).drop("idx")
+
+
+def _slot_filled(s, d, fill=True):
+    return W.gap_fill(materialize(_slot_windows(s, d)), fill)
 
 
 def _slot_scored(s, d):
-    return R.classify_slots(R.slot_scores(W.gap_fill(_slot_windows(s, d))))
+    return R.classify_slots(R.slot_scores(_slot_filled(s, d)))
 
 
 def _layer(s, d, kind=None):
@@ -41,12 +57,28 @@ def _layer(s, d, kind=None):
     return b.filter(F.col("event_type") == kind) if kind else b
 
 
+def _hours(s, d, kind=None):
+    return W.hours(_layer(s, d, kind), V.FIRST_HOUR, V.LAST_HOUR)
+
+
+def _base(s, d):
+    return C.base_layer(_layer(s, d), V.FIRST_HOUR, V.LAST_HOUR)
+
+
+def _spine(s, d):
+    return W.on_spine(W.hour_means(_layer(s, d)), V.FIRST_HOUR, V.LAST_HOUR).select("chain", "hour", "idx")
+
+
 def _bridge(s, d):
-    return C.bridge_layer(W.hours(_layer(s, d)), _layer(s, d, "purchase"))
+    return C.bridge_layer(_spine(s, d), _layer(s, d, "purchase"))
+
+
+def _rollup(s, d):
+    return C.rollup_layer(W.hour_means(_layer(s, d, "click")), V.FIRST_HOUR, V.LAST_HOUR)
 
 
 def _composite(s, d):
-    return C.composite(C.base_layer(_layer(s, d)), _bridge(s, d), C.rollup_layer(_layer(s, d, "click")))
+    return C.composite(_base(s, d), _bridge(s, d), _rollup(s, d), VISIBLE_FEE)
 
 
 def _r(*names, digits=6):
@@ -57,6 +89,7 @@ def _grid(s, rows):
     return s.createDataFrame([tuple(map(float, r)) for r in rows], "s2 double, d2_sigma double, d2_size double, d2_tx double")
 
 
+# Threshold lists: fixed values, as published.
 _NEVER = 1e9
 S2_VALUES = (1.05, 1.08, 1.10, 1.12, 1.15, 1.18, 1.20, 1.25)
 D2_VALUES = (1.02, 1.03, 1.05, 1.08, 1.10, 1.12, 1.15, 1.20)
@@ -71,16 +104,39 @@ GRIDS = {
     "sweep_pol_s2": ([(x, 1.14, 1.18, 1.23) for x in (1.02, 1.03, 1.04, 1.05, 1.06, 1.08, 1.10, 1.12, 1.15, 1.18, 1.20)], 2),
     "sweep_grid3d": ([(1.04, x, y, z) for x in CUBE for y in CUBE for z in CUBE], 2),
 }
-SLOT_GRIDS = {"sweep_slot_a": [(x, 0.5) for x in SLOT_VALUES], "sweep_slot_b": [(1.12, x) for x in CONTINUITY]}
+EVENT_NAMES = [e[0] for e in V.EVENTS]
+#: Sweeps that report the hours to the first detection; the others say only whether there is one.
+WITH_LATENCY = ("sweep_s2", "sweep_pol_s2")
 
 
-def _sweep(name):
+def _swept(s, d, name):
     rows, need = GRIDS[name]
-    return lambda s, d: S.sweep(R.ratios(_inv(s, d)), _grid(s, rows), V.incidents(s), need)
+    return S.sweep(_ratios(s, d), _grid(s, rows), V.incidents(s), need)
+
+
+def _sweep(name):
+    return lambda s, d: S.event_columns(_swept(s, d, name), EVENT_NAMES, name in WITH_LATENCY)
+
 
+def _slot_phases(s, d):
+    """(A, B): rhythm thresholds at a fixed continuity, and continuity thresholds at the rhythm threshold that A selects."""
+    scored = materialize(R.slot_scores(_slot_filled(s, d)))
+    grid = s.createDataFrame([(float(x), 0.5) for x in SLOT_VALUES], "s2 double, continuity double")
+    a = materialize(S.sweep_slots(scored, grid, V.incidents(s)))
+    chosen = S.select_slot_threshold(a, len(V.EVENTS))
+    b = chosen.crossJoin(s.createDataFrame([(float(x),) for x in CONTINUITY], "continuity double"))  # one row chosen
+    return a, S.sweep_slots(scored, b, V.incidents(s))
 
-def _slot_sweep(name):
-    return lambda s, d: S.sweep_slots(R.slot_scores(W.gap_fill(_slot_windows(s, d))), s.createDataFrame([tuple(map(float, r)) for r in SLOT_GRIDS[name]], "s2 double, continuity double"), V.incidents(s))
+
+def _slot_union(s, d):
+    a, b = _slot_phases(s, d)
+    a, b = S.event_columns(a, EVENT_NAMES), S.event_columns(b, EVENT_NAMES, latency=False)
+    return a.withColumn("phase", F.lit("A")).unionByName(b.withColumn("phase", F.lit("B")), allowMissingColumns=True)
+
+
+def _pivot(s, d):
+    p = S.event_columns(_swept(s, d, "sweep_grid2d"), []).groupBy("d2_size").pivot("d2_tx", list(TX_VALUES)).agg(F.first("fpr").alias("fpr"), F.first("n_d2").alias("n_d2"))
+    return p.select("d2_size", *[F.col(f"`{v}_{c}`").alias(f"{c}_tx_{round(v * 100)}") for v in TX_VALUES for c in ("fpr", "n_d2")])
 
 
 def _emas(s, d, alpha):
@@ -88,10 +144,9 @@ def _emas(s, d, alpha):
 
 
 def _adapter(s, d):
-    """Hourly publication: age of the last batch, and its blobs as bytes and as a share of six."""
-    h = C.last_batch(W.hours(_layer(s, d)), _layer(s, d, "purchase"))
-    n = _layer(s, d, "purchase").groupBy(F.expr(f"us div {W.HOUR}").alias("hour")).agg(F.count(F.lit(1)).alias("blobs"))
-    return h.join(n, "hour", "left").select("hour", F.round(((F.col("hour") + 1) * W.HOUR - F.col("last_us")) / 1e6, 3).alias("publish_latency"), F.coalesce(F.col("blobs") * 131072, F.lit(0)).alias("calldata_bytes"), F.round(F.coalesce(F.col("blobs"), F.lit(0)) / 6, 6).alias("blob_usage"))
+    """Each purchase as a batch that a base block takes up, each click as a block of the rollup."""
+    batches = last_before(_layer(s, d, "purchase").select("chain", "number", "us", "input_bytes", "blobs", "tx"), _layer(s, d, "click"), V.HOUR)
+    return C.adapter_signals(batches).select("number", F.round("publish_latency", 3).alias("publish_latency"), "calldata_bytes", *_r("blob_usage", "calldata_per_tx"))
 
 
 def _derived(s, d, value, clamp):
@@ -100,6 +155,12 @@ def _derived(s, d, value, clamp):
     return ema(w, {"e": ("x", R.FAST)}).select("idx", F.round(F.greatest(F.lit(0.01), F.least(F.lit(20.0), ratio)) if clamp else F.coalesce(ratio, F.lit(1.0)), 6).alias("ratio"))
 
 
+def _continuity(s, d):
+    """Continuity of slot windows over its baseline."""
+    w = ema(_slot_filled(s, d), {"e": ("c_s", R.FAST)})
+    return w.select("idx", F.round(F.try_divide(F.col("c_s"), F.col("e")), 6).alias("continuity_ratio"))
+
+
 def _reset(s, d):
     """Baselines begin anew at every epoch of 100 windows."""
     w = _inv(s, d).withColumn("epoch", F.expr("idx div 100")).withColumn("key", F.concat_ws("/", "chain", F.col("epoch").cast("string"))).withColumn("at", F.expr("idx % 100"))
@@ -108,122 +169,184 @@ def _reset(s, d):
 
 def _stream(s, d):
     """The online engine over events as a stream of ordered slices, a chain for each type; what it emits is read back."""
-    out = f"{s.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    out = new_folder(s, "stream")
     slices = ordered_slices(V.blocks(s, d, True), f"{out}/blocks")
     blocks = s.readStream.schema(slices.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/blocks")
-    stream = stream_classify(blocks.select("chain", "number", "us"), PHI, dense=True)
+    stream = stream_classify(blocks.select("chain", "number", "us", "load"), PHI, dense=True)
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(f"{out}/rows").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rhythm"))
+    return s.read.schema(stream.schema).parquet(f"{out}/rows").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rho_s", "rhythm", "rhythm_slow", "sigma"), "state")
+
+
+#: Chain thresholds of two versions; chains without a row, and null thresholds, are switched off.
+CHAIN_PARAMS = [("click", "v2", 1.05, 1.10), ("click", "v3", 1.05, 1.20), ("purchase", "v2", 1.15, None), ("purchase", "v3", 1.15, None), ("error", "v2", 1.05, 1.06), ("error", "v3", 1.05, 1.12)]
 
 
 def _per_chain(s, d):
-    """Chain thresholds from a parameter table, one row a chain."""
-    params = s.createDataFrame([("click", 1.10, 1.10), ("purchase", 1.15, None), ("error", 1.12, 1.05)], "chain string, p_s2 double, p_sigma double")
-    w = R.ratios(_inv(s, d, True), warm_up=5).join(F.broadcast(params), "chain")
+    """Chain thresholds from a parameter table, one row a chain; a chain without one is S1D1 throughout."""
+    params = s.createDataFrame(CHAIN_PARAMS, "chain string, version string, p_s2 double, p_sigma double").filter("version = 'v3'").drop("version")
+    w = R.ratios(_inv(s, d, True), warm_up=5).join(F.broadcast(params), "chain", "left")
     return R.classify(w, F.col("p_s2"), F.col("p_sigma")).select("chain", "idx", "state")
 
 
 def _d2_percent(s, d):
-    w = R.ratios(_inv(s, d, True), warm_up=5).filter("sigma is not null")
-    q = [F.round(F.percentile("sigma", p), 6).alias(f"p{int(p * 100)}") for p in (0.90, 0.95, 0.97)]
-    return w.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.count_if(F.col("sigma") >= 1.10) / F.count(F.lit(1)), 4).alias("d2_percent"), F.round(F.avg("sigma"), 6).alias("avg_sigma"), *q)
+    w = materialize(R.ratios(_inv(s, d, True), warm_up=5).filter("sigma is not null").select("chain", "sigma"))
+    q = quantiles(w, "sigma", {"p90": 0.90, "p95": 0.95, "p97": 0.97, "p98": 0.98, "p99": 0.99}, ["chain"])
+    counts = w.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.count_if(F.col("sigma") >= 1.10) / F.count(F.lit(1)), 4).alias("d2_percent"), F.round(F.avg("sigma"), 6).alias("avg_sigma"))
+    return counts.join(q, "chain").select("chain", "n", "d2_percent", "avg_sigma", *_r("p90", "p95", "p97", "p98", "p99"))
+
+
+def _calibrate(s, d):
+    """P97 of each chain's demand ratio; it is a threshold with 30 days of data at least."""
+    w = materialize(R.ratios(_inv(s, d, True), warm_up=5).select("chain", "sigma", "start_us", "end_us"))
+    days = w.groupBy("chain").agg(((F.max("end_us") - F.min("start_us")) / V.DAY).alias("days"))
+    q = days.join(quantiles(w, "sigma", {"p97": 0.97}, ["chain"]), "chain")
+    return q.select("chain", *_r("days", "p97"), F.round(F.when(F.col("days") >= 30, F.col("p97")), 6).alias("threshold"), F.round(F.when(F.col("days") >= 29, F.col("p97")), 6).alias("threshold_29d"))
 
 
 def _profile(s, d):
-    w = R.normal(_scored(s, d), V.incidents(s))
-    q = [F.round(F.percentile("rhythm", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.85, 0.90, 0.95, 0.99)]
-    return w.agg(F.count("rhythm").alias("n"), F.round(F.avg("rhythm"), 6).alias("avg"), F.round(F.stddev_samp("rhythm"), 6).alias("std"), *q, F.round(F.stddev_samp("rhythm") / F.avg("rhythm"), 6).alias("cv"), F.round(F.percentile("rhythm", 0.99) / F.percentile("rhythm", 0.5), 6).alias("p99_p50"))
+    w = materialize(R.normal(_scored(s, d), V.incidents(s)).select("rhythm"))
+    q = quantiles(w, "rhythm", {"p50": 0.5, "p85": 0.85, "p90": 0.90, "p95": 0.95, "p99": 0.99})
+    one = w.agg(F.count("rhythm").alias("n"), F.avg("rhythm").alias("avg"), F.stddev_samp("rhythm").alias("std")).crossJoin(q)  # single rows
+    return one.select("n", *_r("avg", "std", "p50", "p85", "p90", "p95", "p99"), F.round(F.col("std") / F.col("avg"), 6).alias("cv"), F.round(F.col("p99") / F.col("p50"), 6).alias("p99_p50"))
+
+
+def _quantiles_normal(s, d):
+    w = materialize(R.normal(_scored(s, d), V.incidents(s)).select("rhythm", "sigma"))
+    points = (0.1, 0.5, 0.9, 0.95, 0.99)
+    a, b = (quantiles(w, c, {f"{c}_p{int(p * 100)}": p for p in points}) for c in ("rhythm", "sigma"))
+    return a.crossJoin(b).select(*_r(*a.columns, *b.columns))  # single rows
+
+
+def _millionths(c):
+    return F.round(F.col(c) * 1_000_000).cast("long")
 
 
 def _hash(s, d):
+    """Hashes of blocks over all their fields, of windows over their blocks' hashes, and of windows over their own fields."""
     b = W.count_windows(V.blocks(s, d), PHI)
-    h = b.withColumn("h", F.sha2(F.concat_ws(":", "chain", "number", "us", "tx"), 256))
+    h = b.withColumn("h", F.sha2(F.concat_ws(":", "chain", "number", "us", _millionths("gas_used"), _millionths("gas_limit"), _millionths("size"), "tx"), 256))
     return h.groupBy("window_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "h"))), lambda x: x["h"]), ""), 256).alias("batch_hash"))
 
 
+def _window_hash(s, d):
+    fields = F.concat_ws(":", "chain", "window_id", "start_us", "end_us", "block_count", "first_block", "last_block", *[_millionths(c) for c in ("rho_ts", "rho_s", "size_avg", "tx_count_avg", "c_s")])
+    return _windows(s, d).select("window_id", F.sha2(fields, 256).alias("l1_hash"))
+
+
+def _relays(s, d):
+    """Hourly relay figures of the fixture: gaps of batches against their baseline, rollup blocks against batches."""
+    gaps = C.batch_gaps(_layer(s, d, "purchase")).groupBy("chain", F.expr(f"us div {V.HOUR}").alias("hour")).agg(F.avg("gap").alias("t_relay"), F.count(F.lit(1)).alias("throughput"))
+    sent = _layer(s, d, "click").groupBy("chain", F.expr(f"us div {V.HOUR}").alias("hour")).agg(F.count(F.lit(1)).alias("pending"))
+    h = _spine(s, d).join(gaps, ["chain", "hour"], "left").join(sent, ["chain", "hour"], "left")
+    h = ema(h, {"_e": ("t_relay", R.HOURLY)})
+    return C.bridge_ratios(h.withColumn("expected", R.lagged("_e")))
+
+
 def _bridge_grid(s, d):
-    """Latency and backlog flags of the bridge: gap over 1.5 times its mean, hourly batches under half theirs."""
-    g = C.batch_gaps(_layer(s, d, "purchase")).groupBy(F.expr(f"us div {W.HOUR}").alias("hour")).agg(F.avg("gap").alias("gap"), F.count(F.lit(1)).alias("n"))
-    m = g.agg(F.avg("gap").alias("mg"), F.avg("n").alias("mn"))
-    return g.crossJoin(m).select("hour", F.concat(F.when(F.coalesce(F.col("gap") > 1.5 * F.col("mg"), F.lit(False)), "BS2").otherwise("BS1"), F.when(F.col("n") < 0.5 * F.col("mn"), "L2").otherwise("L1")).alias("state"))  # one row of means
+    return C.bridge_grid(_relays(s, d)).select("hour", *_r("latency_ratio", "backlog_ratio"), "grid")
 
 
 def _causal(s, d):
-    """What the two layers' states mean together, from a lookup of five rows with a wildcard."""
-    grid = s.createDataFrame([("S1D1", "BS1", "nominal"), ("S1D1", "BS2", "bridge fault"), ("S2D1", "BS2", "base layer delays the bridge"), ("S2D2", "BS2", "congestion on both"), (None, "BS1", "base layer only")], "l1 string, bs string, reading string")
-    c = _composite(s, d).select("hour", "l1_state", "bs")
-    exact, wild = grid.filter("l1 is not null"), grid.filter("l1 is null").select(F.col("bs").alias("wbs"), F.col("reading").alias("wild"))
-    j = c.join(F.broadcast(exact), (c.l1_state == exact.l1) & (c.bs == exact.bs), "left").select("hour", "l1_state", c.bs, "reading")
-    return j.join(F.broadcast(wild), F.col("bs") == F.col("wbs"), "left").select("hour", F.coalesce("reading", "wild", F.lit("unnamed")).alias("reading"))
+    g = C.bridge_grid(_relays(s, d)).select("hour", "grid")
+    return C.causal(_base(s, d).filter("l1_state is not null").select("hour", "l1_state").join(g, "hour")).select("hour", "l1_state", "grid", "reading", "response")
 
 
 def _confidence(s, d):
+    """The chain of all events, measured on the incidents, and each event type's chain, which has none."""
     sc, e = _scored(s, d), V.incidents(s)
+    span = sc.agg(((F.max("end_us") - F.min("start_us")) / V.DAY).alias("days"))
     t = R.detect(sc, e).agg(F.avg(F.col("tp").cast("double")).alias("tpr"), F.count(F.lit(1)).alias("n"))
-    f = R.false_positive_rate(sc, e)
-    return t.crossJoin(f).select(F.round("tpr", 6).alias("tpr"), "fpr", F.when((F.col("tpr") >= 0.8) & (F.col("fpr") <= 0.1) & (F.col("n") >= 3), "HIGH").when(F.col("tpr") >= 0.5, "MEDIUM").otherwise("LOW").alias("level"))  # two single rows
+    whole = t.crossJoin(R.false_positive_rate(sc, e).select("fpr")).crossJoin(span).select(F.lit("evt").alias("chain"), "tpr", "fpr", "n", "days")  # single rows
+    types = _windows(s, d, True).groupBy("chain").agg(((F.max("end_us") - F.min("start_us")) / V.DAY).alias("days")).select("chain", F.lit(None).cast("double").alias("tpr"), F.lit(None).cast("double").alias("fpr"), F.lit(0).cast("long").alias("n"), "days")
+    return whole.unionByName(types).select("chain", *_r("tpr", "fpr"), "n", R.confidence(F.col("tpr"), F.col("fpr"), F.col("n"), F.col("days"), F.col("days")).alias("level"))
+
+
+def _validity(s, d):
+    """Whether each chain's cadence, load and continuity can be used."""
+    w = _windows(s, d, True)
+    long_ = w.select("chain", F.explode(F.create_map(*[x for c in ("rho_ts", "rho_s", "c_s") for x in (F.lit(c), F.col(c))])).alias("signal", "x"))
+    g = long_.groupBy("chain", "signal").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
+    return g.select("chain", "signal", "n", *_r("mean", "deviation"), R.validity(F.col("n"), F.col("mean"), F.col("deviation")).alias("status"))
 
 
 def _incidents_of(s, d, rows):
     return R.in_incident(rows, V.incidents(s))
 
 
+def _cut(s, d):
+    """Windows of clean blocks from the tenth of January on, less those after a fork on the twentieth."""
+    b = V.in_range(V.blocks(s, d), V._JANUARY + 9 * V.DAY, V._JANUARY + 19 * V.DAY)
+    return W.invariants(W.count_windows(b, PHI), PHI).select("window_id", "first_block", "last_block", "block_count")
+
+
 QUERIES = {
+    "catalog_columns": lambda s, d: V.columns_of(s.read.parquet(f"{d}/events.parquet"), "events").select("table_name", "column_name", "ordinal_position"),
+    "range_cut": _cut,
     "row_windows": lambda s, d: W.count_windows(V.blocks(s, d), PHI).select("number", "window_id"),
     "slot_windows": lambda s, d: W.key_windows(V.slots(s, d), SLOT_PHI).select("slot", "window_id"),
-    "hour_windows": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", "block_count", *_r("size_avg", "tx_avg", "gas_avg")),
-    "interblock_interval": lambda s, d: W.hours(_layer(s, d, "purchase")).select("hour", *_r("interval")),
+    "hour_windows": lambda s, d: _hours(s, d, "purchase").select("hour", "block_count", *_r("size_avg", "tx_avg", "gas_avg", "blob_avg", "basefee_avg")),
+    "interblock_interval": lambda s, d: _hours(s, d, "purchase").select("hour", *_r("interval")),
+    "hourly_rollup": lambda s, d: W.hour_means(_layer(s, d, "click")).select("hour", "block_count", *_r("size_avg", "gas_avg", "basefee_avg")),
     "invariants": lambda s, d: W.invariants(W.count_windows(V.blocks(s, d), PHI), PHI).select("window_id", "block_count", "first_block", "last_block", *_r("rho_ts", "rho_s"), "c_s"),
     "trim_edges": lambda s, d: _inv(s, d).select("idx", "window_id"),
-    "gap_fill": lambda s, d: W.gap_fill(_slot_windows(s, d)).select("idx", "window_id", "block_count", "rho_ts", "c_s", "start_us"),
+    "gap_fill": lambda s, d: _slot_filled(s, d).select("idx", "window_id", "block_count", "rho_ts", "c_s", "start_us"),
     "ema_fast": lambda s, d: _emas(s, d, R.FAST),
     "ema_slow": lambda s, d: _emas(s, d, R.SLOW),
-    "ema_nullsafe": lambda s, d: ema(W.gap_fill(_slot_windows(s, d), fill=False), {"e": ("rho_ts", R.FAST)}, first=1.0).select("idx", *_r("e")),
-    "ema_lagged": lambda s, d: R.hourly_ratio(W.hours(_layer(s, d, "purchase")), {"ratio": "size_avg"}).select("hour", *_r("ratio")),
+    "ema_nullsafe": lambda s, d: ema(_slot_filled(s, d, False), {"e": ("rho_ts", R.FAST)}, first=1.0).select("idx", *_r("e")),
+    "ema_lagged": lambda s, d: R.hourly_ratio(_hours(s, d, "purchase"), {"ratio": "size_avg"}).select("hour", *_r("ratio")),
     "ema_reset": _reset,
     "stream_ema": _stream,
-    "ratios": lambda s, d: R.ratios(_inv(s, d)).select("idx", *_r("rhythm", "sigma", "size_r", "tx_r")),
-    "warmup_null": lambda s, d: R.ratios(_inv(s, d)).agg(F.count_if(F.col("rhythm").isNull()).alias("n_null"), F.min(F.when(F.col("rhythm").isNotNull(), F.col("idx"))).alias("first_idx")),
+    "ratios": lambda s, d: _ratios(s, d).select("idx", *_r("rhythm", "sigma", "size_r", "tx_r")),
+    "warmup_null": lambda s, d: _ratios(s, d).agg(F.count_if(F.col("rhythm").isNull()).alias("n_null"), F.min(F.when(F.col("rhythm").isNotNull(), F.col("idx"))).alias("first_idx")),
     "slow_drift": lambda s, d: R.ratios(_inv(s, d), alpha=R.SLOW).select("idx", *_r("rhythm")),
+    "continuity_ratio": _continuity,
     "complexity_ratio": lambda s, d: _derived(s, d, F.try_divide("size_avg", "tx_count_avg"), True),
     "gas_complexity_ratio": lambda s, d: _derived(s, d, F.col("gas_used_avg") / F.nullif("tx_count_avg", F.lit(0.0)), False),
     "adapter_signals": _adapter,
-    "classify_1d": lambda s, d: R.classify(R.ratios(_inv(s, d))).select("idx", "state"),
+    "classify_1d": lambda s, d: R.classify(_ratios(s, d)).select("idx", "state"),
     "classify_2of3": lambda s, d: _scored(s, d).select("idx", "d2_dims", "state"),
     "classify_slot": lambda s, d: _slot_scored(s, d).select("idx", *_r("rhythm"), "state"),
-    "classify_l1_hour": lambda s, d: C.base_layer(_layer(s, d)).select("hour", *_r("interval_r", "sigma"), "l1_state"),
-    "classify_l2_hour": lambda s, d: C.rollup_layer(_layer(s, d, "click")).select("hour", *_r("count_r", "sigma"), "l2_state"),
+    "classify_l1_hour": lambda s, d: _base(s, d).select("hour", *_r("interval_r", "size_r", "tx_r", "blob_r", "sigma"), "l1_state"),
+    "classify_l2_hour": lambda s, d: _rollup(s, d).select("hour", *_r("count_r", "size_r", "gas_r", "sigma"), "l2_state"),
     "bridge_intervals": lambda s, d: C.batch_gaps(_layer(s, d, "purchase")).select("number", *_r("gap")),
-    "asof_last_blob": lambda s, d: C.last_batch(W.hours(_layer(s, d)), _layer(s, d, "purchase")).select("hour", "last_us"),
-    "bridge_bs": lambda s, d: _bridge(s, d).select("hour", *_r("age_min", "baseline"), "bs"),
+    "asof_last_blob": lambda s, d: C.last_batch(_spine(s, d), _layer(s, d, "purchase")).select("hour", "last_us"),
+    "bridge_bs": lambda s, d: _bridge(s, d).filter("bs is not null").select("hour", *_r("age_min", "baseline"), "bs"),
     "bridge_grid": _bridge_grid,
     "composite": _composite,
-    "composite_summary": lambda s, d: _composite(s, d).agg(F.count(F.lit(1)).alias("hours"), F.count_if(F.col("bs") == "BS2").alias("bs2"), F.count_if(F.col("signal") == "MULTI_LAYER").alias("multi"), F.count_if("alert").alias("alerts"), F.count_if("fee_visible").alias("fee")),
-    "first_alert": lambda s, d: _composite(s, d).filter("alert").agg(F.min("hour").alias("hour"), F.min_by("signal", "hour").alias("signal")),
+    "composite_summary": lambda s, d: _composite(s, d).agg(F.count(F.lit(1)).alias("hours"), F.count_if(F.col("bridge_regime") == "BS2").alias("bs2"), F.count_if(~F.col("l2_regime").isin("S1D1", "N/A")).alias("l2_degraded"), F.count_if(F.col("composite") == "MULTI_LAYER").alias("multi"), F.count_if("alert").alias("alerts"), F.count_if("fee_monitor_visible").alias("fee")),
+    "first_alert": lambda s, d: _composite(s, d).filter("alert").agg(F.min("window_start").alias("window_start"), F.min_by("composite", "window_start").alias("composite")),
     "causal_grid": _causal,
     "event_window": lambda s, d: _incidents_of(s, d, _scored(s, d)).groupBy("event").agg(F.count(F.lit(1)).alias("n")),
     "event_join": lambda s, d: _incidents_of(s, d, _scored(s, d)).select("event", "idx", "state"),
     "normal_windows": lambda s, d: R.normal(_scored(s, d), V.incidents(s)).select("idx", "state"),
-    "state_distribution": lambda s, d: _scored(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+    "state_distribution": lambda s, d: R.distribution(_scored(s, d)),
+    "slot_distribution": lambda s, d: R.distribution(_slot_scored(s, d), valid_only=True),
     "fpr": lambda s, d: R.false_positive_rate(_scored(s, d), V.incidents(s)),
     "event_detection": lambda s, d: R.detect(_scored(s, d), V.incidents(s)),
+    "undetected": lambda s, d: R.undetected(R.classify_slots(_slot_scored(s, d).drop("state"), 1.5, 0.2).select("idx", "start_us", "rhythm", "c_s", "tx_r", "state"), V.incidents(s)).select("event", *_r("max_rhythm", "min_c_s", "max_tx")),
     "tpr": lambda s, d: R.detect(_scored(s, d), V.incidents(s)).agg(F.round(F.avg(F.col("tp").cast("double")), 6).alias("tpr")),
-    "quantiles_normal": lambda s, d: R.normal(_scored(s, d), V.incidents(s)).agg(*[F.round(F.percentile(c, p), 6).alias(f"{c}_p{int(p * 100)}") for c in ("rhythm", "sigma") for p in (0.1, 0.5, 0.9, 0.95, 0.99)]),
-    "m1": lambda s, d: R.stability(_scored(s, d), V.incidents(s), "rhythm"),
-    "m1_level": lambda s, d: R.stability(_scored(s, d), V.incidents(s), "sigma").select("signal", "level"),
+    "quantiles_normal": _quantiles_normal,
+    "m1": lambda s, d: R.stability(materialize(_scored(s, d)), V.incidents(s), "rhythm"),
+    "m1_level": lambda s, d: R.stability(materialize(_scored(s, d)), V.incidents(s), "sigma").select("signal", "level"),
     "signal_profile": _profile,
+    "signal_validity": _validity,
     "confidence_level": _confidence,
-    "histogram": lambda s, d: _scored(s, d).filter("rhythm is not null").groupBy(F.width_bucket("rhythm", F.lit(0.0), F.lit(3.0), F.lit(100)).alias("bin")).agg(F.count(F.lit(1)).alias("n")),
+    "continuity_check": lambda s, d: R.continuity_check(_slot_windows(s, d)),
+    "latest_valid": lambda s, d: R.latest_valid(_windows(s, d, True)).select("chain", "window_id", *_r("c_s", "rho_ts"), "valid"),
+    "histogram": lambda s, d: histogram(_scored(s, d), "rhythm"),
     "l2_state_per_chain": _per_chain,
     "l2_d2_percent": _d2_percent,
-    "calibrate_p97": lambda s, d: R.ratios(_inv(s, d, True), warm_up=5).groupBy("chain").agg(F.round(F.percentile("sigma", 0.97), 6).alias("threshold")),
+    "calibrate_p97": _calibrate,
     "l0_hash": _hash,
+    "l1_hash": _window_hash,
     **{n: _sweep(n) for n in GRIDS},
-    **{n: _slot_sweep(n) for n in SLOT_GRIDS},
-    "sweep_union": lambda s, d: _slot_sweep("sweep_slot_a")(s, d).withColumn("phase", F.lit("A")).unionByName(_slot_sweep("sweep_slot_b")(s, d).drop("n_d2").withColumn("phase", F.lit("B")), allowMissingColumns=True),
-    "pivot_fpr": lambda s, d: _sweep("sweep_grid2d")(s, d).groupBy("d2_size").pivot("d2_tx", list(TX_VALUES)).agg(F.first("fpr")).select("d2_size", *[F.col(f"`{v}`").alias(f"tx_{round(v * 100)}") for v in TX_VALUES]),
-    "highest_full_tpr": lambda s, d: _sweep("sweep_s2")(s, d).agg(F.max(F.when(F.col("n_detected") == len(V.EVENTS), F.col("s2"))).alias("s2")),
-    "select_threshold": lambda s, d: S.select_threshold(_sweep("sweep_pol_s2")(s, d), len(V.EVENTS)),
+    "sweep_slot_a": lambda s, d: S.event_columns(_slot_phases(s, d)[0], EVENT_NAMES),
+    "sweep_slot_b": lambda s, d: S.event_columns(_slot_phases(s, d)[1], EVENT_NAMES, latency=False),
+    "sweep_union": _slot_union,
+    "select_slot_threshold": lambda s, d: S.select_slot_threshold(_slot_phases(s, d)[0], len(V.EVENTS)),
+    "pivot_fpr": _pivot,
+    "highest_full_tpr": lambda s, d: S.highest_full(_swept(s, d, "sweep_s2"), len(V.EVENTS)),
+    "select_threshold": lambda s, d: S.event_columns(S.select_threshold(_swept(s, d, "sweep_pol_s2"), len(V.EVENTS)), EVENT_NAMES),
 }
 
 from .oracles import ORACLE_SQL  # noqa: E402, F401  (its grids come from above)
