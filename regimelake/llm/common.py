@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
+
 #: Bytes of text that one vectorised step holds at most, unless a single row is longer.
 SLICE_BYTES = 1 << 18
 
@@ -26,45 +26,11 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_folders: dict[str, SparkSession] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where the setting is absent (tests, local mode) a folder under /tmp takes its place.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def _drop(path: str, spark: SparkSession) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the cluster cleans its own scratch space
-        return
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, for all executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/regimelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _folders[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path, spark in _folders.items():
-        _drop(path, spark)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Rows of one Arrow batch: texts are long, so that few rows bound a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from .common import group_of, materialize, table
 
 #: Queries and candidates that one task holds.
-QUERY_BLOCK, BLOCK = 1024, 8192
+QUERY_BLOCK, BLOCK = 4096, 8192
 
-#: Sorted lists are first read to one part in so many, then twice as far each time; queries of one product.
-FIRST, QUERIES_AT_ONCE = 4, 256
+#: Of what is unread of the sorted lists, the share that a step leaves once half is read; before, a step reads so many times as far.
+LEAVES, FURTHER = 0.8, 4
+
+#: Queries of one product of matrices, and those of them that tell whether a step's bounds exclude anything.
+QUERIES_AT_ONCE, SCOUTS = 256, 16
+
+#: Whole numbers that doubles hold exactly.
+EXACT = 1 << 53
 
 
 def _finite(rows: DataFrame, id_: str, vector: str, zero: bool) -> DataFrame:
@@ -55,44 +61,52 @@ class SortedLists:
         return np.where(seen, np.hstack([self.vectors, self.vectors]), 0).astype(kind), (~seen).astype(kind), self.sorted[n - read], self.sorted[read - 1]
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int):
-        """For each query (place, ids, scores): the k best by inner product, by reading every list from its best end in step.
-
-        After r entries of every list an unseen component adds its list's last seen contribution at most
-        and its far end's at least, which bounds every score from above and below. Candidates whose
-        upper bound is under the k-th lower bound, and all unseen ones with them, cannot qualify; when
-        few are left, or all is read, their final scores are resolved. A step of all queries is three
-        products of matrices: positive components read lists from the top, negative ones from the bottom.
+        """For each query (place, ids, scores, share of the lists that was read, candidates that were resolved).
+
+        Every list is read from its best end in step. After r entries of each an unseen component adds its
+        list's last seen contribution at most and its far end's at least, which bounds every score from above
+        and below. Candidates whose upper bound is under the k-th lower bound, and all unseen ones with them,
+        cannot qualify; a query whose bounds leave few stops there, and these few get their final scores. A
+        step of all queries is three products of matrices: positive components read lists from the top,
+        negative ones from the bottom. Reading begins at k entries. Where a few scouts among the queries find
+        that a step's bounds exclude nothing yet, reading goes on without bounds for the rest.
         """
         n = len(self.vectors)
-        # Whole numbers whose sums stay under 2**24 are exact in single precision.
         reach = np.abs(self.vectors).max(initial=0) * np.abs(queries).sum(1).max(initial=0)
+        # Whole numbers whose sums stay under 2**24 are exact in single precision.
         kind = np.float32 if reach < 1 << 23 else np.float64
         signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
         worst = (signed * np.r_[self.sorted[0], self.sorted[-1]]).astype(kind)
-        out, todo, read = [], np.arange(len(queries)), max(1, min(n, max(k, n // FIRST)))
+        out, todo, read = [], np.arange(len(queries)), min(n, k)
         while len(todo):
             values, unseen, high, low = self.prefix(read, kind)
             best = (signed * np.r_[high, low]).astype(kind)
-            more = []
-            for at in range(0, len(todo), QUERIES_AT_ONCE):
-                some = todo[at : at + QUERIES_AT_ONCE]
+
+            def bounds(some):
                 known = signed[some].astype(kind) @ values.T
                 lower = known + worst[some] @ unseen.T
                 mine = own[some, None] == self.ids[None, :]
                 lower[mine] = -np.inf
                 bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf, kind)
-                known += best[some] @ unseen.T
-                left = (known >= bar[:, None]) & ~mine
-                few = left.sum(1) <= max(4 * k, n // 16)
-                for i, q in enumerate(some.tolist()):
-                    if few[i] or read == n:
-                        who = np.flatnonzero(left[i])
-                        scores = self.vectors[who] @ queries[q]
-                        chosen = _top(self.ids[who], scores, k)
-                        out.append((q, self.ids[who][chosen], scores[chosen]))
-                    else:
-                        more.append(q)
-            todo, read = np.array(more, np.int64), min(n, 2 * read)
+                return (known + best[some] @ unseen.T >= bar[:, None]) & ~mine
+
+            few = max(4 * k, n // 16)
+            more = []
+            if read == n or len(todo) <= SCOUTS or (bounds(todo[:: -(-len(todo) // SCOUTS)]).sum(1) < n - 1).any():
+                for at in range(0, len(todo), QUERIES_AT_ONCE):
+                    some = todo[at : at + QUERIES_AT_ONCE]
+                    left = bounds(some)
+                    count = left.sum(1)
+                    for i, q in enumerate(some.tolist()):
+                        if count[i] <= few or read == n:
+                            who = np.flatnonzero(left[i])
+                            scores = self.vectors[who] @ queries[q]
+                            chosen = _top(self.ids[who], scores, k)
+                            out.append((q, self.ids[who][chosen], scores[chosen], read / n, len(who)))
+                        else:
+                            more.append(q)
+                todo = np.array(more, np.int64)
+            read = min(n, FURTHER * read, n // 2) if read < n // 2 else n - int((n - read) * LEAVES) if n - read > n // 32 else n
         return out
 
 
@@ -101,10 +115,13 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "ve
 
     Components become floor(scale * x). A query's own row is no candidate; ties go to the smaller id.
     Vectors that are null, empty or hold null or non-finite components take no part on either side;
-    repeated ids are separate candidates. Queries and candidates meet in blocks (a stated query set
-    against all rows), each pair of blocks in one task of bounded size; a block returns k rows a query.
+    repeated ids are separate candidates. Vectors of different lengths never meet; an empty table gives an
+    empty result. A component of 2**62 or more after scaling, or a score that a long cannot hold, is an error.
+    Queries and candidates meet in blocks (a stated query set against all rows), each pair of blocks in one
+    task of bounded size; a block returns k rows a query.
     """
-    whole = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
+    limit = float(1 << 62)
+    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) < limit, F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is over 2**62")).cast("long")))
     c = _finite(rows, id_, vector, False).select("id", whole.alias("v"))
     q = _finite(queries, id_, vector, False).select("id", whole.alias("v"))
     return _best(_in_blocks(q, c, lambda left, right: _nra(left, right, k), "long"), k, "long")
@@ -117,17 +134,36 @@ def _in_blocks(q: DataFrame, c: DataFrame, run, kind: str) -> DataFrame:
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, f"query_id long, vec_id long, score {kind}")
 
 
+def _exact_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
+    """Scores beyond what doubles hold exactly: Python's integers over the whole block."""
+    values = vectors.astype(object)
+    for q in range(len(queries)):
+        who = np.flatnonzero(ids != own[q])
+        scores = values[who] @ queries[q].astype(object) if len(who) else np.zeros(0, object)
+        chosen = sorted(range(len(who)), key=lambda i: (-scores[i], ids[who[i]]))[:k]
+        if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in chosen):
+            raise OverflowError("a score is no long")
+        yield q, ids[who][chosen], scores[chosen].astype(np.int64)
+
+
 def _nra(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     found = []
     length = left["v"].map(len)
     for dims, part in right.groupby(right["v"].map(len), sort=False):
         mine = left[length == dims]
         if len(mine):
-            own = mine["id"].to_numpy(np.int64)
-            block = SortedLists(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64))
-            found += [(own[q], ids, scores) for q, ids, scores in block.top(np.stack(mine["v"].to_numpy()).astype(np.float64), own, k)]
-    query, ids, scores = (np.concatenate([np.zeros(0), *x]).astype(np.int64) for x in ([np.full(len(i), q) for q, i, _ in found], [i for _, i, _ in found], [s for _, _, s in found]))
-    return pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores})
+            own, ids = mine["id"].to_numpy(np.int64), part["id"].to_numpy(np.int64)
+            queries, vectors = np.stack(mine["v"].to_numpy()), np.stack(part["v"].to_numpy())
+            reach = float(np.abs(vectors.astype(np.float64)).max()) * float(np.abs(queries.astype(np.float64)).sum(1).max())
+            if reach < EXACT:
+                block = SortedLists(ids, vectors.astype(np.float64))
+                found += [(own[q], near, scores) for q, near, scores, _, _ in block.top(queries.astype(np.float64), own, k)]
+            else:
+                found += [(own[q], near, scores) for q, near, scores in _exact_block(ids, vectors, queries, own, k)]
+    # Ids stay whole numbers throughout: doubles would round those over 2**53.
+    none = np.zeros(0, np.int64)
+    query = np.concatenate([none, *(np.full(len(i), q, np.int64) for q, i, _ in found)])
+    return pd.DataFrame({"query_id": query, "vec_id": np.concatenate([none, *(i for _, i, _ in found)]), "score": np.concatenate([none, *(s.astype(np.int64) for _, _, s in found)])})
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +177,11 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Vectors that centroids and codebooks are fitted on at most, and those of them that measure the recall of probing.
 SAMPLE, TRIALS = 16_384, 200
 
-#: Share of the sample's true neighbours that probed lists must hold; candidates reranked exactly, as a multiple of k.
-TARGET, RERANK = 0.985, 15
+#: Share of the sample's true neighbours that probed lists must hold; candidates of a query reranked exactly, as a multiple of k.
+TARGET, RERANK = 0.97, 8
+
+#: Queries whose distance tables are held at a time.
+TABLES = 64
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -162,11 +201,13 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int, k: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.coarse = _kmeans(sample, lists, rng)
-        self.parts = next(p for p in (16, 8, 4, 2, 1) if sample.shape[1] % p == 0)
+        self.parts = next(p for p in (32, 16, 8, 4, 2, 1) if sample.shape[1] % p == 0)
         rest = (sample - self.coarse[self.nearest(sample)]).reshape(len(sample), self.parts, -1)
-        self.books = [_kmeans(rest[:4096, p], 256, rng) for p in range(self.parts)]
+        self.books = [_kmeans(rest[:8192, p], 256, rng) for p in range(self.parts)]
         trial = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
-        true = np.argsort(-(sample[trial] @ sample.T), 1)[:, 1 : k + 1]
+        near = sample[trial] @ sample.T
+        near[np.arange(len(trial)), trial] = -np.inf  # the row itself, wherever it ranks
+        true = np.argsort(-near, 1)[:, : min(k, len(sample) - 1)]
         home = self.nearest(sample)
         place = np.argsort(np.argsort(-(sample[trial] @ self.coarse.T), 1), 1)
         ranks = np.take_along_axis(place, home[true], 1)
@@ -188,76 +229,159 @@ class Index:
         return np.stack([np.pad(q[:, p] @ b.T, ((0, 0), (0, width - len(b)))) for p, b in enumerate(self.books)], 1)
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _bins(scores: np.ndarray) -> np.ndarray:
+    """Numbers that rise with the scores: single-precision ones without their last 12 bits, so a bin is a fraction of a thousandth wide."""
+    bits = np.ascontiguousarray(scores, np.float32).view(np.int32)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) >> 12
+
+
+def _table_scores(index: Index, left: pd.DataFrame, lists: np.ndarray, codes: np.ndarray):
+    """(rows of `left`, their scores of all candidates): by each query's distance tables, minus infinity in lists that it doesn't probe.
+
+    lists and codes are those of the candidates, ordered by list.
+    """
+    begin = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    end = np.r_[begin[1:], len(lists)]
+    probed = left["lists"].to_numpy()
+    vectors = np.stack(left["v"].to_numpy())
+    for at in range(0, len(left), TABLES):
+        q = vectors[at : at + TABLES]
+        tables, coarse = index.tables(q).astype(np.float32), (q @ index.coarse.T).astype(np.float32)
+        scores = np.full((len(q), len(lists)), -np.inf, np.float32)
+        asked = [set(np.asarray(x).tolist()) for x in probed[at : at + TABLES]]
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            here = int(lists[a])
+            some = np.array([i for i, x in enumerate(asked) if here in x], np.int64)
+            if len(some):
+                total = np.repeat(coarse[some, here][:, None], b - a, 1)
+                for p in range(index.parts):
+                    total += np.take(tables[some, p], codes[a:b, p], axis=1)
+                scores[some, a:b] = total
+        yield at, scores
+
+
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k rows of the largest inner product with each query.
 
     Centroids and codebooks are fitted on the SAMPLE rows of the smallest hash of their id; every row is
-    indexed. As many lists are probed as hold TARGET of the true neighbours of TRIALS sample rows. Long
-    lists are cut into blocks of BLOCK rows. More lists are probed for a query where these hold fewer than
-    k others. Each block ranks its codes by the queries' distance tables and scores RERANK * k of them, and
-    all that tie with the last, exactly on the vectors.
+    indexed. As many lists are probed as hold TARGET of the true neighbours of TRIALS sample rows, and more
+    for a query where these hold fewer than k others. Small lists share a shard, long ones are cut into
+    several, each of about BLOCK rows. First every shard ranks its codes by the queries' distance tables;
+    the shards' counts by score are merged for each query into the bar that RERANK * k rows reach. Then the
+    rows at the bar or over it, and only those, are scored exactly on the vectors. `report` is given the
+    number of lists and of probed ones.
 
     A query's own row is no candidate. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, nor those of another length than the sample's commonest. Repeated ids are separate candidates;
     of equal vectors the smaller ids come first. No valid row gives an empty result.
     """
+    spark = rows.sparkSession
     c = _finite(rows, id_, vector, True)
     total = c.count()
     sample = c.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
-        return _best(rows.sparkSession.createDataFrame([], schema), k, "double")
+        return _best(spark.createDataFrame([], schema), k, "double")
     size = int(sample["v"].map(len).mode()[0])
     index = Index(np.stack(sample["v"][sample["v"].map(len) == size].to_numpy()), max(1, min(1024, round(total**0.5 / 4))), k)
-    wide = index.parts
+    wide, most = index.parts, RERANK * k
 
     def assign(batches):
         for pdf in batches:
             home, codes = index.encode(np.stack(pdf["v"].to_numpy())) if len(pdf) else (np.zeros(0, int), np.zeros((0, wide), np.uint8))
             yield pdf.assign(list=home, codes=[x.tobytes() for x in codes])
 
+    held = materialize(c.filter(F.size("v") == size).mapInPandas(assign, "id long, v array<double>, list long, codes binary"))
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for r in held.groupBy("list").count().collect():  # one row a list, 1,024 at most
+        sizes[r["list"]] = r["count"]
+    first, parts = _shards(sizes)
+    placed = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts, strict=True))], "list long, first int, parts int")
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    held = held.join(F.broadcast(placed), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if report is not None:
+        report |= {"lists": len(index.coarse), "probes": index.probes, "rows": int(sizes.sum())}
+
     def probe(batches):
         for pdf in batches:
+            out = []
             if len(pdf):
                 near = np.argsort(-(np.stack(pdf["v"].to_numpy()) @ index.coarse.T), 1, kind="stable")
                 enough = np.maximum((np.cumsum(sizes[near], 1) < k + 1).sum(1) + 1, index.probes)
-                yield pdf.assign(list=[x[:n] for x, n in zip(near, enough, strict=True)])
-
-    held = materialize(c.filter(F.size("v") == size).mapInPandas(assign, "id long, v array<double>, list long, codes binary"))
-    sizes = np.zeros(len(index.coarse), np.int64)
-    for r in held.groupBy("list").count().collect():  # one row a list, 1,024 at most
-        sizes[r["list"]] = r["count"]
-    blocks = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    q = _finite(queries, id_, vector, True).filter(F.size("v") == size).mapInPandas(probe, "id long, v array<double>, list array<long>")
-    q = q.select("id", "v", F.explode("list").alias("list")).join(blocks, "list").select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    held = held.join(blocks, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        right = right.sort_values("id", kind="stable")
-        ids, vectors = right["id"].to_numpy(np.int64), np.stack(right["v"].to_numpy())
-        codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(-1, wide)
-        q = np.stack(left["v"].to_numpy())
-        tables = index.tables(q)
+                for own, v, x, m in zip(pdf["id"], pdf["v"], near, enough, strict=True):
+                    by_shard: dict[int, list[int]] = {}
+                    for j in x[:m].tolist():
+                        for part in range(parts[j]):
+                            by_shard.setdefault(int(first[j]) + part, []).append(j)
+                    out += [(own, v, shard, js) for shard, js in by_shard.items()]
+            yield pd.DataFrame(out, columns=["id", "v", "shard", "lists"])
+
+    asked = _finite(queries, id_, vector, True).filter(F.size("v") == size).mapInPandas(probe, "id long, v array<double>, shard int, lists array<long>")
+    asked = materialize(asked.withColumn("qb", group_of(n, "id").cast("int")))
+
+    def candidates(right: pd.DataFrame):
+        right = right.sort_values(["list", "id"], kind="stable")
+        return right, right["id"].to_numpy(np.int64), right["list"].to_numpy(np.int64), np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(-1, wide)
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        query, bins, times = [], [], []
+        if len(left) and len(right):
+            _, ids, lists, codes = candidates(right)
+            own = left["id"].to_numpy(np.int64)
+            for at, scores in _table_scores(index, left, lists, codes):
+                for i, row in enumerate(scores):
+                    row[ids == own[at + i]] = -np.inf
+                    top = row if len(row) <= most else np.partition(row, len(row) - most)[len(row) - most :]
+                    found, n_ = np.unique(_bins(top[np.isfinite(top)]), return_counts=True)
+                    query.append(np.full(len(found), own[at + i]))
+                    bins.append(found)
+                    times.append(n_)
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"query_id": np.concatenate(none + query), "bin": np.concatenate(none + bins).astype(np.int32), "n": np.concatenate(none + times)})
+
+    seen = asked.groupBy("shard", "qb").cogroup(held.select("id", "list", "codes", "shard", "qb").groupBy("shard", "qb")).applyInPandas(count, "query_id long, bin int, n long")
+    above = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = seen.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("above", F.sum("n").over(above))
+    # The bar of the most common rows: where `most` are reached, else the lowest bin of all.
+    bars = sums.groupBy(F.col("query_id").alias("id")).agg(F.coalesce(F.max(F.when(F.col("above") >= most, F.col("bin"))), F.min("bin")).alias("bar"))
+    asked = asked.join(bars, "id")
+
+    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        most = min(len(ids), RERANK * k + 1)
-        for own, query, t in zip(left["id"], q, tables, strict=True):
-            near = t[0][codes[:, 0]]
-            for p in range(1, wide):
-                near = near + t[p][codes[:, p]]
-            bar = np.partition(near, len(near) - most)[len(near) - most]
-            take = np.flatnonzero(near >= bar)
-            take = take[ids[take] != own]
-            exact = np.concatenate([(vectors[take[i : i + 1024]] * query).sum(1) for i in range(0, max(len(take), 1), 1024)])
-            best = _top(ids[take], exact, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[take][best], "score": exact[best]}))
-        return pd.concat(out)
-
-    found = q.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(search, schema)
+        if len(left) and len(right):
+            right, ids, lists, codes = candidates(right)
+            vectors, own, bar = np.stack(right["v"].to_numpy()), left["id"].to_numpy(np.int64), left["bar"].to_numpy(np.int64)
+            queries_ = left["v"].to_numpy()
+            for at, scores in _table_scores(index, left, lists, codes):
+                for i, row in enumerate(scores):
+                    row[ids == own[at + i]] = -np.inf
+                    take = np.flatnonzero(np.isfinite(row))
+                    take = take[_bins(row[take]) >= bar[at + i]]
+                    exact = np.concatenate([(vectors[take[j : j + 1024]] * queries_[at + i]).sum(1) for j in range(0, max(len(take), 1), 1024)])
+                    best = _top(ids[take], exact, k)
+                    out.append((np.full(len(best), own[at + i]), ids[take][best], exact[best]))
+        query, near, score = zip(*out, strict=True) if out else ((), (), ())
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"query_id": np.concatenate([*none, *query]), "vec_id": np.concatenate([*none, *near]), "score": np.concatenate([np.zeros(0), *score])})
+
+    found = asked.groupBy("shard", "qb").cogroup(held.select("id", "v", "list", "codes", "shard", "qb").groupBy("shard", "qb")).applyInPandas(rerank, schema)
     return _best(found, k, "double")
 
 
+def _shards(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts) of each list: small lists fill a shard of BLOCK rows together, longer ones take several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BLOCK))
+    shard, room = -1, 0
+    for i, n in enumerate(sizes.tolist()):
+        if parts[i] > 1:
+            first[i], shard, room = shard + 1, shard + parts[i], 0
+            continue
+        if n > room or shard < 0:
+            shard, room = shard + 1, BLOCK
+        first[i], room = shard, room - n
+    return first, parts
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every row whose vec_id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
