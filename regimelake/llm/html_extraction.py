@@ -1,4 +1,10 @@
-"""HTML extraction by wrapper induction (operator 10)."""
+"""HTML extraction by wrapper induction (operator 10).
+
+The trees of a host's pages are aligned by simple tree matching with keyed children: nodes match where
+their parents do and their names (tag, class, id, role) are equal, and siblings of one name fill one
+repeated slot. So a node's slot is the path of names that leads to it, all pages of a host align by
+counting, and no pair of trees is ever held. What recurs in a slot is template, what varies is content.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parts_of, small_batches, spread_join, table
 
-#: A node is template where this share of the distinct pages with its path repeat it: outside articles, and within them.
+#: A node is constant where this share of the distinct pages with its slot repeat it: outside articles, and within them.
 SHARE, ARTICLE_SHARE = 1 / 3, 1 / 2
 
+#: A slot is template where this share of its texts are ones that came before; it is known from so many
+#: texts on. It is judged over all hosts, as rotating menus repeat too seldom on a small one; a host with
+#: MANY texts of which under FEW recur is judged by itself.
+RECURS, KNOWN, MANY, FEW = 0.75, 20, 100, 0.2
+
 #: Bytes of all wrappers that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,12 +36,19 @@ _RAW = set("script style textarea title noscript template iframe".split())
 #: Elements that break text into blocks.
 _BLOCK = set("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 
-#: Elements that are never part of an article, and words of class or id that mark such parts.
-_ASIDE = set("head nav header footer aside form button select option menu dialog svg math canvas audio video object".split()) | _RAW
-_MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|aside|header|footer|masthead|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget|skip|toolbar|pagination|pager|copyright)(?:$|[\s_-])", re.I)
+#: What is no article whatever it says: elements, and words of class, id or role.
+_ASIDE = set("head nav footer aside form button select option menu dialog svg math canvas audio video object".split()) | _RAW
+_MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|pagination|pager|copyright)(?:$|[\s_-])", re.I)
+
+#: What may be one: such parts are content where the wrapper knows that their slot varies. A header in an article is the article's own.
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+_MAYBE = re.compile(r"(?:^|[\s_-])(?:aside|banner|promo\w*|notices?|alert|popup|modal|overlay|widget|skip|toolbar)(?:$|[\s_-])", re.I)
 _KIND = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 
+#: A tag whose quote is never closed ends at the next bracket, or with the page.
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
+
 #: What an opening tag ends by itself, up to the elements that hold it.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
 
@@ -53,7 +71,9 @@ def parse(source: str) -> Node:
     root = Node("#")
     stack, at = [root], 0
     while True:
-        m = _TAG.search(source, at)
+        m, loose = _TAG.search(source, at), _OPEN.search(source, at)
+        if loose and (not m or loose.start() < m.start()):
+            m = loose
         text = source[at : m.start()] if m else source[at:]
         if text:
             stack[-1].children.append(html.unescape(text))
@@ -95,17 +115,29 @@ def parse(source: str) -> Node:
             stack.append(node)
 
 
-def blocks(root: Node) -> list[tuple[tuple[str, ...], str, bool, bool]]:
-    """(path, text, in a part that is no article, in an article element) of each block of text in page order."""
+def _hash(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+#: Kinds of a block's place: content unless the wrapper says otherwise, out unless it says otherwise, out.
+PLAIN, MAYBE, OUT = 0, 1, 2
+
+
+def blocks(root: Node) -> list[tuple[int, str, int, bool]]:
+    """(slot, text, kind, in an article element) of each block of text in page order.
+
+    A slot is a hash of the names from the root down; its last two bits say whether it lies in an article and whether its kind is MAYBE.
+    """
     out: list = []
     run: list[str] = []
-    state = [(), False, False]
+    state = [0, PLAIN, False]
 
     def flush():
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            out.append((state[0], text, state[1], state[2]))
+            path, kind, inside = state
+            out.append((path & ~3 | inside | (kind == MAYBE) << 1, text, kind, inside))
 
     # Entries: a child to read, or what holds again after an element's end.
     todo: list = [root]
@@ -120,48 +152,44 @@ def blocks(root: Node) -> list[tuple[tuple[str, ...], str, bool, bool]]:
             run.append(" ")
         elif x.tag in _RAW:
             continue
-        elif x.tag in _BLOCK or x.tag in _ASIDE or x is root or (x.marks and _MARK.search(x.marks)):
-            flush()
-            todo.append(list(state))
-            main = x.tag in ("article", "main") or "role=main" in x.marks
-            aside = state[1] or x.tag in _ASIDE or bool(x.marks and not main and _MARK.search(x.marks))
-            state[:] = [(*state[0], x.name), aside, state[2] or main]
-            todo.extend(reversed(x.children))
         else:
+            main = x.tag in ("article", "main") or "role=main" in x.marks
+            header = (x.tag == "header" or bool(x.marks and _HEADER.search(x.marks))) and not state[2]
+            marked = OUT if x.tag in _ASIDE or (x.marks and not main and _MARK.search(x.marks)) else MAYBE if header or (x.marks and not main and _MAYBE.search(x.marks)) else PLAIN
+            if x.tag in _BLOCK or marked or x is root:
+                flush()
+                todo.append(list(state))
+                state[:] = [_hash(state[0], x.name), max(state[1], marked), state[2] or main]
             todo.extend(reversed(x.children))
     flush()
     return out
 
 
-def _hash(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
-def candidates(source: str | None) -> list[tuple[str, int, int]]:
-    """(text, path, node) of the blocks that may be main text: those of the article elements, or on pages without
-    them all; asides never. path and node are hashes of the path, and of path and text; a path's last bit is 1 in an article."""
-    found = blocks(parse(source or ""))
-    main = any(inside for _, _, _, inside in found)
-    known: dict = {}
-    out = []
-    for path, text, aside, inside in found:
-        if not aside and inside == main:
-            if path not in known:
-                known[path] = _hash(*path) & ~1 | main
-            out.append((text, known[path], _hash(*path, text)))
-    return out
+def _node(slot: int, text: str, host: str) -> int:
+    """A slot and its text, in which the host's own name stands for any host's."""
+    return _hash(slot, text.replace(host, "\1") if host else text)
 
 
-def extract(source: str | None, constant: set) -> str:
-    """The main text: candidate blocks that are not `constant` nodes of the host.
+def extract(source: str | None, wrapper: set, host: str = "", marks: bool = True) -> str:
+    """The main text: blocks that the host's wrapper does not hold for template.
 
-    An article that would lose more than half of its text is a near-copy of others, not a template: it is kept whole.
+    wrapper: slots that are template, nodes (slot and text) that are constant, and, as their complement, slots
+    of kind MAYBE that vary. Where an article element has content, that alone is the main text. An article
+    that would lose more than half of its text is a near-copy of others, not a template: it stays whole.
+    With `marks` off, elements and class words say nothing: the wrapper alone decides.
     """
-    found = candidates(source)
-    kept = [t for t, _, node in found if node not in constant]
-    if found and found[0][1] & 1 and 2 * sum(map(len, kept)) < sum(len(t) for t, _, _ in found):
-        kept = [t for t, _, _ in found]
-    return "\n".join(kept)
+    found = blocks(parse(source or ""))
+    if marks:
+        found = [(slot, t, kind, inside) for slot, t, kind, inside in found if kind == PLAIN or kind == MAYBE and ~slot in wrapper]
+    kept = [(t, inside) for slot, t, _, inside in found if slot not in wrapper and _node(slot, t, host) not in wrapper]
+    if marks:
+        article = [t for _, t, _, inside in found if inside]
+        own = [t for t, inside in kept if inside]
+        if article and 2 * sum(map(len, own)) < sum(map(len, article)):
+            own = article
+        if own:
+            return "\n".join(own)
+    return "\n".join(t for t, _ in kept)
 
 
 def _host(url) -> F.Column:
@@ -169,12 +197,12 @@ def _host(url) -> F.Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, n, wrapper) of all hosts: their pages, and the nodes (path and text) that are template, from all pages.
+    """(host, n, wrapper) of all hosts: their pages, and what `extract` needs of the aligned trees, from all pages.
 
-    Pages of a host whose candidate blocks are all equal are copies and count once. A node is template
-    where enough of the pages that have its path repeat it: SHARE and two of them at least, within an
-    article ARTICLE_SHARE and three. Counts are of hashes, and map tasks combine them; so a hot host is
-    dealt over many tasks.
+    Pages of a host whose blocks outside of asides are all equal are copies and count once. A node is
+    constant where enough of the pages that have its slot repeat it: SHARE and two of them at least, within
+    an article ARTICLE_SHARE and three. A slot is template where most of its texts recur. Counts are of
+    hashes, and map tasks combine them; so a hot host is dealt over many tasks.
     """
     h = pages.select(_host("url").alias("host"), "html")
 
@@ -182,31 +210,42 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for part in parts_of(batch, "html", 1 << 22):
                 sigs, nodes = [], []
-                for source in part.column("html").to_pylist():
-                    found = {(path, node) for _, path, node in candidates(source)}
-                    sigs.append(_hash(*map(str, sorted(node for _, node in found))))
-                    nodes.append([{"path": path, "node": node} for path, node in sorted(found)] + [{"path": path, "node": None} for path in sorted({path for path, _ in found})])
-                kind = pa.list_(pa.struct([("path", pa.int64()), ("node", pa.int64())]))
+                for source, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
+                    found = blocks(parse(source or ""))
+                    inside = any(i and kind == PLAIN for _, _, kind, i in found)
+                    sigs.append(_hash(*(t for _, t, kind, i in found if kind == PLAIN and i == inside)))
+                    seen = {(slot, _node(slot, t, host)) for slot, t, _, _ in found}
+                    # A node of no text stands for the page's having the slot.
+                    nodes.append([{"slot": slot, "node": node} for slot, node in sorted(seen)] + [{"slot": slot, "node": None} for slot in sorted({slot for slot, _ in seen})])
+                kind = pa.list_(pa.struct([("slot", pa.int64()), ("node", pa.int64())]))
                 yield pa.RecordBatch.from_pydict({"host": part.column("host"), "sig": pa.array(sigs, pa.int64()), "nodes": pa.array(nodes, kind)})
 
-    seen = h.mapInArrow(run, "host string, sig long, nodes array<struct<path: long, node: long>>")
+    seen = h.mapInArrow(run, "host string, sig long, nodes array<struct<slot: long, node: long>>")
     distinct = materialize(seen.groupBy("host", "sig").agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n")))
-    # A node of no text stands for its path.
-    counts = distinct.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.path", "x.node").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    counts = materialize(counts)
-    of = counts.filter("node is null").select("host", "path", F.col("times").alias("of"))
-    inside = F.col("path").bitwiseAND(F.lit(1)) == 1
+    counts = materialize(distinct.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.slot", "x.node").agg(F.count(F.lit(1)).alias("times")))
+    pages_of = counts.filter("node is null").select("host", "slot", F.col("times").alias("of"))
+    texts = counts.filter("node is not null")
+    inside = F.col("slot").bitwiseAND(F.lit(1)) == 1
     enough = F.when(inside, (F.col("times") >= 3) & (F.col("times") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("times") >= SHARE * F.col("of"))
-    constant = counts.filter("node is not null").join(of, ["host", "path"]).filter(enough).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("wrapper"))
-    return distinct.groupBy("host").agg(F.sum("n").alias("n")).join(constant, "host", "left")
-
-
-def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    constant = texts.filter("times > 1").join(pages_of, ["host", "slot"]).filter(enough).select("host", F.col("node").alias("said"))
+    here = texts.groupBy("host", "slot").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("different"))
+    everywhere = texts.groupBy("slot", "node").agg(F.sum("times").alias("times")).groupBy("slot").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("all_different"))
+    slots = here.join(everywhere, "slot").withColumns({"own": 1 - F.col("different") / F.col("n"), "shared": 1 - F.col("all_different") / F.col("all")})
+    template = (F.col("all") >= KNOWN) & (F.col("shared") >= RECURS) & ~((F.col("n") >= MANY) & (F.col("own") < FEW)) | (F.col("n") >= KNOWN) & (F.col("own") >= RECURS)
+    maybe = F.col("slot").bitwiseAND(F.lit(2)) == 2
+    said = F.when(template, F.col("slot")).when(maybe & (F.col("n") >= KNOWN), F.expr("~slot"))
+    judged = slots.select("host", said.alias("said")).filter("said is not null")
+    wrapper = constant.unionByName(judged).groupBy("host").agg(F.array_sort(F.collect_set("said")).alias("wrapper"))
+    return distinct.groupBy("host").agg(F.sum("n").alias("n")).join(wrapper, "host", "left")
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, marks: bool = True) -> DataFrame:
     """(page_id, url, text) of every page.
 
     Each host's wrapper comes from all its pages; each page is then read alone against it. A null or
     empty html gives an empty text; pages without a host share one wrapper; repeated rows are each
-    returned. An article that other pages copy is content, and stays whole.
+    returned; other columns do not take part; an empty table gives an empty one. Deep, wide and very long
+    pages take time in proportion to their length. An article that other pages copy is content, and stays whole.
 
     Wrappers of `broadcast_bytes` at most in all, a size that is measured, go to all tasks and no page is
     shuffled; more of them are joined by host, the pages of hot hosts dealt over many tasks.
@@ -222,11 +261,11 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     def run(batches):
         for batch in batches:
             for part in parts_of(batch, "html", 1 << 22):
-                found = [extract(s, set(w or ())) for s, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True)]
+                found = [extract(s, set(w or ()), h, marks) for s, w, h in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "host")), strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string())})
 
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, kinds)
+    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, kinds)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
