@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names for temporary columns, each with as many underscores in front as keep it from any column's name."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Rows of one Arrow batch: texts are long, so that few rows bound a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -129,10 +141,13 @@ def group_of(parts, *columns):
 def likely(rows: DataFrame, keys: DataFrame, column: str, buckets: int = 1 << 20) -> DataFrame:
     """Rows whose `column` may be among `keys`, before an exact join shuffles them: a filter of `buckets` hash buckets.
 
-    Broadcasts `buckets` numbers at most, whatever the keys; where the keys fill all buckets it lets all rows pass.
+    Broadcasts half as many numbers at most, whatever the keys. Where these fill more buckets, the filter is
+    not worth its cost and all rows pass. `keys` is read twice: pass a written table.
     """
     bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
     there = keys.select(bucket.alias("_bucket")).distinct()
+    if there.count() > buckets // 2:
+        return rows
     return rows.withColumn("_bucket", bucket).join(F.broadcast(there), "_bucket", "left_semi").drop("_bucket")
 
 

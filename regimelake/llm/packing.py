@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .chunks import Chunks
-from .common import group_of, materialize, parts_of, small_batches, table
+from .common import discard, free_names, group_of, materialize, parts_of, small_batches, table
 
 #: Pieces that one task packs at a time; partitions that exchange documents in one round.
 PER_PARTITION, EXCHANGE = 4096, 4
@@ -56,7 +56,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _packer(length: str, capacity: int, schema: StructType, level: int, groups: int):
+def _packer(length: str, capacity: int, schema: StructType, level: int, groups: int, names: list[str]):
+    group, bin_, open_name = names
+
+
     def run(key, rows):
         # Bins of one group have numbers from 0; ids are made unique by level and group.
         rows = rows.reset_index(drop=True)
@@ -66,7 +69,7 @@ def _packer(length: str, capacity: int, schema: StructType, level: int, groups:
         bound = lower_bound(n[n > 0], capacity)
         bins = best_fit_decreasing(n, capacity)
         if level:
-            old = np.unique(rows["_bin"].to_numpy(), return_inverse=True)[1]
+            old = np.unique(rows[bin_].to_numpy(), return_inverse=True)[1]
             bins = bins if bins.max(initial=-1) < old.max(initial=-1) else old
         used = int(bins.max(initial=-1)) + 1
         fill = np.bincount(bins, n, used).astype(np.int64)
@@ -79,9 +82,9 @@ def _packer(length: str, capacity: int, schema: StructType, level: int, groups:
         place = np.empty(len(n), np.int64)
         place[order] = at - np.repeat(at[np.flatnonzero(np.r_[True, np.diff(bins[order]) > 0])] if len(n) else at, np.bincount(bins, minlength=used)[np.unique(bins)])
         g = int(key[0])
-        rows["_bin"], rows["_open"], rows["offset"] = bins + (g << 32), open_[bins].astype(np.int32), place
+        rows[bin_], rows[open_name], rows["offset"] = bins + (g << 32), open_[bins].astype(np.int32), place
         rows["sequence_id"] = (level << 56) + (g << 24) + bins
-        rows["_g"] = g % groups
+        rows[group] = g % groups
         return rows[[f.name for f in schema.fields]]
 
     return run
@@ -90,33 +93,36 @@ def _packer(length: str, capacity: int, schema: StructType, level: int, groups:
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, per_partition: int = PER_PARTITION) -> DataFrame:
     """Add sequence_id and offset: every row's sequence of at most `capacity`, and its place there.
 
-    Rows are dealt by hash into partitions of about `per_partition`, so hot keys, repeated rows and
-    ties spread evenly. Each is packed by best-fit decreasing and has a lower bound from dual feasible
+    Rows are numbered as they are written and dealt by a hash of the number into partitions of about
+    `per_partition`, so hot keys, repeated rows and ties spread evenly. Each is packed by best-fit decreasing and has a lower bound from dual feasible
     functions: a partition at its bound is certified and final. The others keep their full bins; the
     rows of their emptier bins meet those of EXCHANGE - 1 further partitions and are packed again, and
     the better packing stays, until EXCHANGE partitions or fewer are left; no task ever holds them all. Rows of null or zero length take
     no room; rows over `capacity` raise an error, as cutting is the caller's choice. An empty table
-    gives an empty one.
+    gives an empty one. All columns pass, but for two of the names that are added.
     """
-    spark = pieces.sparkSession
-    mine = ["_g", "_bin", "_open", "sequence_id", "offset"]
-    names = [c for c in pieces.columns if c not in mine]
-    schema = StructType([pieces.schema[c] for c in names] + [StructField("_g", LongType()), StructField("_bin", LongType()), StructField("_open", IntegerType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    group, bin_, open_, number = free_names([*names, "sequence_id", "offset"], "_g", "_bin", "_open", "_number")
+    schema = StructType([pieces.schema[c] for c in names] + [StructField(group, LongType()), StructField(bin_, LongType()), StructField(open_, IntegerType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    # Written with its number, a row is in the same partition however often a task is run again.
+    pieces = materialize(pieces.select(*names, F.monotonically_increasing_id().alias(number)))
     total = pieces.count()
     parts = max(1, -(-total // per_partition))
-    state = pieces.select(*names, group_of(parts, *names).alias("_g"), F.lit(-1).cast("long").alias("_bin"))
+    state = pieces.select(*names, group_of(parts, number).alias(group), F.lit(-1).cast("long").alias(bin_))
     done = None
     level = 0
     while True:
-        packed = materialize(state.groupBy("_g").applyInPandas(_packer(length, capacity, schema, level, -(-parts // EXCHANGE)), schema))
-        if parts == 1 or level and parts <= EXCHANGE or not packed.filter("_open = 1").limit(1).count():
+        packed = materialize(state.groupBy(group).applyInPandas(_packer(length, capacity, schema, level, -(-parts // EXCHANGE), [group, bin_, open_]), schema))
+        if not level:
+            discard(pieces)  # all its rows are in `packed`
+        if parts == 1 or level and parts <= EXCHANGE or not packed.filter(F.col(open_) == 1).limit(1).count():
             final = packed
         else:
-            final = packed.filter("_open = 0")
+            final = packed.filter(F.col(open_) == 0)
         done = final if done is None else done.unionByName(final)
         if final is packed:
             return done.select(*names, "sequence_id", "offset")
-        state = packed.filter("_open = 1").select(*names, "_g", "_bin")
+        state = packed.filter(F.col(open_) == 1).select(*names, group, bin_)
         parts = -(-parts // EXCHANGE)
         level += 1
 
@@ -180,7 +186,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
     """Documents cut and packed: one row for each piece."""
-    return pack(materialize(cut_documents(docs, path, capacity)), "length", capacity)
+    return pack(cut_documents(docs, path, capacity), "length", capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
