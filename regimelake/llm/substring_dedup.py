@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, likely, materialize, small_batches, spread_join, table, text_slices, window_hashes
+from .common import Words, free_names, likely, materialize, small_batches, spread_join, table, text_slices, window_hashes
+
+#: What names a document: 64 bits of a hash alone would meet by chance in a large corpus.
+ID = ["key", "doc_id"]
 
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
@@ -102,7 +105,7 @@ def _spans(batches, window: int):
                 removed.append(int(gone.sum()))
                 edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
                 spans.append(edge.astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"key": rows.column("key"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept_text, pa.string()), "removed": _slice(spans, INTS)})
+            yield pa.RecordBatch.from_pydict({"key": rows.column("key"), "doc_id": rows.column("doc_id"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept_text, pa.string()), "removed": _slice(spans, INTS)})
 
 
 def _shared(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -115,9 +118,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     """(documents, cuts): word counts and digests of all rows, and what the shortened ones keep.
 
     Documents: key, doc_id, n_words, whole_sha256. Cuts: key, n_removed, kept, removed (word numbers
-    where removed runs begin and end, in turn). The key is a hash of doc_id and text: rows that repeat
-    both are one document, and rows that share only the doc_id keep their own cuts; equal doc_ids never
-    count as smaller. Rows of null doc_id take no part and lose nothing; a null text has no words.
+    where removed runs begin and end, in turn). The key is a hash of doc_id and text, and with doc_id it names
+    a document: rows that repeat both are one, and rows that share only the doc_id keep their own cuts; equal doc_ids never
+    count as smaller. An empty table gives empty ones; long texts are whole, and are cut only into their words. Rows of null doc_id take no part and lose nothing; a null text has no words.
 
     Documents of equal words are one from the start: all but the smallest doc_id lose all their words
     if they have a full window, and only that one is searched. The levels: base windows (13 words of 50)
@@ -130,19 +133,19 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     d = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialize(d.mapInArrow(lambda it: _first_level(it, window), "key long, doc_id long, n_words long, whole_sha256 string, anchors array<long>, places array<int>"))
     long_ = first.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    copies = materialize(_shared(long_.select("key", "doc_id", "n_words", "whole_sha256"), ["whole_sha256"]).filter("least < doc_id").select("key", F.col("n_words").alias("n_removed")).distinct())
-    single = long_.select("key", "doc_id", "anchors", "places").join(copies.select("key"), "key", "left_anti")
+    copies = materialize(_shared(long_.select("key", "doc_id", "n_words", "whole_sha256"), ["whole_sha256"]).filter("least < doc_id").select(*ID, F.col("n_words").alias("n_removed")).distinct())
+    single = long_.select(*ID, "anchors", "places").join(copies.select(*ID), ID, "left_anti")
     anchors = single.select("key", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("key", "doc_id", F.col("x.anchors").alias("hash"), F.col("x.places").alias("place"))
-    hot = materialize(_shared(materialize(anchors), ["hash"]).groupBy("key").agg(F.collect_set("place").alias("hot")))
-    some = materialize(likely(d, hot, "key").join(hot, "key"))
+    hot = materialize(_shared(materialize(anchors), ["hash"]).groupBy(*ID).agg(F.collect_set("place").alias("hot")))
+    some = materialize(likely(d, hot, "key").join(hot, ID))
     level = materialize(_windows(some, window, False))
-    hot = _shared(level, ["first"]).groupBy("key").agg(F.collect_set("place").alias("hot"))
+    hot = _shared(level, ["first"]).groupBy(*ID).agg(F.collect_set("place").alias("hot"))
     some = some.drop("hot")
-    full = materialize(_windows(some.join(hot, "key"), window, True))
-    starts = _shared(full, ["first", "second"]).filter("least < doc_id").groupBy("key").agg(F.collect_set("place").alias("starts"))
-    cuts = some.select("key", "text").join(starts, "key").mapInArrow(lambda it: _spans(it, window), "key long, n_removed long, kept string, removed array<int>")
-    whole = copies.select("key", "n_removed", F.lit("").alias("kept"), F.array(F.lit(0), F.col("n_removed").cast("int")).alias("removed"))
-    return first.select("key", "doc_id", "n_words", "whole_sha256"), materialize(cuts.dropDuplicates(["key"]).unionByName(whole))
+    full = materialize(_windows(some.join(hot, ID), window, True))
+    starts = _shared(full, ["first", "second"]).filter("least < doc_id").groupBy(*ID).agg(F.collect_set("place").alias("starts"))
+    cuts = some.select(*ID, "text").join(starts, ID).mapInArrow(lambda it: _spans(it, window), "key long, doc_id long, n_removed long, kept string, removed array<int>")
+    whole = copies.select(*ID, "n_removed", F.lit("").alias("kept"), F.array(F.lit(0), F.col("n_removed").cast("int")).alias("removed"))
+    return first.select("key", "doc_id", "n_words", "whole_sha256"), materialize(cuts.dropDuplicates(ID).unionByName(whole))
 
 
 def _windows(texts: DataFrame, window: int, last: bool) -> DataFrame:
@@ -154,17 +157,19 @@ def _windows(texts: DataFrame, window: int, last: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """`docs` with its texts shortened: repeated windows go, the words that stay are joined by one space.
 
-    Texts that lose nothing stay as they are, byte for byte; all other columns pass unchanged.
+    Texts that lose nothing stay as they are, byte for byte; all other columns pass unchanged, whatever their
+    names. Rows of null doc_id and null or empty texts lose nothing; an empty table gives an empty one.
     """
     _, cuts = repeated_spans(docs, window)
-    cuts = cuts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    out = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cuts, "_key", "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    key, kept, own = free_names(docs.columns, "_key", "_kept", "_own")
+    cuts = cuts.select(F.col("key").alias(key), F.col("doc_id").alias(own), F.col("kept").alias(kept))
+    out = docs.withColumn(key, F.xxhash64("doc_id", "text")).withColumn(own, F.col("doc_id").cast("long")).join(cuts, [key, own], "left")
+    return out.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str, window: int = 50) -> DataFrame:
     """What every document keeps when windows that a smaller doc_id has too are removed."""
     small_batches(spark)
     whole, cuts = repeated_spans(table(spark, sf_dir, "documents"), window)
-    out = whole.join(cuts.select("key", "n_removed", F.sha2("kept", 256).alias("sha")), "key", "left")
+    out = whole.join(cuts.select(*ID, "n_removed", F.sha2("kept", 256).alias("sha")), ID, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"))
