@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-#: Distinct chunks that a worker remembers; further ones are worked out anew in each batch.
-REMEMBERED = 400_000
+#: Distinct chunks that a worker remembers, and characters of them all and of one; others are worked out anew in each batch.
+REMEMBERED, CHARACTERS, ONE = 400_000, 16 << 20, 256
 
 #: White space other than spaces and line feeds; zero marks keys.
 _ODD = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -31,10 +31,10 @@ def chunk_of(key: str) -> str:
 
 
 class Chunks:
-    """Values of chunks: `solve` works out a list of new keys; up to `most` are kept in the worker."""
+    """Values of chunks: `solve` works out a list of new keys; up to `most`, of `characters` in all, are kept in the worker."""
 
-    def __init__(self, solve, most: int = REMEMBERED):
-        self.solve, self.most = solve, most
+    def __init__(self, solve, most: int = REMEMBERED, characters: int = CHARACTERS):
+        self.solve, self.most, self.room = solve, most, characters
         self.known: dict = {}
 
     def values(self, texts: list[list[str]]) -> list[list]:
@@ -43,9 +43,16 @@ class Chunks:
         new = list({k for keys in texts for k in keys if k not in known})
         if new:
             found = dict(zip(new, self.solve(new), strict=True))
-            room = self.most - len(known)
-            known.update(found if len(found) <= room else {k: found[k] for k in new[: max(0, room)]})
-            if len(found) > room:
+            size = sum(map(len, new))
+            fits = len(found) <= self.most - len(known) and size <= self.room and max(map(len, new)) <= ONE
+            if not fits:
+                kept, size = {}, 0
+                for k in new:
+                    if len(k) <= ONE and len(kept) < self.most - len(known) and size + len(k) <= self.room:
+                        kept[k], size = found[k], size + len(k)
+            known.update(found if fits else kept)
+            self.room -= size
+            if not fits:
                 get, more = known.get, found.get
                 return [[more(k) if (v := get(k)) is None else v for k in keys] for keys in texts]
         return [list(map(known.__getitem__, keys)) for keys in texts]
