@@ -32,4 +32,14 @@ ORACLE_SQL = {
         k AS (SELECT x.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(w[x.i], ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL), '') AS kept
               FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_sharding": """
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+        crc AS (SELECT DISTINCT text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, t[CAST(xor(a, x) % 256 AS INTEGER) + 1])), 4294967295) AS c
+                FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), tab),
+        d AS (SELECT doc_id, octet_length(encode(coalesce(d.text, ''))) + 16 AS size, c AS text_crc32, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 8192 AS vslot FROM documents d JOIN crc ON crc.text = coalesce(d.text, '')),
+        one AS (SELECT CAST(i AS INTEGER) AS vslot, CAST(i % 40 AS INTEGER) AS shard FROM (SELECT unnest(range(8192)) AS i)),
+        two AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(vslot || ':40'), 1, 8) AS BIGINT), vslot) AS turn, count(*) OVER (PARTITION BY shard) / CAST(41 AS DOUBLE) AS share FROM one),
+        grown AS (SELECT vslot, CASE WHEN turn <= floor((shard + 1) * share) - floor(shard * share) THEN 40 ELSE shard END AS grown_shard FROM two)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard, vslot, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes, 1 AS map_version
+        FROM d JOIN one USING (vslot) JOIN grown USING (vslot)""",
 }

@@ -5,15 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..sources.shared import new_folder
+from .common import free_names, materialize, table
 
 #: Virtual slots: fixed for good, as a record's slot never changes.
 SLOTS = 8192
 
+#: Rows of a virtual slot that one task numbers, unless a mean slot has more.
+PER_TASK = 1 << 14
+
+MAP = "version int, vslot int, shard int"
+
+
+def _hash(text: Column) -> Column:
+    """The first 32 bits of a text's md5, as other engines have them too."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """A record's virtual slot: its key's hash. A null key has one slot of its own value."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    """A record's virtual slot: its key's hash. Null keys have the slot of the empty text."""
+    return (_hash(F.coalesce(key.cast("string"), F.lit(""))) % slots).cast("int")
+
+
+def write_version(slot_map: DataFrame, path: str) -> None:
+    """Append a version of the map to the table at `path`; older versions stay as they are."""
+    slot_map.selectExpr("cast(version as int) version", "cast(vslot as int) vslot", "cast(shard as int) shard").coalesce(1).write.mode("append").parquet(path)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of the stored map, by default the latest."""
+    versions = spark.read.schema(MAP).parquet(path)
+    if version is None:
+        return versions.join(F.broadcast(versions.agg(F.max("version").alias("version"))), "version", "left_semi")
+    return versions.filter(F.col("version") == version)
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -26,7 +50,7 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
 
     The slots and the two shard counts decide alone. A map has SLOTS rows, whatever the records.
     """
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("vslot", F.lit(shards)), "vslot")
+    order = Window.partitionBy("shard").orderBy(_hash(F.concat_ws(":", "vslot", F.lit(shards))), "vslot")
     share = F.count(F.lit(1)).over(Window.partitionBy("shard")) / F.lit(shards + 1.0)
     # The fraction of a slot left over is carried by shard number, so that the new shard gets its whole share.
     give = F.floor((F.col("shard") + 1) * share) - F.floor(F.col("shard") * share)
@@ -58,29 +82,50 @@ def slot_sums(records: DataFrame, size: str = "size", slot: str = "vslot") -> Da
     return records.groupBy(slot).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
 
 
-def shard(records: DataFrame, slot_map: DataFrame, key: str = "doc_id", size: str = "size", slots: int = SLOTS) -> DataFrame:
-    """Add vslot, shard and slot (the record's place in its shard, gapless from 0).
+def shard(records: DataFrame, slot_map: DataFrame, key: str = "doc_id", size: str = "size", slots: int = SLOTS, per_task: int = PER_TASK) -> DataFrame:
+    """Add vslot, slot_bytes (bytes of all the virtual slot's records), shard and slot (the record's place in its shard, gapless from 0).
 
     The key alone decides the shard; equal keys share one, null keys too, and repeated rows get places
-    of their own. Places come from the counts of the virtual slots that lie before in the shard plus
-    the place within the virtual slot, so no task sorts a whole shard. The map and the offsets have
-    `slots` rows, a fixed bound, and are broadcast.
+    of their own. An empty table gives an empty one; no column's name is in the way but the four that are added.
+    Sizes and keys are written once to the shared folder with the input partition they came from. Rows and
+    bytes are summed by virtual slot; a slot of more than `per_task` rows, or four times the mean where that
+    is more, is cut into parts by input partition, so many rows of one key are numbered by many tasks.
+    Places come from the counts of the parts that lie before in the shard plus the place within the part.
+    The map, the sums and the offsets have `slots` rows and one for each further part: a bound of twice
+    `slots` where a part is four times the mean; they are broadcast.
     """
-    r = records.withColumn("vslot", slot_of(F.col(key), slots))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    offset = slot_sums(r, size).join(F.broadcast(slot_map), "vslot").select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("vslot").orderBy(key)
-    return r.withColumn("place", F.row_number().over(inside) - 1).join(F.broadcast(offset), "vslot").withColumn("slot", F.col("offset") + F.col("place")).drop("place", "offset")
+    part, salts, from_, place, offset, rows, n = free_names([*records.columns, "vslot", "slot_bytes", "shard", "slot"], "_part", "_salts", "_from", "_place", "_offset", "_rows", "_n")
+    named = [c for c in records.columns if c.lower() not in ("vslot", "slot_bytes", "shard", "slot")]
+    r = materialize(records.select(*named).withColumn("vslot", slot_of(F.col(key), slots)).withColumn(from_, F.spark_partition_id()))
+    sums = materialize(r.groupBy("vslot").agg(F.count(F.lit(1)).alias(rows), F.sum(size).alias("slot_bytes")))
+    limit = max(per_task, 4 * (sums.agg(F.sum(rows)).first()[0] or 0) // slots)
+    cut = F.broadcast(sums.select("vslot", "slot_bytes", F.ceil(F.col(rows) / limit).cast("int").alias(salts)).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot"))
+    r = r.join(cut, "vslot").withColumn(part, F.pmod(F.col(from_), F.col(salts))).drop(from_, salts)
+    before = Window.partitionBy("shard").orderBy("vslot", part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = r.groupBy("shard", "vslot", part).agg(F.count(F.lit(1)).alias(n)).select("vslot", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    # Rows that agree in all columns may change places, which changes nothing.
+    inside = Window.partitionBy("vslot", part).orderBy(key, *[c for c in named if c != key and _sortable(records, c)])
+    placed = r.withColumn(place, F.row_number().over(inside) - 1).join(F.broadcast(counts), ["vslot", part])
+    return placed.select(*named, "vslot", "slot_bytes", "shard", (F.col(offset) + F.col(place)).cast("long").alias("slot"))
+
+
+def _sortable(records: DataFrame, name: str) -> bool:
+    return records.schema[name].dataType.simpleString().split("<")[0] not in ("map", "variant")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
-    """All documents in 40 shards by their doc_id's slot; the map's next version has one shard more."""
+    """All documents in 40 shards by their doc_id's slot; the map's next version has one shard more.
+
+    The map is a stored table: version 1 is written, read and edited to version 2, and both are read from it.
+    """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    now = first_map(spark, shards)
-    grown = grow_map(now, shards).select("vslot", F.col("shard").alias("grown_shard"))
+    path = new_folder(spark, "slot-map")
+    write_version(first_map(spark, shards), path)
+    write_version(grow_map(read_version(spark, path), shards), path)
+    now, grown = read_version(spark, path, 1), read_version(spark, path, 2).select("vslot", F.col("shard").alias("grown_shard"))
     out = shard(docs, now).join(F.broadcast(grown), "vslot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "vslot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "slot_bytes", F.lit(1).alias("map_version"))
