@@ -172,8 +172,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every end of an edge; the component is its smallest id.
 
     Labels spread along the edges and jump to their label's own label in each round, so the number of
-    rounds follows the logarithm of the longest path. Every round is a table in the shared folder;
-    only a count of changes reaches the driver.
+    rounds follows the logarithm of the longest path. Every round is a table in the shared folder, removed
+    after the next; only a count of changes reaches the driver.
     """
     both = materialize(edges.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(edges.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
     labels = materialize(both.groupBy("s").agg(F.least(F.first("s"), F.min("t")).alias("l")))
@@ -181,7 +181,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels.select(F.col("s").alias("t"), F.col("l").alias("m")), "t").groupBy("s").agg(F.min("m").alias("m"))
         spread = materialize(labels.join(near, "s").select("s", F.col("l").alias("was"), F.least("l", "m").alias("l")))
         jump = spread.select(F.col("s").alias("l"), F.col("l").alias("m"))
-        labels = materialize(spread.join(jump, "l").select("s", "was", F.least("l", "m").alias("l")))
+        jumped = materialize(spread.join(jump, "l").select("s", "was", F.least("l", "m").alias("l")))
+        # Each round's tables are whole in the next one's.
+        discard(labels)
+        discard(spread)
+        labels = jumped
         if not labels.filter("was <> l").limit(1).count():
+            discard(both)
             return labels.select(F.col("s").alias("id"), F.col("l").alias("component"))
-        labels = labels.select("s", "l")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, group_of, likely, materialize, mix, seeds, small_batches, table, text_slices
+from .common import Words, components, group_of, likely, materialize, mix, seeds, small_batches, spread_join, table, text_slices
 
 #: A signature has COORDINATES values, each of ROWS minhashes together; pairs that agree in MATCHES go on.
 #: At similarity s one coordinate agrees with probability s**3; at 0.8 a pair has fewer than 4 of 32
@@ -19,7 +19,10 @@ COORDINATES, ROWS, MATCHES = 32, 3, 4
 BLOCK = 2048
 
 #: Rows of short posting lists that one group compares.
-LISTED = 16384
+LISTED = 4096
+
+#: Members that all others of a list or cluster are held against first, before what is then left meets all.
+LEADERS = 32
 
 
 def shingles(words: Words, size: int) -> list[np.ndarray]:
@@ -103,25 +106,63 @@ def _span(pairs, ids) -> list[tuple[int, int]]:
     return _stars(parent)
 
 
+def _led(n: int, one, many) -> list[tuple[int, int]]:
+    """Links with the same components as all links of n members.
+
+    one(i, js): whether i is linked with each of js; many(left, right): the links (i, j) of two sets of members.
+    LEADERS members in turn take all that are linked with them and not yet taken. A link between two groups
+    has an end outside the largest one, so only these members meet all: none, if the first leader takes all.
+    """
+    group, left, links = np.full(n, -1), np.arange(n), []
+    for _ in range(LEADERS):
+        if not len(left):
+            break
+        hit = one(left[0], left)
+        hit[0] = True
+        group[left[hit]] = left[0]
+        links += [(int(left[0]), j) for j in left[hit][1:].tolist()]
+        left = left[~hit]
+    taken = group[group >= 0]
+    largest = np.bincount(taken).argmax() if len(taken) else -1
+    return links + many(np.flatnonzero(group != largest), np.arange(n))
+
+
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of `a` collides with each of `b`."""
+    same = np.zeros((len(a), len(b)), np.int8)
+    for c in range(COORDINATES):
+        same += a[:, c : c + 1] == b[None, :, c]
+    return same
+
+
+def _many_agreeing(sig: np.ndarray):
+    def many(left, right):
+        pairs = []
+        for at in range(0, len(left), 256):
+            i, j = np.nonzero(_agreements(sig[left[at : at + 256]], sig[right]) >= MATCHES)
+            i, j = left[at + i], right[j]
+            keep = i != j
+            pairs += _span(zip(i[keep].tolist(), j[keep].tolist(), strict=True), np.arange(len(sig)))
+        return pairs
+
+    return many
+
+
 def _agreeing(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within a part of a long posting list that agree in MATCHES coordinates, as a spanning forest."""
+    """Links of a part of a long posting list: rows of `side` 0 with all, as a spanning forest."""
     ids = rows["id"].to_numpy()
     sig = np.stack(rows["signature"].to_numpy())
-    pairs = []
-    for begin in range(0, len(ids), 256):
-        block = sig[begin : begin + 256]
-        same = np.zeros((len(block), len(ids)), np.int8)
-        for c in range(COORDINATES):
-            same += block[:, c : c + 1] == sig[None, :, c]
-        i, j = np.nonzero(same >= MATCHES)
-        i += begin
-        keep = i < j
-        pairs += _span(zip(i[keep].tolist(), j[keep].tolist(), strict=True), np.arange(len(ids)))
+    side = rows["side"].to_numpy()
+    pairs = _many_agreeing(sig)(np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if len(rows) else []
     return pd.DataFrame(_span(pairs, ids), columns=["a", "b"], dtype="int64")
 
 
 def _agreeing_lists(percent: int):
-    """Pairs that meet in short posting lists and agree, as one spanning forest of all lists of the group."""
+    """Pairs that meet in posting lists and agree, as one spanning forest of all lists of the group.
+
+    Lists are merged from short to long; a pair that shorter lists have already linked, directly or by way of
+    others, is skipped, and so are pairs whose sizes cannot be similar.
+    """
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["value", "id"])
@@ -132,19 +173,27 @@ def _agreeing_lists(percent: int):
         begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         length = np.diff(np.r_[begin, len(value)])
         parent: dict[int, int] = {}
-        for n in np.unique(length).tolist():
+        for n in np.unique(length[length <= 64]).tolist():
             lists = begin[length == n]
+            tree = np.arange(len(ids))
+            for x in parent:
+                tree[x] = _root(parent, x)
             # Members i and i + step of all lists of n members are compared at once.
             for step in range(1, n):
                 i = (lists[:, None] + np.arange(n - step)).ravel()
                 j = i + step
                 near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+                near &= tree[place[i]] != tree[place[j]]
                 i, j = i[near], j[near]
                 same = np.zeros(len(i), np.int8)
                 for c in range(COORDINATES):
                     same += sig[i, c] == sig[j, c]
                 i, j = place[i[same >= MATCHES]], place[j[same >= MATCHES]]
                 _grow(parent, zip(i.tolist(), j.tolist(), strict=True))
+        for a, n in zip(begin[length > 64].tolist(), length[length > 64].tolist(), strict=True):
+            own, here = sig[a : a + n], place[a : a + n]
+            links = _led(n, lambda i, js, own=own: _agreements(own[i : i + 1], own[js])[0] >= MATCHES, _many_agreeing(own))
+            _grow(parent, ((here[i], here[j]) for i, j in links))
         return pd.DataFrame([(int(ids[i]), int(ids[j])) for i, j in _stars(parent)], columns=["a", "b"], dtype="int64")
 
     return run
@@ -168,29 +217,69 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _similar(sets: list[np.ndarray], percent: int):
+    """(one, many) of `_led` for similarities of full sets."""
+    size = np.array([len(x) for x in sets], np.float64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    begin = np.r_[0, np.cumsum([len(x) for x in sets])[:-1]].astype(np.int64)
+
+    def one(i, js):
+        own = sets[i]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat(own[at] == flat, begin)[js].astype(np.float64)
+        return 100 * both >= percent * (size[i] + size[js] - both)
+
+    def many(left, right):
+        pairs, others = [], [sets[j] for j in right]
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            both = _intersections([sets[i] for i in some], others)
+            i, j = np.nonzero(100 * both >= percent * (size[some][:, None] + size[right][None, :] - both))
+            i, j = some[i], right[j]
+            keep = i != j
+            pairs += _span(zip(i[keep].tolist(), j[keep].tolist(), strict=True), np.arange(len(sets)))
+        return pairs
+
+    return one, many
+
+
 def _confirm(percent: int):
-    """Links of candidate clusters, confirmed on full sets, as a spanning forest of each part."""
+    """Links of candidate clusters, confirmed on full sets, as a spanning forest of each."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("cluster", sort=False):
-            ids = part["id"].to_numpy()
+            part = part.sort_values("id", kind="stable")
             sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-            size = np.array([len(s) for s in sets], np.float64)
-            pairs = []
-            for begin in range(0, len(ids), 512):
-                both = _intersections(sets[begin : begin + 512], sets)
-                union = size[begin : begin + 512, None] + size[None, :] - both
-                i, j = np.nonzero(100 * both >= percent * union)
-                i += begin
-                keep = i < j
-                pairs += _span(zip(i[keep].tolist(), j[keep].tolist(), strict=True), np.arange(len(ids)))
-            out += _span(pairs, ids)
+            out += _span(_led(len(sets), *_similar(sets, percent)), part["id"].to_numpy())
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _confirm_rest(percent: int):
+    """Links of a part of a large cluster: rows of `side` 0 with those of side 1, as a spanning forest."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        side = rows["side"].to_numpy()
+        pairs = _similar(sets, percent)[1](np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if len(rows) else []
+        return pd.DataFrame(_span(pairs, rows["id"].to_numpy()), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _with_first(batches, percent: int):
+    """Whether each row's set is similar to `first_shingles`, its cluster's first member's."""
+    for batch in batches:
+        flags = []
+        for x, y in zip(batch.column("shingles").to_pylist(), batch.column("first_shingles").to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            flags.append(100 * both >= percent * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names if n != "first_shingles"} | {"linked": pa.array(flags, pa.bool_())})
+
+
 def _sets(batches, size: int):
     for batch in batches:
         for rows, data, offsets in text_slices([batch], "text"):
@@ -198,12 +287,24 @@ def _sets(batches, size: int):
             yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "cluster": rows.column("cluster"), "members": rows.column("members"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
-def _paired_blocks(rows: DataFrame, members: str) -> DataFrame:
-    """Add (i, j): of a list cut into blocks of BLOCK, the pairs of blocks that a row takes part in."""
-    n = F.ceil(F.col(members) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    r = rows.withColumn("_n", n).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return r.select(*rows.columns, F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
+def _rest_with_all(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks (key, i, j, side) in which the rows that are not `linked` meet all rows of their key; nothing where all are linked.
+
+    rows: id, key, `members` of the key, first_id (linked, too). A row is copied once for each BLOCK unlinked rows of its key.
+    """
+    rest = rows.filter("not linked")
+    n = rest.groupBy(key).agg(F.count(F.lit(1)).alias("_rest"))
+    mine, theirs = F.ceil(F.col("_rest") / BLOCK).cast("int"), F.ceil(F.col("members") / BLOCK).cast("int")
+    names = [c for c in rows.columns if c not in ("linked", "first_id")]
+    left = rest.join(F.broadcast(n), key).select(*names, F.pmod(F.xxhash64("id"), mine).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("j"), F.lit(0).alias("side"))
+    right = rows.join(F.broadcast(n), key).select(*names, F.explode(F.sequence(F.lit(0), mine - 1)).alias("i"), F.pmod(F.xxhash64("id"), theirs).cast("int").alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right)
+
+
+def _from_first(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows of large keys beside `first_id` and first_`value`, those of the key's smallest id; hot keys are dealt over many tasks."""
+    first = materialize(rows.groupBy(key).agg(F.min("id").alias("first_id"), F.min_by(value, "id").alias(f"first_{value}"), F.count(F.lit(1)).alias("n")))
+    return spread_join(rows, first, [key], ["id"])
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -218,9 +319,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     follows. Representatives are posted under each coordinate and value; values that only one has are
     skipped, a document with fewer than MATCHES other ones too. Of what is left, ordered from rare to
     frequent, all but the last MATCHES - 1 form its prefix: pairs with MATCHES agreements meet in their
-    prefixes. Lists of up to 64 are compared many at a time, longer ones in blocks; both count agreements.
-    A candidate cluster's sets meet once, in blocks if it is large. All of them return spanning forests
-    of their links, never all pairs. Only a convergence flag reaches the driver.
+    prefixes. Lists are merged many at a time, from short to long: a pair's collisions are counted unless
+    it is linked already. In lists of over 64, and in candidate clusters when links are confirmed, members
+    are held against a few leaders first, and only what these leave meets all; lists and clusters of over
+    BLOCK do so with their first member, and in blocks. All return spanning forests of their links, never
+    all pairs. Only a convergence flag reaches the driver. An empty table gives an empty one; long texts are
+    whole; columns beside doc_id and text take no part.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(d.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id long, n_shingles long, one long, two long, signature array<long>"))
@@ -235,10 +339,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     lists = lists.groupBy("n", "who").agg(F.min("value").alias("value"))
     members = materialize(prefix.join(lists.select("value", "n"), "value").join(reps.select("id", "signature", "n_shingles"), "id"))
     parts = max(1, members.count() // LISTED)
-    short = members.filter("n <= 64").select(group_of(parts, "value").alias("g"), "value", "id", "signature", "n_shingles")
+    short = members.filter(F.col("n") <= BLOCK).select(group_of(parts, "value").alias("g"), "value", "id", "signature", "n_shingles")
     joined = short.groupBy("g").applyInPandas(_agreeing_lists(percent), "a long, b long")
-    blocks = _paired_blocks(members.filter("n > 64").select("value", "id", "signature", "n"), "n")
-    long_ = blocks.groupBy("value", "i", "j").applyInPandas(_agreeing, "a long, b long")
+    long_ = _from_first(members.filter(F.col("n") > BLOCK).select("value", "id", "signature", F.col("n").alias("members")), "value", "signature")
+    collisions = F.aggregate(F.zip_with("signature", "first_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    long_ = materialize(long_.withColumn("linked", collisions >= MATCHES).drop("first_signature"))
+    joined = joined.unionByName(long_.filter("linked and id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")))
+    long_ = _rest_with_all(long_, "value").groupBy("value", "i", "j").applyInPandas(_agreeing, "a long, b long")
     candidates = components(materialize(joined.unionByName(long_)))
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     clusters = candidates.join(sizes, "component").select("id", F.col("component").alias("cluster"), "members")
@@ -248,8 +355,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     small = sets.filter(F.col("members") <= BLOCK)
     groups = max(1, sets.count() // 512)
     links = small.groupBy(group_of(groups, "cluster").alias("g")).applyInPandas(_confirm(percent), "a long, b long")
-    large = _paired_blocks(sets.filter(F.col("members") > BLOCK), "members")
-    links = links.unionByName(large.groupBy("cluster", "i", "j").applyInPandas(_confirm(percent), "a long, b long"))
+    large = _from_first(sets.filter(F.col("members") > BLOCK), "cluster", "shingles")
+    large = materialize(large.select("id", "cluster", "members", "shingles", "first_id", "first_shingles").mapInArrow(lambda it: _with_first(it, percent), "id long, cluster long, members long, shingles binary, first_id long, linked boolean"))
+    links = links.unionByName(large.filter("linked and id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")))
+    links = links.unionByName(_rest_with_all(large, "cluster").groupBy("cluster", "i", "j").applyInPandas(_confirm_rest(percent), "a long, b long"))
     linked = components(materialize(links))
     named = reps.join(linked, "id", "left").select("one", "two", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
