@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, small_batches, table, text_slices
+from .common import Words, free_names, small_batches, table, text_slices
 
 #: Labelled rows that the models are fitted on at most, those of the smallest hash of doc_id.
 TRAINING_ROWS = 20_000
@@ -160,7 +160,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are learnt from rows with crc32(doc_id) mod 5 not 0: remainders 2 to 4 fit the models, 1 fits
     their weights, TRAINING_ROWS in all at most. Null or empty texts have no evidence and score by the
     base rate; null labels and labels without a document are ignored; repeated rows are each scored. A
-    null doc_id is not held out and never learnt from. Scoring is one narrow pass with the fitted
+    null doc_id is not held out and never learnt from. An empty table gives an empty one; long texts are whole. Scoring is one narrow pass with the fitted
     arrays, two numbers a word or stem of the TRAINING_ROWS texts, in the closure.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -168,16 +168,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(fold.alias("fold"), "text", "toxic")
     model = fit(texts.filter("fold > 1").select("text", "toxic"), texts.filter("fold = 1").select("text", "toxic"))
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "_score")]
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    own = free_names([*names, "held_out", "score", "predicted"], "_score")[0]
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in text_slices([batch], "text"):
-                yield pa.RecordBatch.from_pydict({n: rows.column(n) for n in names} | {"_score": model.scores(data, offsets)})
+                yield pa.RecordBatch.from_pydict({n: rows.column(n) for n in names} | {own: model.scores(data, offsets)})
 
-    out = docs.select(names).mapInArrow(run, StructType([docs.schema[n] for n in names] + [StructField("_score", DoubleType())]))
-    return out.select(*names, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = docs.select(names).mapInArrow(run, StructType([docs.schema[n] for n in names] + [StructField(own, DoubleType())]))
+    return out.select(*names, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(own).alias("score"), (F.col(own) >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
