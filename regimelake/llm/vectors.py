@@ -266,9 +266,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
     Centroids and codebooks are fitted on the SAMPLE rows of the smallest hash of their id; every row is
     indexed. As many lists are probed as hold TARGET of the true neighbours of TRIALS sample rows, and more
     for a query where these hold fewer than k others. Small lists share a shard, long ones are cut into
-    several, each of about BLOCK rows. First every shard ranks its codes by the queries' distance tables;
-    the shards' counts by score are merged for each query into the bar that RERANK * k rows reach. Then the
-    rows at the bar or over it, and only those, are scored exactly on the vectors. `report` is given the
+    several, each of about BLOCK rows. First every shard ranks its codes by the queries' distance tables and
+    gives the scores at a few ranks, each twice the one before; these are merged for each query into a bar
+    that RERANK * k rows reach at least. Then the rows at the bar or over it, and only those, are scored exactly on the vectors. `report` is given the
     number of lists and of probed ones.
 
     A query's own row is no candidate. Vectors that are null, empty, zero or hold null or non-finite
@@ -285,6 +285,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
     size = int(sample["v"].map(len).mode()[0])
     index = Index(np.stack(sample["v"][sample["v"].map(len) == size].to_numpy()), max(1, min(1024, round(total**0.5 / 4))), k)
     wide, most = index.parts, RERANK * k
+    steps = np.unique(np.minimum(most, np.maximum(1, k // 4) << np.arange(most.bit_length())))
 
     def assign(batches):
         for pdf in batches:
@@ -332,10 +333,12 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: st
                 for i, row in enumerate(scores):
                     row[ids == own[at + i]] = -np.inf
                     top = row if len(row) <= most else np.partition(row, len(row) - most)[len(row) - most :]
-                    found, n_ = np.unique(_bins(top[np.isfinite(top)]), return_counts=True)
-                    query.append(np.full(len(found), own[at + i]))
-                    bins.append(found)
-                    times.append(n_)
+                    top = np.sort(top[np.isfinite(top)])[::-1]
+                    # A few ranks tell the shard's counts: so many more rows lie at each bin or over it.
+                    ranks = np.unique(np.minimum(steps, len(top))) if len(top) else steps[:0]
+                    query.append(np.full(len(ranks), own[at + i]))
+                    bins.append(_bins(top[ranks - 1]))
+                    times.append(np.diff(np.r_[0, ranks]))
         none = [np.zeros(0, np.int64)]
         return pd.DataFrame({"query_id": np.concatenate(none + query), "bin": np.concatenate(none + bins).astype(np.int32), "n": np.concatenate(none + times)})
 
