@@ -107,7 +107,8 @@ def stream_classify(blocks: DataFrame, phi: int, alpha: float = 2 / 11, slow: fl
                 rows = pd.DataFrame({"chain": key[0], "idx": at, "start_us": starts[:whole], "end_us": ends[:whole], "rho_ts": rho, "rho_s": mean, "rhythm": rhythm, "rhythm_slow": drift, "sigma": sigma, "state": state_})
                 idx += whole
         state.update((n, int(start), int(last), int(count), float(load), int(loads), e, e_slow, e_load, int(idx), number[ready:].tolist(), us[ready:].tolist(), loaded[ready:].tolist()))
-        yield rows
+        if len(rows):
+            yield rows
 
     if "load" not in blocks.columns:
         blocks = blocks.withColumn("load", F.lit(None).cast("double"))
