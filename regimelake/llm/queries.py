@@ -13,6 +13,7 @@ QUERIES = {
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
     "op3_exact_top_k": """
@@ -32,6 +33,20 @@ ORACLE_SQL = {
         k AS (SELECT x.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(w[x.i], ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL), '') AS kept
               FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op8_minhash_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        t AS (SELECT string_agg(g, chr(10) ORDER BY g) AS t, doc_id FROM s GROUP BY doc_id),
+        c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS rep FROM t),
+        r AS (SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id) JOIN c USING (doc_id) WHERE rep = s.doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        k AS (SELECT rep AS a, rep AS b FROM c WHERE rep = doc_id UNION SELECT k.a, e.b FROM k JOIN e ON k.b = e.a),
+        m AS (SELECT a AS rep, min(b) AS least FROM k GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (rep)""",
     "op9_sharding": """
         WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
         crc AS (SELECT DISTINCT text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, t[CAST(xor(a, x) % 256 AS INTEGER) + 1])), 4294967295) AS c

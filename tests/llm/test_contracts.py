@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 
+import compare
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -145,6 +146,13 @@ def _brute_repeats(texts, window=50):
     return out
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got, want = compare.same(queries.QUERIES[name](spark, sf), compare.duck(sf), queries.ORACLE_SQL[name])
+    assert got == want
+
+
 def test_pipeline_equals_brute_force(spark):
     """All stages over whole documents; the toxic ones that go are taken from the scores, all else is brute force."""
     import corpus_pipeline
