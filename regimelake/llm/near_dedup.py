@@ -292,12 +292,13 @@ def _rest_with_all(rows: DataFrame, key: str) -> DataFrame:
 
     rows: id, key, `members` of the key, first_id (linked, too). A row is copied once for each BLOCK unlinked rows of its key.
     """
-    rest = rows.filter("not linked")
-    n = rest.groupBy(key).agg(F.count(F.lit(1)).alias("_rest"))
+    # Keys with unlinked rows grow with the data, so they are joined by shuffle, hot ones dealt over many tasks.
+    n = materialize(rows.groupBy(key).agg(F.count_if(~F.col("linked")).alias("_rest"), F.count(F.lit(1)).alias("n")).filter("_rest > 0"))
+    met = materialize(spread_join(rows, n, [key], ["id"]))
     mine, theirs = F.ceil(F.col("_rest") / BLOCK).cast("int"), F.ceil(F.col("members") / BLOCK).cast("int")
     names = [c for c in rows.columns if c not in ("linked", "first_id")]
-    left = rest.join(F.broadcast(n), key).select(*names, F.pmod(F.xxhash64("id"), mine).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("j"), F.lit(0).alias("side"))
-    right = rows.join(F.broadcast(n), key).select(*names, F.explode(F.sequence(F.lit(0), mine - 1)).alias("i"), F.pmod(F.xxhash64("id"), theirs).cast("int").alias("j"), F.lit(1).alias("side"))
+    left = met.filter("not linked").select(*names, F.pmod(F.xxhash64("id"), mine).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("j"), F.lit(0).alias("side"))
+    right = met.select(*names, F.explode(F.sequence(F.lit(0), mine - 1)).alias("i"), F.pmod(F.xxhash64("id"), theirs).cast("int").alias("j"), F.lit(1).alias("side"))
     return left.unionByName(right)
 
 
