@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extraction, near_dedup, packing, sharding, substring_dedup, token_counts, toxicity, vectors
+from . import bpe, html_extraction, near_dedup, packing, sharding, spelling, substring_dedup, token_counts, toxicity, vectors
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_byte_bpe, packing.op2_best_fit_packing, vectors.op3_exact_top_k, substring_dedup.op4_substring_dedup, toxicity.op5_toxicity,
         vectors.op6_nearest_neighbours, token_counts.op7_token_counts, near_dedup.op8_minhash_near_dedup, sharding.op9_sharding, html_extraction.op10_html_extraction,
+        spelling.op12_spelling_variants,
     )
 }
 
@@ -57,4 +58,19 @@ ORACLE_SQL = {
         grown AS (SELECT vslot, CASE WHEN turn <= floor((shard + 1) * share) - floor(shard * share) THEN 40 ELSE shard END AS grown_shard FROM two)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard, vslot, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes, 1 AS map_version
         FROM d JOIN one USING (vslot) JOIN grown USING (vslot)""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+        r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        g AS (SELECT id, run, count(*) AS n FROM r GROUP BY id, run),
+        c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, t[CAST(xor(a, x) % 256 AS INTEGER) + 1])), 4294967295) AS h FROM g, tab),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        d AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || ' ' || substr(word, i + 1) AS other_here, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        e AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.l = b.l AND a.i = b.i AND a.other_here = b.other_here AND a.word <> b.word
+              UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+        b AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM e GROUP BY word),
+        f AS (SELECT v.word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+        u AS (SELECT word, word AS root FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON u.root = f.word WHERE f.form IS NOT NULL),
+        z AS (SELECT u.word, u.root FROM u JOIN f ON u.root = f.word WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
 }
