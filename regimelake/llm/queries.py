@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extraction, near_dedup, packing, sharding, spelling, substring_dedup, token_counts, toxicity, vectors
+from . import bpe, conversations, html_extraction, near_dedup, packing, sharding, spelling, substring_dedup, token_counts, toxicity, vectors
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_byte_bpe, packing.op2_best_fit_packing, vectors.op3_exact_top_k, substring_dedup.op4_substring_dedup, toxicity.op5_toxicity,
         vectors.op6_nearest_neighbours, token_counts.op7_token_counts, near_dedup.op8_minhash_near_dedup, sharding.op9_sharding, html_extraction.op10_html_extraction,
-        spelling.op12_spelling_variants,
+        conversations.op11_conversation_repair, spelling.op12_spelling_variants,
     )
 }
 
@@ -58,6 +58,30 @@ ORACLE_SQL = {
         grown AS (SELECT vslot, CASE WHEN turn <= floor((shard + 1) * share) - floor(shard * share) THEN 40 ELSE shard END AS grown_shard FROM two)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard, vslot, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes, 1 AS map_version
         FROM d JOIN one USING (vslot) JOIN grown USING (vslot)""",
+    "op11_conversation_repair": """
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+        h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, t[CAST(xor(a, x) % 256 AS INTEGER) + 1])), 4294967295) % 20 AS h FROM conversations, tab),
+        d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS c FROM h WHERE h <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS again,
+              rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM d),
+        f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS r, CASE WHEN e = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+              lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM n),
+        x AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+              count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) + 1 AS i FROM f GROUP BY conv_id),
+        -- The cheapest edits from row i on, after nothing, system, user and assistant: what they cost, their initials, the turns that they leave.
+        v AS (SELECT conv_id, i, [{'c': 0, 'a': '', 's': ''}, {'c': 4, 'a': 'II', 's': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 2, 'a': 'I', 's': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 's': ''}] AS v FROM x
+              UNION ALL
+              SELECT conv_id, i, [list_min([w[1], {'c': w[3].c + 2, 'a': 'I' || w[3].a, 's': u || w[3].s}, {'c': w[4].c + 4, 'a': 'II' || w[4].a, 's': u || b || w[4].s}]), list_min([w[2], {'c': w[3].c + 2, 'a': 'I' || w[3].a, 's': u || w[3].s}, {'c': w[4].c + 4, 'a': 'II' || w[4].a, 's': u || b || w[4].s}]),
+                                  list_min([w[3], {'c': w[4].c + 2, 'a': 'I' || w[4].a, 's': b || w[4].s}]), list_min([w[4], {'c': w[3].c + 2, 'a': 'I' || w[3].a, 's': u || w[3].s}])]
+              FROM (SELECT conv_id, i, chr(10) || 'user:' AS u, chr(10) || 'assistant:' AS b, list_transform([1, 2, 3, 4], lambda q: list_min([
+                        {'c': v[q].c + 3, 'a': 'D' || v[q].a, 's': v[q].s},
+                        {'c': CASE WHEN k[q] > 0 AND fault NOT IN ('b', 'd') THEN v[k[q]].c + CAST(fault = 't' AS INTEGER) ELSE 1000000000 END, 'a': 'K' || v[greatest(k[q], 1)].a, 's': chr(10) || role || ':' || text || v[greatest(k[q], 1)].s},
+                        {'c': CASE WHEN fault NOT IN ('b', 'd') THEN v[o[q]].c + 2 + CAST(fault = 't' AS INTEGER) ELSE 1000000000 END, 'a': 'R' || v[o[q]].a, 's': chr(10) || CASE WHEN o[q] = 3 THEN 'user:' ELSE 'assistant:' END || text || v[o[q]].s}])) AS w
+                    FROM (SELECT f.conv_id, f.i, v.v, f.role, f.text, f.fault, [3, 3, 4, 3] AS o, CASE f.r WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS k FROM v JOIN f ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = v.i - 1))),
+        z AS (SELECT x.*, v.v[1] AS z FROM x JOIN v ON x.conv_id IS NOT DISTINCT FROM v.conv_id AND v.i = 1)
+        SELECT p.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(z.c, 0) AS BIGINT) AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(substr(z.s, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) p LEFT JOIN z ON p.conv_id IS NOT DISTINCT FROM z.conv_id""",
     "op12_spelling_variants": """
         WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
         r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
