@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, html_extraction, near_dedup, packing, sharding, spelling, substring_dedup, token_counts, toxicity, vectors
+from . import bpe, conversations, html_extraction, near_dedup, packing, quality, sharding, spelling, substring_dedup, token_counts, toxicity, vectors
 
 QUERIES = {
     f.__name__: f
     for f in (
         bpe.op1_byte_bpe, packing.op2_best_fit_packing, vectors.op3_exact_top_k, substring_dedup.op4_substring_dedup, toxicity.op5_toxicity,
         vectors.op6_nearest_neighbours, token_counts.op7_token_counts, near_dedup.op8_minhash_near_dedup, sharding.op9_sharding, html_extraction.op10_html_extraction,
-        conversations.op11_conversation_repair, spelling.op12_spelling_variants,
+        conversations.op11_conversation_repair, spelling.op12_spelling_variants, quality.op13_quality,
     )
 }
 
