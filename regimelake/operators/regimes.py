@@ -117,7 +117,7 @@ def level(m1) -> F.Column:
 
 
 def confidence(tpr, fpr, incidents, deployed_days, data_days) -> F.Column:
-    """How far a calibration can be trusted. HIGH: tpr of 0.80, fpr of 0.10 at most, three incidents, over 30 days in use.
+    """How far a set of thresholds can be trusted. HIGH: tpr of 0.80, fpr of 0.10 at most, three incidents, over 30 days in use.
     MEDIUM (events): measured on incidents. MEDIUM (statistics): no incidents, 30 days of data at least. Else LOW."""
     measured = (incidents > 0) & tpr.isNotNull() & fpr.isNotNull()
     high = measured & (tpr >= 0.80) & (fpr <= 0.10) & (incidents >= 3) & (deployed_days > 30)

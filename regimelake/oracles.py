@@ -193,6 +193,7 @@ ORACLE_SQL = {
     "bridge_intervals": f"WITH {_blk()}, {_GAPS} SELECT number, round(gap, 6) AS gap FROM bg",
     "asof_last_blob": f"WITH {_blk()}, {_LAST} SELECT hour, last_us FROM lb",
     "bridge_bs": f"WITH RECURSIVE {_blk()}, {_BR} SELECT hour, round(age_min, 6) AS age_min, round(baseline, 6) AS baseline, bs FROM bs",
+    "bridge_alarm": f"WITH RECURSIVE {_blk()}, {_BR} SELECT hour, bs FROM bs",
     "bridge_grid": f"WITH RECURSIVE {_blk()}, {_RELAY} SELECT hour, round(latency_ratio, 6) AS latency_ratio, round(backlog_ratio, 6) AS backlog_ratio, grid FROM grid",
     "composite": f"{_COMP} SELECT * FROM comp",
     "composite_summary": f"{_COMP} SELECT count(*) AS hours, count(*) FILTER (WHERE bridge_regime = 'BS2') AS bs2, count(*) FILTER (WHERE l2_regime IN ('S1D2', 'S2D1', 'S2D2')) AS l2_degraded, count(*) FILTER (WHERE composite = 'MULTI_LAYER') AS multi, count(*) FILTER (WHERE alert) AS alerts, count(*) FILTER (WHERE fee_monitor_visible) AS fee FROM comp",

@@ -76,6 +76,15 @@ def write_csv(rows: DataFrame, path: str) -> None:
         rows.write.option("header", True).csv(path)
 
 
+def stream_of(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    """The Parquet files at `path`, a folder or one file, as a stream of `files` a micro-batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # A stream lists a folder or a pattern: the pattern of one file is its name with a letter in brackets.
+    single = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]" if single else path)
+
+
 def optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A source that may be missing: then an empty table, so that its layer is null everywhere."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.ema import ema, last_before
@@ -13,7 +13,8 @@ from .plans import composite as C
 from .plans import sweeps as S
 from .sources import views as V
 from .sources.shared import materialize, new_folder
-from .streaming.online import ordered_slices, stream_classify
+from .streaming.bridge import Clock, watch_bridges
+from .streaming.online import state_store, stream_classify, tick
 
 PHI, SLOT_PHI = 10, 10
 _TWO = {"s2": 1.12, "sigma": 1.10, "size": 1.20, "tx": 1.10, "need": 2}
@@ -167,14 +168,51 @@ def _reset(s, d):
     return ema(w, {"e": ("rho_ts", R.FAST)}, part="key", order="at").select("idx", "epoch", *_r("e"))
 
 
+#: A time after all others: 2100.
+_END = 4_102_444_800_000_000
+
+
 def _stream(s, d):
-    """The online engine over events as a stream of ordered slices, a chain for each type; what it emits is read back."""
+    """The online engine over the unsorted files of events, a chain for each type; what it emits is read back."""
+    out = new_folder(s, "stream")
+    columns = V.as_blocks(s.read.parquet(f"{d}/events.parquet").limit(0), True).select("chain", "number", "us", F.try_divide("gas_used", "gas_limit").alias("load"))
+    ticks = columns.schema
+    s.createDataFrame([], ticks).write.parquet(f"{out}/ticks")
+    events = V.as_blocks(V.stream_of(s, f"{d}/events.parquet", files=8), True).select("chain", "number", "us", F.try_divide("gas_used", "gas_limit").alias("load"))
+    both = events.unionByName(s.readStream.schema(ticks).parquet(f"{out}/ticks"))
+    stream = stream_classify(both, PHI)
+
+    def follow():
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+    with state_store(s, 8):  # five chains
+        follow()
+        tick(s, f"{out}/ticks", _END, ticks)
+        follow()
+    return s.read.schema(stream.schema).parquet(f"{out}/rows").filter("kind = 'window'").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rho_s", "rhythm", "rhythm_slow", "sigma"), "state")
+
+
+def _bridge_alarm(s, d):
+    """The bridge's states at the ends of hours, from the log of the streamed watch: its alarms come from timers, not from batches."""
     out = new_folder(s, "stream")
-    slices = ordered_slices(V.blocks(s, d, True), f"{out}/blocks")
-    blocks = s.readStream.schema(slices.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/blocks")
-    stream = stream_classify(blocks.select("chain", "number", "us", "load"), PHI, dense=True)
-    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(stream.schema).parquet(f"{out}/rows").select("chain", "idx", "start_us", "end_us", *_r("rho_ts", "rho_s", "rhythm", "rhythm_slow", "sigma"), "state")
+    kind = s.createDataFrame([], "chain string, us long").schema
+    tick(s, f"{out}/ticks", V.FIRST_HOUR * V.HOUR, kind)
+    batches = V.as_blocks(V.stream_of(s, f"{d}/events.parquet", files=8), True).filter("event_type = 'purchase'").select(F.lit("evt").alias("chain"), "us")
+    both = batches.unionByName(s.readStream.schema(kind).parquet(f"{out}/ticks"))
+    log = watch_bridges(both, Clock(first=V.FIRST_HOUR), "10 minutes")
+
+    def follow():
+        log.writeStream.format("parquet").option("path", f"{out}/log").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+    with state_store(s, 2):  # one bridge
+        follow()
+        tick(s, f"{out}/ticks", (V.LAST_HOUR + 1) * V.HOUR, kind)
+        follow()
+    said = s.read.schema(log.schema).parquet(f"{out}/log")
+    latest = said.groupBy("chain", F.expr(f"at_us div {V.HOUR}").alias("hour")).agg(F.max_by("bs", F.struct("at_us", "seq")).alias("said"), F.count(F.lit(1)).alias("block_count"))
+    h = W.on_spine(latest, V.FIRST_HOUR, V.LAST_HOUR)
+    carried = F.last("said", ignorenulls=True).over(Window.partitionBy("chain").orderBy("hour"))  # a row an hour
+    return h.select("hour", carried.alias("bs")).filter("bs is not null")
 
 
 #: Chain thresholds of two versions; chains without a row, and null thresholds, are switched off.
@@ -311,6 +349,7 @@ QUERIES = {
     "bridge_intervals": lambda s, d: C.batch_gaps(_layer(s, d, "purchase")).select("number", *_r("gap")),
     "asof_last_blob": lambda s, d: C.last_batch(_spine(s, d), _layer(s, d, "purchase")).select("hour", "last_us"),
     "bridge_bs": lambda s, d: _bridge(s, d).filter("bs is not null").select("hour", *_r("age_min", "baseline"), "bs"),
+    "bridge_alarm": _bridge_alarm,
     "bridge_grid": _bridge_grid,
     "composite": _composite,
     "composite_summary": lambda s, d: _composite(s, d).agg(F.count(F.lit(1)).alias("hours"), F.count_if(F.col("bridge_regime") == "BS2").alias("bs2"), F.count_if(~F.col("l2_regime").isin("S1D1", "N/A")).alias("l2_degraded"), F.count_if(F.col("composite") == "MULTI_LAYER").alias("multi"), F.count_if("alert").alias("alerts"), F.count_if("fee_monitor_visible").alias("fee")),

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from regimelake import suite
 from regimelake.functions import ema as E
 from regimelake.operators import regimes as R
-from regimelake.sources import views as V
-from regimelake.streaming.online import ordered_slices, stream_classify
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,47 +43,3 @@ def test_states_at_thresholds_and_nulls(spark):
 
 def test_m1_level(spark):
     assert [r[0] for r in spark.createDataFrame([(5.07,), (1.0,), (0.5,), (0.1,)], "m double").select(R.level(F.col("m"))).collect()] == ["Excellent", "Certified", "Operational", "Provisional"]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    b = V.blocks(spark, SF).select("chain", "number", "us")
-    for k in range(3):
-        b.filter(f"number % 1000 div 334 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = stream_classify(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 10)
-    q = stream.writeStream.format("memory").queryName("online").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.idx: r.rho_ts for r in spark.table("online").collect()}
-    want = {r.window_id: r.rho_ts for r in suite.QUERIES["invariants"](spark, SF).collect() if r.block_count == 10}
-    assert {k: round(v, 6) for k, v in got.items()} == pytest.approx(want)
-
-
-def _events_in_parts(spark, folder, parts):
-    e = spark.read.parquet(f"{SF}/events.parquet")
-    for condition in parts:
-        e.filter(condition).coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
-    with compare.duckdb.connect() as con:
-        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
-        return compare.same(suite.QUERIES["stream_ema"](spark, str(folder)), con, suite.ORACLE_SQL["stream_ema"])
-
-
-@pytest.mark.parametrize("parts", [["event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2"], ["event_id >= 600", "event_id between 300 and 599", "event_id < 300"]])
-def test_stream_of_interleaved_and_reversed_files(spark, tmp_path, parts):
-    got, want = _events_in_parts(spark, tmp_path, parts)
-    assert want[1] and got == want
-
-
-def test_stream_holds_early_slices(spark, tmp_path):
-    import os
-
-    b = V.blocks(spark, SF, True)
-    # A block without a number comes last, in the next to last place of no window.
-    ordered_slices(b.unionByName(b.limit(1).withColumn("number", F.lit(None).cast("long"))), str(tmp_path / "in"), rows=40)
-    files = sorted((int(p.parent.name.split("=")[1]), p) for p in (tmp_path / "in").glob("slice=*/*.parquet"))
-    times = [p.stat().st_mtime for _, p in files]
-    assert len(files) > 3 and times == sorted(set(times))
-    for k, p in files:
-        os.utime(p, (times[0] - 60 * k,) * 2)
-    stream = stream_classify(spark.readStream.schema("chain string, number long, us long, slice long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("slice"), 10, dense=True)
-    stream.writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
-    want = {(r.chain, r.idx, r.start_us, r.end_us) for r in suite.QUERIES["stream_ema"](spark, SF).collect()}
-    assert want <= {(r.chain, r.idx, r.start_us, r.end_us) for r in spark.table("held").collect()}
