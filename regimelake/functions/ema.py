@@ -28,13 +28,14 @@ def affine(values: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def ema(rows: DataFrame, specs: dict[str, tuple[str, float]], part: str = "chain", order: str = "idx", first: float | None = None) -> DataFrame:
+def ema(rows: DataFrame, specs: dict[str, tuple[str, float]], part: str = "chain", order: str = "idx", first: float | None = None, before: dict[str, str] | None = None) -> DataFrame:
     """Add for each output name of `specs` the EMA of (column, alpha): e = alpha * x + (1 - alpha) * e before.
 
     It starts at the first value; null values hold it. `first` stands in for a null first value. `order`
     numbers a chain's rows from 0. An EMA is a chain of affine maps, so each chunk is folded alone into
     (A, B) per row, the chunks' last maps are chained (one row a chunk), and e = A * carry + B. The folded
-    rows are written once to the shared folder, as both of these read them.
+    rows are written once to the shared folder, as both of these read them. `before` names, for outputs, columns
+    with the baseline that a chain's rows go on from, the same in all its rows; null: none.
     """
     names = list(specs)
     chunk = F.expr(f"{order} div {CHUNK}")
@@ -50,6 +51,8 @@ def ema(rows: DataFrame, specs: dict[str, tuple[str, float]], part: str = "chain
 
     folded = materialize(rows.withColumn("_chunk", chunk).groupBy(part, "_chunk").applyInPandas(fold, schema))
     start = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_x{i}") if first is None else F.coalesce(F.min_by(c, order), F.lit(first)).alias(f"_x{i}") for i, (c, _) in enumerate(specs.values())]
+    going = [F.col(before[n]) if before and n in before else F.lit(None).cast("double") for n in names]
+    start = [F.coalesce(F.max(g), s).alias(f"_x{i}") for i, (g, s) in enumerate(zip(going, start, strict=True))] if before else start
     last = [F.max_by(f"_{k}{i}", order).alias(f"_{k}{i}") for i in range(len(names)) for k in "ab"]
     ends = folded.groupBy(part, "_chunk").agg(*last, *start)
 
@@ -68,7 +71,7 @@ def ema(rows: DataFrame, specs: dict[str, tuple[str, float]], part: str = "chain
     carried = ends.groupBy(part).applyInPandas(carry, f"`{part}` {kind}, _chunk long, " + ", ".join(f"_c{i} double" for i in range(len(names))))
     out = folded.join(carried, [part, "_chunk"])
     # Before the first value there is no baseline, unless `first` stands in for it.
-    value = [F.when(F.lit(first is not None) | (F.col(f"_a{i}") < 1) | (F.col("_chunk") > 0), F.nanvl(F.col(f"_a{i}") * F.col(f"_c{i}") + F.col(f"_b{i}"), F.lit(None).cast("double"))).alias(n) for i, n in enumerate(names)]
+    value = [F.when(F.lit(first is not None) | (F.col(f"_a{i}") < 1) | (F.col("_chunk") > 0) | going[i].isNotNull(), F.nanvl(F.col(f"_a{i}") * F.col(f"_c{i}") + F.col(f"_b{i}"), F.lit(None).cast("double"))).alias(n) for i, n in enumerate(names)]
     return out.select(*rows.columns, *value)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ema import ema, lagged
+from ..functions.intervals import interval_join
 from ..functions.quantiles import quantiles
 
 FAST, SLOW, HOURLY, WARM_UP = 2 / 11, 2 / 721, 0.1, 50
@@ -49,18 +50,14 @@ def slot_scores(filled: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
     return e.withColumn("rhythm", rhythm).withColumns({c: F.lit(1.0) for c in ("sigma", "size_r", "tx_r")}).drop("_z")
 
 
-def _near():
-    return (F.col("start_us") >= F.col("onset")) & (F.col("start_us") <= F.col("until"))
-
-
 def in_incident(scored: DataFrame, incidents: DataFrame) -> DataFrame:
     """Window and incident pairs: onset <= start <= until."""
-    return scored.join(F.broadcast(incidents), _near())  # the caller's handful of labelled intervals
+    return interval_join(scored, incidents)
 
 
 def normal(scored: DataFrame, incidents: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
     """Windows after the warm-up that lie in no incident."""
-    return scored.filter(F.col("idx") > warm_up).join(F.broadcast(incidents), _near(), "left_anti")
+    return interval_join(scored.filter(F.col("idx") > warm_up), incidents, how="left_anti")
 
 
 def distribution(scored: DataFrame, warm_up: int = WARM_UP, valid_only: bool = False) -> DataFrame:
@@ -78,7 +75,8 @@ def distribution(scored: DataFrame, warm_up: int = WARM_UP, valid_only: bool = F
 def detect(scored: DataFrame, incidents: DataFrame) -> DataFrame:
     """Per incident: detected, hours to the first detection, windows, detecting windows and their share."""
     hit = F.array_contains("expected", F.col("state"))
-    j = F.broadcast(incidents).join(scored, _near(), "left").groupBy("event", "onset").agg(F.count("start_us").alias("n_window"), F.count_if(hit).alias("n_detected"), F.min(F.when(hit, F.col("start_us"))).alias("first_us"))
+    found = in_incident(scored, incidents).groupBy("event").agg(F.count("start_us").alias("n_window"), F.count_if(hit).alias("n_detected"), F.min(F.when(hit, F.col("start_us"))).alias("first_us"))
+    j = incidents.select("event", "onset").join(found, "event", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_window", "n_detected")})
     return j.select(
         "event", (F.col("n_detected") > 0).alias("tp"), F.round((F.col("first_us") - F.col("onset")) / 3.6e9, 1).alias("latency_h"), "n_window", "n_detected",
         F.round(F.coalesce(F.try_divide("n_detected", "n_window"), F.lit(0.0)), 3).alias("detect_ratio"),
@@ -124,9 +122,38 @@ def confidence(tpr, fpr, incidents, deployed_days, data_days) -> F.Column:
     return F.when(F.coalesce(high, F.lit(False)), "HIGH").when(measured, "MEDIUM event-based").when((incidents == 0) & (data_days >= 30), "MEDIUM statistical").otherwise("LOW")
 
 
-def validity(n, mean, deviation, least: int = 30, still: float = 0.001) -> F.Column:
-    """Whether a signal of a chain can be used: too few windows are Observational, a mean of zero is Broken, and one that hardly varies Dormant."""
-    return F.when(n < least, "Observational").when(F.coalesce(mean, F.lit(0.0)) == 0, "Broken").when(F.coalesce(deviation / F.abs(mean), F.lit(0.0)) < still, "Dormant").otherwise("Valid")
+#: What signals need to be used, by signal, and by chain where that differs (chain null: all others): windows, mean and relative deviation at
+#: least, or a status that holds by design. A cadence set by governance or a sequencer says nothing, a load held at its target little.
+VALIDITY = [
+    (None, "rho_ts", 30, 0.0, 0.003, None), (None, "rho_s", 30, 0.0001, 0.02, None), (None, "c_s", 30, 0.0, 0.01, None),
+    ("arbitrum", "rho_ts", 30, 0.0, 0.0, "Dormant"), ("base", "rho_ts", 30, 0.0, 0.0, "Dormant"), ("optimism", "rho_ts", 30, 0.0, 0.0, "Dormant"),
+    ("base", "c_s", 30, 0.0, 0.0, "Redundant"), ("optimism", "c_s", 30, 0.0, 0.0, "Redundant"),
+]
+VALIDITY_SCHEMA = "chain string, signal string, least_n long, least_mean double, least_variation double, fixed string"
+
+
+def validity(statistics: DataFrame, params: DataFrame) -> DataFrame:
+    """Add status and reason to statistics (chain, signal, n, mean, deviation) of signals, by a parameter table as VALIDITY.
+
+    Broken: the mean does not reach the least one (a load over a limit without end is zero). Then what holds by design; Observational: too few
+    windows; Dormant: a deviation under the least share of the mean. Else Valid. Signals without parameters have neither. The row of a chain goes before that of
+    all chains.
+    """
+    own = params.filter("chain is not null").withColumnRenamed("chain", "_chain")
+    every = params.filter("chain is null").drop("chain")
+    columns = ("least_n", "least_mean", "least_variation", "fixed")
+    s = statistics.join(own.select(F.col("_chain").alias("chain"), "signal", F.struct(*columns).alias("_own")), ["chain", "signal"], "left")
+    s = s.join(every.select("signal", F.struct(*columns).alias("_every")), "signal", "left").withColumn("_p", F.coalesce("_own", "_every"))
+    least, p = F.coalesce("mean", F.lit(0.0)), F.col("_p")
+    cases = [
+        (F.abs(least) <= p["least_mean"], "Broken", "mean"), (p["fixed"].isNotNull(), None, "by design"), (F.col("n") < p["least_n"], "Observational", "windows"),
+        (F.coalesce(F.try_divide("deviation", F.abs(least)), F.lit(0.0)) < p["least_variation"], "Dormant", "variation"),
+    ]
+    status, reason = F.lit("Valid"), F.lit(None).cast("string")
+    for holds, name, why in reversed(cases):
+        status, reason = F.when(holds, p["fixed"] if name is None else F.lit(name)).otherwise(status), F.when(holds, why).otherwise(reason)
+    known = p.isNotNull()
+    return s.select(*statistics.columns, F.when(known, status).alias("status"), F.when(known, reason).alias("reason"))
 
 
 def continuity_check(windows: DataFrame, bound: float = 0.99) -> DataFrame:

@@ -161,6 +161,17 @@ _P = f"WITH RECURSIVE {_blk()}, " + _hours("b", "event_type = 'purchase'")
 _A1 = f"WITH RECURSIVE {_blk()}, {_hours('a', 'true')}"
 _R4 = "round(rhythm, 6) AS rhythm, round(sigma, 6) AS sigma, round(size_r, 6) AS size_r, round(tx_r, 6) AS tx_r"
 
+def _values(name: str, columns: str, rows: list) -> str:
+    def said(x):
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
+
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) v({columns}))"
+
+
+_VALID = _values("pr", "chain, signal, least_n, least_mean, least_variation, fixed", Q.VALIDITY)
+_RANGES = _values("pr", "chain, version, valid_from, valid_to, p2, ps", Q.RANGES)
+_RESETS = _values("rs", "chain, at_us", Q.RESETS)
+
 ORACLE_SQL = {
     "catalog_columns": "SELECT table_name, column_name, ordinal_position FROM information_schema.columns WHERE table_name = 'events'",
     "range_cut": f"WITH {_blk()}, cut AS (SELECT *, (row_number() OVER (ORDER BY number) - 1) // {Q.PHI} AS window_id FROM blk WHERE number > 0 AND us BETWEEN {_JANUARY + 9 * DAY} AND {_JANUARY + 19 * DAY}) SELECT window_id, min(number) AS first_block, max(number) AS last_block, count(*) AS block_count FROM cut GROUP BY window_id HAVING count(*) >= 2",
@@ -217,7 +228,11 @@ ORACLE_SQL = {
     "confidence_level": f"""{_DET}, sp AS (SELECT (max(end_us) - min(start_us)) / CAST({DAY} AS DOUBLE) AS days FROM sc), x AS (SELECT (SELECT avg(CASE WHEN n_detected > 0 THEN 1.0 ELSE 0.0 END) FROM det) AS tpr, (SELECT round({_FPR}, 6) FROM nm) AS fpr, (SELECT count(*) FROM det) AS n, days FROM sp)
         SELECT 'evt' AS chain, round(tpr, 6) AS tpr, fpr, n, CASE WHEN tpr >= 0.8 AND fpr <= 0.1 AND n >= 3 AND days > 30 THEN 'HIGH' ELSE 'MEDIUM event-based' END AS level FROM x
         UNION ALL SELECT event_type, NULL, NULL, 0, CASE WHEN max(epoch_us(ts)) - min(epoch_us(ts)) >= 30 * {DAY} THEN 'MEDIUM statistical' ELSE 'LOW' END FROM events GROUP BY event_type""",
-    "signal_validity": f"{_inv('event_type')}, u AS (SELECT chain, unnest(['rho_ts', 'rho_s', 'c_s']) AS signal, unnest([rho_ts, rho_s, c_s]) AS x FROM inv), g AS (SELECT chain, signal, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS deviation FROM u GROUP BY ALL) SELECT chain, signal, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, CASE WHEN n < 30 THEN 'Observational' WHEN mean = 0 THEN 'Broken' WHEN deviation / abs(mean) < 0.001 THEN 'Dormant' ELSE 'Valid' END AS status FROM g",
+    "signal_validity": f"{_inv('event_type')}, u AS (SELECT chain, unnest(['rho_ts', 'rho_s', 'c_s']) AS signal, unnest([rho_ts, rho_s, c_s]) AS x FROM inv), g AS (SELECT chain, signal, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS deviation FROM u GROUP BY ALL), {_VALID}, v AS (SELECT g.*, coalesce(o.least_n, e.least_n) AS least_n, coalesce(o.least_mean, e.least_mean) AS least_mean, coalesce(o.least_variation, e.least_variation) AS least_variation, coalesce(o.fixed, e.fixed) AS fixed FROM g LEFT JOIN pr o ON o.chain = g.chain AND o.signal = g.signal LEFT JOIN pr e ON e.chain IS NULL AND e.signal = g.signal) SELECT chain, signal, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, CASE WHEN abs(mean) <= least_mean THEN 'Broken' WHEN fixed IS NOT NULL THEN fixed WHEN n < least_n THEN 'Observational' WHEN deviation < least_variation * abs(mean) THEN 'Dormant' ELSE 'Valid' END AS status, CASE WHEN abs(mean) <= least_mean THEN 'mean' WHEN fixed IS NOT NULL THEN 'by design' WHEN n < least_n THEN 'windows' WHEN deviation < least_variation * abs(mean) THEN 'variation' END AS reason FROM v",
+    "state_in_force": f"{_MULTI}, {_RANGES} SELECT rat.chain, idx, version, (CASE WHEN coalesce(rhythm >= CAST(p2 AS DOUBLE), false) THEN 'S2' ELSE 'S1' END) || (CASE WHEN coalesce(sigma >= CAST(ps AS DOUBLE), false) THEN 'D2' ELSE 'D1' END) AS state FROM rat LEFT JOIN pr ON pr.chain = rat.chain AND rat.start_us >= valid_from AND (valid_to IS NULL OR rat.start_us < valid_to)",
+    "append_baselines": f"{_inv('event_type')}, {_RESETS}, ep AS (SELECT *, (SELECT count(*) FROM rs WHERE rs.chain = inv.chain AND rs.at_us <= inv.start_us) AS epoch FROM inv WHERE block_count = {Q.PHI}), ek AS MATERIALIZED (SELECT *, chain || '/' || epoch AS key, row_number() OVER (PARTITION BY chain, epoch ORDER BY window_id) - 1 AS pos FROM ep), {_fold('em', 'ek', {'e_rho': 'rho_ts', 'e_sigma': 'rho_s'}, _A, part='key', order='pos')}, {_fold('sl', 'ek', {'slow_rho': 'rho_ts'}, _SLOW, part='key', order='pos')} SELECT chain, window_id, epoch, start_us, round(rho_ts, 6) AS rho_ts, round(e_rho, 6) AS e_rho, round(slow_rho, 6) AS slow_rho, round(e_sigma, 6) AS e_sigma FROM ek JOIN em USING (key, pos) JOIN sl USING (key, pos)",
+    # Sketches of no more values than their size are exact: the least value of which 97 % are no larger.
+    "rolling_p97": f"{_MULTI}, v AS (SELECT chain, start_us // {DAY} AS day, sigma FROM rat WHERE sigma IS NOT NULL), e AS (SELECT DISTINCT chain, day FROM v), s AS (SELECT e.chain, e.day, count(DISTINCT v.day) AS days, count(*) AS n, list_sort(list(sigma))[CAST(ceil(0.97 * count(*)) AS INTEGER)] AS p97 FROM e JOIN v ON v.chain = e.chain AND v.day BETWEEN e.day - 9 AND e.day GROUP BY ALL) SELECT chain, day, days, n, round(p97, 6) AS p97, CASE WHEN days >= 8 THEN round(p97, 6) END AS threshold FROM s",
     "continuity_check": f"{_SLOT}, q AS (SELECT chain, quantile_cont(c_s, [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]) AS q FROM (SELECT 'evt' AS chain, c_s FROM st) GROUP BY chain) SELECT chain, " + ", ".join(f"round(q[{i}], 6) AS p{p}" for i, p in enumerate(("01", "05", "10", "25", "50", "75", "90", "95", "99"), 1)) + ", q[3] > 0.99 AS disabled, CASE WHEN q[3] <= 0.99 THEN round(q[3], 6) END AS continuity_p10 FROM q",
     "latest_valid": f"{_inv('event_type')} SELECT chain, window_id, round(c_s, 6) AS c_s, round(rho_ts, 6) AS rho_ts, (c_s > 0.9 AND rho_ts < 2.5) AS valid FROM inv QUALIFY row_number() OVER (PARTITION BY chain ORDER BY window_id DESC) = 1",
     "histogram": f"{_SC}, lh AS (SELECT min(rhythm) AS least_, max(rhythm) AS most_ FROM sc) SELECT CAST(least(floor((rhythm - least_) / (most_ - least_) * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM sc, lh WHERE rhythm IS NOT NULL GROUP BY 1",

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.ema import ema, last_before
+from .functions.intervals import valid_at
 from .functions.quantiles import histogram, quantiles
 from .operators import regimes as R
 from .operators import windows as W
 from .plans import composite as C
 from .plans import sweeps as S
+from .plans.ledger import Ledger
+from .plans.rolling import daily_sketches, rolling_threshold
 from .sources import views as V
 from .sources.shared import materialize, new_folder
 from .streaming.bridge import Clock, watch_bridges
@@ -299,12 +302,49 @@ def _confidence(s, d):
     return whole.unionByName(types).select("chain", *_r("tpr", "fpr"), "n", R.confidence(F.col("tpr"), F.col("fpr"), F.col("n"), F.col("days"), F.col("days")).alias("level"))
 
 
+#: The library's parameters, and two of the fixture's chains that have their own.
+VALIDITY = [*R.VALIDITY, ("click", "rho_s", 30, 0.0001, 0.9, None), ("error", "c_s", 30, 0.0, 0.0, "Redundant")]
+
+
 def _validity(s, d):
-    """Whether each chain's cadence, load and continuity can be used."""
+    """Whether each chain's cadence, load and continuity can be used, and why not."""
     w = _windows(s, d, True)
     long_ = w.select("chain", F.explode(F.create_map(*[x for c in ("rho_ts", "rho_s", "c_s") for x in (F.lit(c), F.col(c))])).alias("signal", "x"))
     g = long_.groupBy("chain", "signal").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"))
-    return g.select("chain", "signal", "n", *_r("mean", "deviation"), R.validity(F.col("n"), F.col("mean"), F.col("deviation")).alias("status"))
+    return R.validity(g, s.createDataFrame(VALIDITY, R.VALIDITY_SCHEMA)).select("chain", "signal", "n", *_r("mean", "deviation"), "status", "reason")
+
+
+#: Thresholds by validity: a new version on the fifteenth, a fork of the purchase chain that leaves two days without any.
+_DATE = lambda day: V._JANUARY + (day - 1) * V.DAY
+RANGES = [("click", "v2", _DATE(1), _DATE(15), 1.05, 1.10), ("click", "v3", _DATE(15), None, 1.05, 1.20), ("purchase", "v2", _DATE(1), _DATE(10), 1.15, None), ("purchase", "v3", _DATE(12), None, 1.10, 1.15), ("error", "v2", _DATE(5), None, 1.05, 1.06)]
+
+
+def _in_force(s, d):
+    """States by the thresholds in force when a window starts; without any the window is S1D1 and has no version."""
+    ranges = s.createDataFrame(RANGES, "chain string, version string, valid_from long, valid_to long, p_s2 double, p_sigma double")
+    w = valid_at(R.ratios(_inv(s, d, True), warm_up=5), ranges, ["version", "p_s2", "p_sigma"])
+    return R.classify(w, F.col("p_s2"), F.col("p_sigma")).select("chain", "idx", "version", "state")
+
+
+#: Resets of the baselines: the click chain's instrument changes on the eighth and the twentieth.
+RESETS = [("click", _DATE(8)), ("click", _DATE(20)), ("error", _DATE(16))]
+
+
+def _append(s, d):
+    """Windows and baselines in two runs, of the month's first and second half; the second goes on from what the first left."""
+    ledger = Ledger(s, new_folder(s, "ledger"), PHI)
+    resets = s.createDataFrame(RESETS, "chain string, at_us long")
+    blocks, half = V.blocks(s, d, True), _DATE(16)
+    ledger.append(blocks.filter(F.col("us") < half), resets)
+    ledger.append(blocks.filter(F.col("us") >= half), resets)
+    return ledger.windows().select("chain", "window_id", "epoch", "start_us", *_r("rho_ts", "e_rho", "slow_rho", "e_sigma"))
+
+
+def _rolling(s, d):
+    """P97 of each chain's demand ratio over the ten days up to each day, from stored daily sketches."""
+    w = R.ratios(_inv(s, d, True), warm_up=5)
+    sketches = materialize(daily_sketches(w, "sigma"))
+    return rolling_threshold(sketches, days=10, least=8).select("chain", "day", "days", "n", F.round("value", 6).alias("p97"), F.round("threshold", 6).alias("threshold"))
 
 
 def _incidents_of(s, d, rows):
@@ -374,6 +414,9 @@ QUERIES = {
     "latest_valid": lambda s, d: R.latest_valid(_windows(s, d, True)).select("chain", "window_id", *_r("c_s", "rho_ts"), "valid"),
     "histogram": lambda s, d: histogram(_scored(s, d), "rhythm"),
     "l2_state_per_chain": _per_chain,
+    "state_in_force": _in_force,
+    "append_baselines": _append,
+    "rolling_p97": _rolling,
     "l2_d2_percent": _d2_percent,
     "calibrate_p97": _calibrate,
     "l0_hash": _hash,

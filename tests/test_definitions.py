@@ -81,12 +81,10 @@ def test_adapter_signals(spark):
     assert (b.publish_latency, b.calldata_bytes, b.blob_usage, b.calldata_per_tx) == (None, 99, 0.0, None)
 
 
-def test_confidence_and_validity(spark):
+def test_confidence(spark):
     d = spark.createDataFrame([(1.0, 0.1, 3, 31.0), (1.0, 0.1, 3, 30.0), (1.0, 0.2, 3, 31.0), (None, None, 0, 30.0), (None, None, 0, 29.0)], "tpr double, fpr double, n int, days double")
     got = [r[0] for r in d.select(R.confidence(F.col("tpr"), F.col("fpr"), F.col("n"), F.col("days"), F.col("days"))).collect()]
     assert got == ["HIGH", "MEDIUM event-based", "MEDIUM event-based", "MEDIUM statistical", "LOW"]
-    d = spark.createDataFrame([(29, 1.0, 1.0), (30, 0.0, 0.0), (354, 1.9974, 0.0013), (349, 12.0155, 0.0548)], "n int, mean double, dev double")
-    assert [r[0] for r in d.select(R.validity(F.col("n"), F.col("mean"), F.col("dev"))).collect()] == ["Observational", "Broken", "Dormant", "Valid"]
 
 
 def test_continuity_check_and_latest(spark):
