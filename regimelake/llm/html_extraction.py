@@ -1,9 +1,10 @@
 """HTML extraction by wrapper induction (operator 10).
 
-The trees of a host's pages are aligned by simple tree matching with keyed children: nodes match where
-their parents do and their names (tag, class, id, role) are equal, and siblings of one name fill one
-repeated slot. So a node's slot is the path of names that leads to it, all pages of a host align by
-counting, and no pair of trees is ever held. What recurs in a slot is template, what varies is content.
+The trees of a host's pages are aligned by simple tree matching: nodes match where their parents do, their names (tag
+and classes) are equal and they take the same place among siblings of that name. So a node's slot is the path of names and
+places that leads to it, all pages of a host align by counting slots, and no pair of trees is ever held. The
+wrapper of a host is what the counts say: the content's root, the deepest container under which nearly all text
+lies that differs from page to page, and the constant nodes, whose slot says one and the same on the host's pages.
 """
 
 from __future__ import annotations
@@ -16,128 +17,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_of, small_batches, spread_join, table
+from .common import discard, materialize, parts_of, small_batches, spread_join, table
 
-#: A node is constant where this share of the distinct pages with its slot repeat it: outside articles, and within them.
-SHARE, ARTICLE_SHARE = 1 / 3, 1 / 2
+#: The content's root holds this share of the different texts of a host at least.
+ROOT_SHARE = 0.95
 
-#: A slot is template where this share of its texts are ones that came before; it is known from so many
-#: texts on. It is judged over all hosts, as rotating menus repeat too seldom on a small one; a host with
-#: MANY texts of which under FEW recur is judged by itself.
-RECURS, KNOWN, MANY, FEW = 0.75, 20, 100, 0.2
+#: A node is constant if its slot has one text, on half of the host's pages at least, and if pages of so many different main texts say so:
+#: what two pages share may be a passage that one has from the other.
+AGREE = 3
+
+#: A character of a heading weighs as much as so many others: a title is short, but its article's own.
+HEADING = 8
+
+#: The root is looked for among so many containers inside one another; text below them belongs to the last.
+DEEPEST = 64
 
 #: Bytes of all wrappers that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 
-#: Elements without content, and those whose content is no text.
+# Elements: fixed values of the language. Without content; whose content is no text; that break text into blocks.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe".split())
-
-#: Elements that break text into blocks.
 _BLOCK = set("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
-#: What is no article whatever it says: elements, and words of class, id or role.
-_ASIDE = set("head nav footer aside form button select option menu dialog svg math canvas audio video object".split()) | _RAW
-_MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|pagination|pager|copyright)(?:$|[\s_-])", re.I)
+#: Elements that may be the root of the content.
+_CONTAINER = set("body div section main article form td center".split())
 
-#: What may be one: such parts are content where the wrapper knows that their slot varies. A header in an article is the article's own.
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
-_MAYBE = re.compile(r"(?:^|[\s_-])(?:aside|banner|promo\w*|notices?|alert|popup|modal|overlay|widget|skip|toolbar)(?:$|[\s_-])", re.I)
-_KIND = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Elements that are no article by their meaning, and whole words of class, id or role that say so.
+_ASIDE = set("head nav footer aside button select option menu dialog svg math canvas audio video object".split()) | _RAW
+_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar site-footer page-footer footer cookie cookies cookie-banner
+cookie-notice consent newsletter subscribe subscription signup login share sharing share-buttons social social-links related related-posts recommended recommendations pagination pager copyright
+comment comments comment-list comment-body comment-form commentlist reply replies reader-comments disqus disqus_thread contentinfo complementary""".split())
 
-#: A tag whose quote is never closed ends at the next bracket, or with the page.
-_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
+#: Words of parts that are content if they vary from page to page; on a host of one page they are none.
+_MAYBE = set("aside banner promo promotion notice notices alert popup modal overlay widget skip skip-link toolbar site-header masthead".split())
+_COMMENT = set("comment comment-body reply".split())
+
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 
 #: What an opening tag ends by itself, up to the elements that hold it.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
+_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "option": (("option",), ("select",))}
 
 
 class Node:
-    """An element: tag, marks (class, id, role), and children that are nodes or texts."""
+    """An element: tag, words (of class, id and role), and children that are nodes or texts."""
 
-    __slots__ = ("tag", "marks", "children")
+    __slots__ = ("tag", "words", "children")
 
-    def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.children = tag, marks, []
+    def __init__(self, tag: str, words: tuple = ()):
+        self.tag, self.words, self.children = tag, words, []
 
     @property
     def name(self) -> str:
-        return f"{self.tag}.{self.marks}" if self.marks else self.tag
+        """The name by which trees align: body and html by their tag alone, as their classes describe the page."""
+        return self.tag if self.tag in ("html", "body") or not self.words else f"{self.tag}.{'.'.join(w for w in self.words if not any(c.isdigit() for c in w))}"
+
+
+class _Scanner:
+    """Tags of a source, from left to right. What is looked for in vain is not looked for again, so that any input is read in linear time."""
+
+    def __init__(self, source: str):
+        self.source, self.end, self.none = source, len(source), {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.none.get(what, self.end + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.none[what] = at
+        return found
+
+    def tag(self, at: int) -> tuple[int, bool, str, str]:
+        """(where it ends, whether it closes, name, attributes) of the tag at `at`; no name for comments and declarations, end `at` for a mere bracket.
+
+        A tag whose quote is never closed ends at the next bracket, one without any with the page.
+        """
+        s = self.source
+        if s.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return (end + 3 if end >= 0 else self.end), False, "", ""
+        if s[at + 1 : at + 2] in ("!", "?"):
+            end = self.find(">", at)
+            return (end + 1 if end >= 0 else self.end), False, "", ""
+        closes = s.startswith("</", at)
+        m = _NAME.match(s, at + 1 + closes)
+        if not m:
+            return at, False, "", ""
+        here = m.end()
+        while True:
+            here = _PLAIN.match(s, here).end()
+            if here >= self.end:
+                return self.end, closes, m[0].lower(), s[m.end() :]
+            if s[here] == ">":
+                return here + 1, closes, m[0].lower(), s[m.end() : here]
+            quote = self.find(s[here], here + 1)
+            if quote < 0:
+                end = self.find(">", here)
+                return (end + 1 if end >= 0 else self.end), closes, m[0].lower(), s[m.end() : end if end >= 0 else self.end]
+            here = quote + 1
 
 
 def parse(source: str) -> Node:
-    """A tree of any input: unknown ends are dropped, open elements end where their parents do."""
+    """A tree of any input, in time in proportion to its length: unknown ends are dropped, open elements end where their parents do."""
     root = Node("#")
-    stack, at = [root], 0
-    while True:
-        m, loose = _TAG.search(source, at), _OPEN.search(source, at)
-        if loose and (not m or loose.start() < m.start()):
-            m = loose
-        text = source[at : m.start()] if m else source[at:]
+    stack, places = [root], {}  # places of the open elements of each tag
+    blocks_open: list[int] = []  # places of the open block elements
+    scan, at, raw_end = _Scanner(source), 0, {}
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks_open.pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    while at < scan.end:
+        bracket = scan.find("<", at)
+        if bracket < 0:
+            stack[-1].children.append(html.unescape(source[at:]))
+            break
+        end, closes, tag, attributes = scan.tag(bracket)
+        text = source[at : bracket + (end == bracket)]
         if text:
             stack[-1].children.append(html.unescape(text))
-        if not m:
-            return root
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = max(end, bracket + 1)
         if not tag:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body") and tag not in _BLOCK:
-                    break
+        if closes:
+            place = last((tag,))
+            if place and (tag in _BLOCK or place > last(("article", "main", "body"))):
+                cut(place)
             continue
-        if tag in _BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _BLOCK:
-                    break
+        if tag in _BLOCK and blocks_open and stack[blocks_open[-1]].tag == "p":
+            cut(blocks_open[-1])
         if tag in _ENDS:
             ends, within = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-        node = Node(tag, " ".join(a or b or c for a, b, c in _KIND.findall(m[3])))
+            place = last(ends)
+            if place > last(within):
+                cut(place)
+        words = ()
+        if attributes:
+            words = tuple(sorted({w.lower() for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in (a or b or c).split()}))
+            words = tuple(re.sub(r"[-_]?\d+$", "", w) for w in words)
+        node = Node(tag, words)
         stack[-1].children.append(node)
         if tag in _RAW:
-            end = re.compile(f"</{tag}", re.I).search(source, at)
-            at = source.find(">", end.start()) + 1 or len(source) if end else len(source)
-        elif tag not in _VOID and not m[3].endswith("/"):
+            if at >= raw_end.get(tag, scan.end + 1):
+                at = scan.end
+                continue
+            m = re.compile(f"</{tag}", re.I).search(source, at)
+            if not m:
+                raw_end[tag], at = at, scan.end
+                continue
+            close = scan.find(">", m.end())
+            at = close + 1 if close >= 0 else scan.end
+        elif tag not in _VOID and not attributes.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                blocks_open.append(len(stack))
             stack.append(node)
+    return root
 
 
 def _hash(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-#: Kinds of a block's place: content unless the wrapper says otherwise, out unless it says otherwise, out.
-PLAIN, MAYBE, OUT = 0, 1, 2
+class Block:
+    """A block of text: its slot, the containers above it as (depth, slot), the depths of the deepest article, aside and doubtful part above it (0: none), and whether it is a heading."""
+
+    __slots__ = ("slot", "text", "above", "article", "aside", "maybe", "heading")
 
+    def __init__(self, slot, text, above, article, aside, maybe, heading):
+        self.slot, self.text, self.above, self.article, self.aside, self.maybe, self.heading = slot, text, above, article, aside, maybe, heading
 
-def blocks(root: Node) -> list[tuple[int, str, int, bool]]:
-    """(slot, text, kind, in an article element) of each block of text in page order.
 
-    A slot is a hash of the names from the root down; its last two bits say whether it lies in an article and whether its kind is MAYBE.
+def _lengths(root: Node) -> dict[int, int]:
+    """Characters of text under each element that a form or a word of its class may rule out."""
+    out, todo, counts = {}, [(root, False)], []
+    while todo:
+        x, done = todo.pop()
+        if isinstance(x, str):
+            counts[-1] += len(x.strip())
+        elif done:
+            n = counts.pop()
+            out[id(x)] = n
+            if counts:
+                counts[-1] += n
+        elif x.tag not in _RAW:
+            counts.append(0)
+            todo.append((x, True))
+            todo.extend((c, False) for c in x.children)
+    return out
+
+
+def blocks(root: Node, marks: bool = True) -> list[Block]:
+    """The blocks of text in page order; without `marks` elements and words rule nothing out.
+
+    A part that holds more than half of a page's text is not ruled out by a word of its class, nor is a heading, and a form around
+    it all is none: words describe parts of a page, and what describes the whole describes its article.
     """
-    out: list = []
+    sizes = _lengths(root)
+    whole = sizes[id(root)]
+    out: list[Block] = []
     run: list[str] = []
-    state = [0, PLAIN, False]
+    # slot, places of names among the children, runs of text so far, depth, above, article, aside, maybe, heading
+    state = [0, {}, 0, 0, (), 0, 0, 0, False]
 
     def flush():
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            path, kind, inside = state
-            out.append((path & ~3 | inside | (kind == MAYBE) << 1, text, kind, inside))
+            slot, _, n, _, *rest = state
+            out.append(Block(_hash(slot, n), text, *rest))
+            state[2] += 1
 
     # Entries: a child to read, or what holds again after an element's end.
     todo: list = [root]
@@ -147,96 +246,117 @@ def blocks(root: Node) -> list[tuple[int, str, int, bool]]:
             run.append(x)
         elif isinstance(x, list):
             flush()
+            # Places and runs go on where the parent left them.
             state[:] = x
         elif x.tag == "br":
             run.append(" ")
         elif x.tag in _RAW:
             continue
         else:
-            main = x.tag in ("article", "main") or "role=main" in x.marks
-            header = (x.tag == "header" or bool(x.marks and _HEADER.search(x.marks))) and not state[2]
-            marked = OUT if x.tag in _ASIDE or (x.marks and not main and _MARK.search(x.marks)) else MAYBE if header or (x.marks and not main and _MAYBE.search(x.marks)) else PLAIN
-            if x.tag in _BLOCK or marked or x is root:
+            words = set(x.words) if marks and x.words and x.tag not in ("html", "body") and x.tag not in _HEADING else ()
+            most = 2 * sizes[id(x)] > whole
+            main = marks and not (words and words & _COMMENT) and (x.tag in ("article", "main") or "main" in x.words and words and words.isdisjoint(_WORDS))
+            aside = marks and (x.tag in _ASIDE or not main and not most and (x.tag == "form" or bool(words) and not words.isdisjoint(_WORDS)) or x.tag == "header" and not state[5])
+            maybe = bool(words) and not main and not most and not words.isdisjoint(_MAYBE)
+            if x.tag in _BLOCK or main or aside or maybe or x is root:
                 flush()
+                place = state[1].get(x.name, 0)
+                state[1][x.name] = place + 1
+                slot, depth, above = _hash(state[0], x.name, place), state[3] + 1, state[4]
+                if (x.tag in _CONTAINER or main) and len(above) < DEEPEST:
+                    above = (*above, (depth, slot))
                 todo.append(list(state))
-                state[:] = [_hash(state[0], x.name), max(state[1], marked), state[2] or main]
+                state[:] = [slot, {}, 0, depth, above, depth if main else state[5], depth if aside else state[6], depth if maybe else state[7], x.tag in _HEADING]
             todo.extend(reversed(x.children))
     flush()
     return out
 
 
-def _node(slot: int, text: str, host: str) -> int:
+def _node(block: Block, host: str) -> int:
     """A slot and its text, in which the host's own name stands for any host's."""
-    return _hash(slot, text.replace(host, "\1") if host else text)
+    return _hash(block.slot, block.text.replace(host, "\1") if host else block.text)
 
 
-def extract(source: str | None, wrapper: set, host: str = "", marks: bool = True) -> str:
-    """The main text: blocks that the host's wrapper does not hold for template.
+def extract(source: str | None, root: int | None = None, constant=frozenset(), single: bool = True, host: str = "", marks: bool = True) -> str:
+    """The main text of a page by its host's wrapper.
 
-    wrapper: slots that are template, nodes (slot and text) that are constant, and, as their complement, slots
-    of kind MAYBE that vary. Where an article element has content, that alone is the main text. An article
-    that would lose more than half of its text is a near-copy of others, not a template: it stays whole.
-    With `marks` off, elements and class words say nothing: the wrapper alone decides.
+    root: the slot of the content's root; what lies elsewhere is template. If the root lies in an article, or holds some, it is these. constant: nodes
+    that all pages share, template too outside of articles and in their doubtful parts. A page without the root is taken as a whole. Below the root, elements that
+    are no article by their meaning go (menus, footers, forms, scripts, reader comments, adverts); doubtful parts, such as notices, go from
+    a host of a `single` page, where nothing says whether they vary.
     """
-    found = blocks(parse(source or ""))
-    if marks:
-        found = [(slot, t, kind, inside) for slot, t, kind, inside in found if kind == PLAIN or kind == MAYBE and ~slot in wrapper]
-    kept = [(t, inside) for slot, t, _, inside in found if slot not in wrapper and _node(slot, t, host) not in wrapper]
-    if marks:
-        article = [t for _, t, _, inside in found if inside]
-        own = [t for t, inside in kept if inside]
-        if article and 2 * sum(map(len, own)) < sum(map(len, article)):
-            own = article
-        if own:
-            return "\n".join(own)
-    return "\n".join(t for t, _ in kept)
+    page = found = blocks(parse(source or ""), marks)
+    depth = next((d for b in page for d, slot in b.above if slot == root), 0)
+    if depth:
+        found = [b for b in page if (depth, root) in b.above]
+        # The article around a root is the root.
+        around = max((b.article for b in found if b.article < depth), default=0)
+        if around:
+            depth, at = next(x for x in found[0].above if x[0] == around)
+            found = [b for b in page if (depth, at) in b.above]
+    kept = [b for b in found if b.aside <= depth and not (single and b.maybe > depth)]
+    inside = [b for b in kept if b.article >= max(depth, 1)]
+    # What an article repeats on every page is its own, but for doubtful parts.
+    return "\n".join(b.text for b in inside or kept if b.article and b.maybe <= depth or _node(b, host) not in constant)
 
 
 def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, n, wrapper) of all hosts: their pages, and what `extract` needs of the aligned trees, from all pages.
-
-    Pages of a host whose blocks outside of asides are all equal are copies and count once. A node is
-    constant where enough of the pages that have its slot repeat it: SHARE and two of them at least, within
-    an article ARTICLE_SHARE and three. A slot is template where most of its texts recur. Counts are of
-    hashes, and map tasks combine them; so a hot host is dealt over many tasks.
+def _count(batches, marks: bool = True):
+    """Sums of each slice of pages: (host, slot, node, length, times, seen, above); node null: pages that have the slot; slot null: pages."""
+    for batch in batches:
+        for part in parts_of(batch, "html", 1 << 22):
+            rows: dict = {}
+            for source, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
+                found = blocks(parse(source or ""), marks)
+                # The longest blocks stand for the main text: pages that have them from one another count once.
+                longest = sorted((b.text for b in found if not b.aside and not b.maybe), key=lambda t: (len(t), t))[-3:]
+                bit = 1 << (_hash(*longest) % 62)
+                page = rows.setdefault((host, None, None), [0, 0, 0, None])
+                page[1], page[2] = page[1] + 1, page[2] | bit
+                once = set()
+                for b in found:
+                    node = _node(b, host)
+                    for key in ((host, b.slot, node), (host, b.slot, None)):
+                        if key in once:
+                            continue
+                        once.add(key)
+                        r = rows.setdefault(key, [0, 0, 0, None if key[2] is not None else b.above])
+                        if key[2] is not None and not b.aside:
+                            r[0] = len(b.text) * (HEADING if b.heading else 1)
+                        r[1] += 1
+                        r[2] |= bit
+            keys = list(rows)
+            kind = pa.list_(pa.struct([("depth", pa.int32()), ("slot", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({
+                "host": pa.array([k[0] for k in keys], pa.string()), "slot": pa.array([k[1] for k in keys], pa.int64()), "node": pa.array([k[2] for k in keys], pa.int64()),
+                **{c: pa.array([rows[k][i] for k in keys], pa.int64()) for i, c in enumerate(("length", "times", "seen"))},
+                "above": pa.array([None if rows[k][3] is None else [{"depth": d, "slot": s} for d, s in rows[k][3]] for k in keys], kind),
+            })
+
+
+def wrappers(pages: DataFrame, marks: bool = True) -> DataFrame:
+    """(host, n, kinds, root, constant) of all hosts: their pages, at least how many with a different main text, the slot of the content's root (null: none), and the constant nodes.
+
+    Counts are over all pages and merge within map tasks, so a hot host is dealt over many tasks. A wrapper is no larger
+    than a few pages: its nodes are each on half of the host's pages. What comes out does not depend on the order of rows.
     """
-    h = pages.select(_host("url").alias("host"), "html")
-
-    def run(batches):
-        for batch in batches:
-            for part in parts_of(batch, "html", 1 << 22):
-                sigs, nodes = [], []
-                for source, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
-                    found = blocks(parse(source or ""))
-                    inside = any(i and kind == PLAIN for _, _, kind, i in found)
-                    sigs.append(_hash(*(t for _, t, kind, i in found if kind == PLAIN and i == inside)))
-                    seen = {(slot, _node(slot, t, host)) for slot, t, _, _ in found}
-                    # A node of no text stands for the page's having the slot.
-                    nodes.append([{"slot": slot, "node": node} for slot, node in sorted(seen)] + [{"slot": slot, "node": None} for slot in sorted({slot for slot, _ in seen})])
-                kind = pa.list_(pa.struct([("slot", pa.int64()), ("node", pa.int64())]))
-                yield pa.RecordBatch.from_pydict({"host": part.column("host"), "sig": pa.array(sigs, pa.int64()), "nodes": pa.array(nodes, kind)})
-
-    seen = h.mapInArrow(run, "host string, sig long, nodes array<struct<slot: long, node: long>>")
-    distinct = materialize(seen.groupBy("host", "sig").agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n")))
-    counts = materialize(distinct.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.slot", "x.node").agg(F.count(F.lit(1)).alias("times")))
-    pages_of = counts.filter("node is null").select("host", "slot", F.col("times").alias("of"))
-    texts = counts.filter("node is not null")
-    inside = F.col("slot").bitwiseAND(F.lit(1)) == 1
-    enough = F.when(inside, (F.col("times") >= 3) & (F.col("times") >= ARTICLE_SHARE * F.col("of"))).otherwise(F.col("times") >= SHARE * F.col("of"))
-    constant = texts.filter("times > 1").join(pages_of, ["host", "slot"]).filter(enough).select("host", F.col("node").alias("said"))
-    here = texts.groupBy("host", "slot").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("different"))
-    everywhere = texts.groupBy("slot", "node").agg(F.sum("times").alias("times")).groupBy("slot").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("all_different"))
-    slots = here.join(everywhere, "slot").withColumns({"own": 1 - F.col("different") / F.col("n"), "shared": 1 - F.col("all_different") / F.col("all")})
-    template = (F.col("all") >= KNOWN) & (F.col("shared") >= RECURS) & ~((F.col("n") >= MANY) & (F.col("own") < FEW)) | (F.col("n") >= KNOWN) & (F.col("own") >= RECURS)
-    maybe = F.col("slot").bitwiseAND(F.lit(2)) == 2
-    said = F.when(template, F.col("slot")).when(maybe & (F.col("n") >= KNOWN), F.expr("~slot"))
-    judged = slots.select("host", said.alias("said")).filter("said is not null")
-    wrapper = constant.unionByName(judged).groupBy("host").agg(F.array_sort(F.collect_set("said")).alias("wrapper"))
-    return distinct.groupBy("host").agg(F.sum("n").alias("n")).join(wrapper, "host", "left")
+    seen = pages.select(_host("url").alias("host"), "html").mapInArrow(lambda batches: _count(batches, marks), "host string, slot long, node long, length long, times long, seen long, above array<struct<depth: int, slot: long>>")
+    counts = materialize(seen.groupBy("host", "slot", "node").agg(F.max("length").alias("length"), F.sum("times").alias("times"), F.bit_or("seen").alias("seen"), F.max("above").alias("above")))
+    n = counts.filter("slot is null").select("host", F.col("times").alias("n"), F.bit_count("seen").alias("kinds"))
+    texts = counts.filter("node is not null").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("texts"), F.sum("length").alias("length"), F.max("node").alias("node"), F.max("times").alias("times"), F.bit_or("seen").alias("seen"))
+    texts = materialize(texts.join(counts.filter("node is null and slot is not null").select("host", "slot", "above"), ["host", "slot"]))
+    total = texts.groupBy("host").agg(F.sum("length").alias("total"))
+    held = texts.select("host", "length", F.explode("above").alias("x")).groupBy("host", "x.depth", "x.slot").agg(F.sum("length").alias("held"))
+    roots = held.join(total, "host").filter((F.col("held") > 0) & (F.col("held") >= ROOT_SHARE * F.col("total"))).groupBy("host").agg(F.max(F.struct("depth", "held", "slot"))["slot"].alias("root"))
+    same = texts.join(n, "host").filter((F.col("texts") == 1) & (2 * F.col("times") >= F.col("n")) & (F.bit_count("seen") >= AGREE))
+    constant = same.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("constant"))
+    out = materialize(n.join(roots, "host", "left").join(constant, "host", "left"))
+    discard(counts)
+    discard(texts)
+    return out
 
 
 def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, marks: bool = True) -> DataFrame:
@@ -244,28 +364,28 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, marks: b
 
     Each host's wrapper comes from all its pages; each page is then read alone against it. A null or
     empty html gives an empty text; pages without a host share one wrapper; repeated rows are each
-    returned; other columns do not take part; an empty table gives an empty one. Deep, wide and very long
-    pages take time in proportion to their length. An article that other pages copy is content, and stays whole.
+    returned and count once for a wrapper; other columns do not take part; an empty table gives an empty one. Deep, wide, broken and very long
+    pages take time in proportion to their length.
 
     Wrappers of `broadcast_bytes` at most in all, a size that is measured, go to all tasks and no page is
-    shuffled; more of them are joined by host, the pages of hot hosts dealt over many tasks.
+    shuffled; more of them are joined by host, the pages of hot hosts dealt over many tasks. Without `marks` the wrapper alone decides.
     """
     p = pages.select("page_id", "url", "html", _host("url").alias("host"))
-    found = materialize(wrappers(pages))
-    some = found.filter("wrapper is not null")
-    if (some.agg(F.sum(F.octet_length("host") + 8 * F.size("wrapper"))).first()[0] or 0) <= broadcast_bytes:
-        joined = p.join(F.broadcast(some.drop("n")), "host", "left")
+    found = wrappers(pages, marks)
+    if (found.agg(F.sum(F.octet_length("host") + 24 + 8 * F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0) <= broadcast_bytes:
+        joined = p.join(F.broadcast(found.drop("n")), "host", "left")
     else:
         joined = spread_join(p, found, ["host"], ["page_id", "url"], "left")
 
     def run(batches):
         for batch in batches:
             for part in parts_of(batch, "html", 1 << 22):
-                found = [extract(s, set(w or ()), h, marks) for s, w, h in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "host")), strict=True)]
+                columns = (part.column(c).to_pylist() for c in ("html", "root", "constant", "kinds", "host"))
+                found = [extract(s, root, frozenset(constant or ()), (kinds or 0) < 2, host, marks) for s, root, constant, kinds, host in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(found, pa.string())})
 
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, kinds)
+    return joined.select("page_id", "url", "html", "root", "constant", "kinds", "host").mapInArrow(run, kinds)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
