@@ -161,7 +161,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     their weights, TRAINING_ROWS in all at most. Null or empty texts have no evidence and score by the
     base rate; null labels and labels without a document are ignored; repeated rows are each scored. A
     null doc_id is not held out and never learnt from. An empty table gives an empty one; long texts are whole. Scoring is one narrow pass with the fitted
-    arrays, two numbers a word or stem of the TRAINING_ROWS texts, in the closure.
+    arrays, two numbers a word or stem of the TRAINING_ROWS texts, in the closure. As the evidence is a mean over a text's
+    words, a short toxic passage within a long clean text weighs little: score its parts to find it.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     sample = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
