@@ -63,3 +63,17 @@ def valid_at(rows: DataFrame, ranges: DataFrame, names: list[str], at: str = "st
     out = as_of(rows, ranges, {"_to": F.col("valid_to"), **{n: F.col(n) for n in names}}, at, "valid_from", part)
     there = F.col("_to").isNull() | (F.col(at) < F.col("_to"))
     return out.select(*rows.columns, *[F.when(there, F.col(n)).alias(n) for n in names])
+
+
+def carried(rows: DataFrame, value: Column, name: str, part: str = "chain", order: str = "idx", bucket: int = 4096) -> DataFrame:
+    """Add `name`, the latest non-null `value` of the chain's rows up to each, itself included; null before the first.
+
+    Rows are filled within buckets of `order`, which is null nowhere and numbers them; of earlier buckets one row each is carried on.
+    """
+    r = rows.withColumn("_value", value).withColumn("_bucket", F.expr(f"`{order}` div {bucket}"))
+    inside = Window.partitionBy(part, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    latest = r.groupBy(part, "_bucket").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_latest"))
+    before = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = latest.select(part, "_bucket", F.last("_latest", ignorenulls=True).over(before).alias("_before"))
+    filled = r.withColumn("_in", F.last("_value", ignorenulls=True).over(inside)).join(ends, [part, "_bucket"])
+    return filled.select(*rows.columns, F.coalesce("_in", "_before").alias(name))

@@ -231,6 +231,7 @@ ORACLE_SQL = {
     "signal_validity": f"{_inv('event_type')}, u AS (SELECT chain, unnest(['rho_ts', 'rho_s', 'c_s']) AS signal, unnest([rho_ts, rho_s, c_s]) AS x FROM inv), g AS (SELECT chain, signal, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS deviation FROM u GROUP BY ALL), {_VALID}, v AS (SELECT g.*, coalesce(o.least_n, e.least_n) AS least_n, coalesce(o.least_mean, e.least_mean) AS least_mean, coalesce(o.least_variation, e.least_variation) AS least_variation, coalesce(o.fixed, e.fixed) AS fixed FROM g LEFT JOIN pr o ON o.chain = g.chain AND o.signal = g.signal LEFT JOIN pr e ON e.chain IS NULL AND e.signal = g.signal) SELECT chain, signal, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, CASE WHEN abs(mean) <= least_mean THEN 'Broken' WHEN fixed IS NOT NULL THEN fixed WHEN n < least_n THEN 'Observational' WHEN deviation < least_variation * abs(mean) THEN 'Dormant' ELSE 'Valid' END AS status, CASE WHEN abs(mean) <= least_mean THEN 'mean' WHEN fixed IS NOT NULL THEN 'by design' WHEN n < least_n THEN 'windows' WHEN deviation < least_variation * abs(mean) THEN 'variation' END AS reason FROM v",
     "state_in_force": f"{_MULTI}, {_RANGES} SELECT rat.chain, idx, version, (CASE WHEN coalesce(rhythm >= CAST(p2 AS DOUBLE), false) THEN 'S2' ELSE 'S1' END) || (CASE WHEN coalesce(sigma >= CAST(ps AS DOUBLE), false) THEN 'D2' ELSE 'D1' END) AS state FROM rat LEFT JOIN pr ON pr.chain = rat.chain AND rat.start_us >= valid_from AND (valid_to IS NULL OR rat.start_us < valid_to)",
     "append_baselines": f"{_inv('event_type')}, {_RESETS}, ep AS (SELECT *, (SELECT count(*) FROM rs WHERE rs.chain = inv.chain AND rs.at_us <= inv.start_us) AS epoch FROM inv WHERE block_count = {Q.PHI}), ek AS MATERIALIZED (SELECT *, chain || '/' || epoch AS key, row_number() OVER (PARTITION BY chain, epoch ORDER BY window_id) - 1 AS pos FROM ep), {_fold('em', 'ek', {'e_rho': 'rho_ts', 'e_sigma': 'rho_s'}, _A, part='key', order='pos')}, {_fold('sl', 'ek', {'slow_rho': 'rho_ts'}, _SLOW, part='key', order='pos')} SELECT chain, window_id, epoch, start_us, round(rho_ts, 6) AS rho_ts, round(e_rho, 6) AS e_rho, round(slow_rho, 6) AS slow_rho, round(e_sigma, 6) AS e_sigma FROM ek JOIN em USING (key, pos) JOIN sl USING (key, pos)",
+    "insensitive_periods": f"{_rat('event_type', 5)}, {_fold('sl', 'tr', {'slow': 'rho_ts'}, _SLOW)}, h AS (SELECT rat.chain, rat.idx, rat.start_us, rat.rhythm, em.e_rhythm AS fast, slow, coalesce(rat.rhythm >= 1.12, false) AS hot FROM rat JOIN em USING (chain, idx) JOIN sl USING (chain, idx)), f AS (SELECT *, hot AND NOT coalesce(lag(hot) OVER (PARTITION BY chain ORDER BY idx), false) AS begins FROM h), g AS (SELECT *, max(CASE WHEN begins THEN idx END) OVER (PARTITION BY chain ORDER BY idx) AS episode, NOT hot AND coalesce(fast <= 1.02 * slow, false) AS meets FROM f), k AS (SELECT chain, episode, max(idx) FILTER (WHERE hot) AS end_idx, count(*) FILTER (WHERE hot) AS n, min(start_us) FILTER (WHERE hot) AS start_us, max(start_us) FILTER (WHERE hot) AS end_us, max(rhythm) FILTER (WHERE hot) AS peak, min(idx) FILTER (WHERE meets) AS met, max(idx) AS last FROM g WHERE episode IS NOT NULL GROUP BY chain, episode) SELECT k.chain, k.episode, end_idx, n, k.start_us, k.end_us, round(peak, 6) AS peak, coalesce(met - 1, last) - end_idx AS insensitive, (SELECT start_us FROM g m WHERE m.chain = k.chain AND m.idx = met) AS met_us, (SELECT round(max(1.12 * fast / slow), 6) FROM g d WHERE d.chain = k.chain AND d.episode = k.episode AND d.idx > end_idx AND (met IS NULL OR d.idx < met)) AS needed FROM k",
     # Sketches of no more values than their size are exact: the least value of which 97 % are no larger.
     "rolling_p97": f"{_MULTI}, v AS (SELECT chain, start_us // {DAY} AS day, sigma FROM rat WHERE sigma IS NOT NULL), e AS (SELECT DISTINCT chain, day FROM v), s AS (SELECT e.chain, e.day, count(DISTINCT v.day) AS days, count(*) AS n, list_sort(list(sigma))[CAST(ceil(0.97 * count(*)) AS INTEGER)] AS p97 FROM e JOIN v ON v.chain = e.chain AND v.day BETWEEN e.day - 9 AND e.day GROUP BY ALL) SELECT chain, day, days, n, round(p97, 6) AS p97, CASE WHEN days >= 8 THEN round(p97, 6) END AS threshold FROM s",
     "continuity_check": f"{_SLOT}, q AS (SELECT chain, quantile_cont(c_s, [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]) AS q FROM (SELECT 'evt' AS chain, c_s FROM st) GROUP BY chain) SELECT chain, " + ", ".join(f"round(q[{i}], 6) AS p{p}" for i, p in enumerate(("01", "05", "10", "25", "50", "75", "90", "95", "99"), 1)) + ", q[3] > 0.99 AS disabled, CASE WHEN q[3] <= 0.99 THEN round(q[3], 6) END AS continuity_p10 FROM q",

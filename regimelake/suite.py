@@ -10,6 +10,7 @@ from .functions.intervals import valid_at
 from .functions.quantiles import histogram, quantiles
 from .operators import regimes as R
 from .operators import windows as W
+from .operators.episodes import episodes
 from .plans import composite as C
 from .plans import sweeps as S
 from .plans.ledger import Ledger
@@ -347,6 +348,13 @@ def _rolling(s, d):
     return rolling_threshold(sketches, days=10, least=8).select("chain", "day", "days", "n", F.round("value", 6).alias("p97"), F.round("threshold", 6).alias("threshold"))
 
 
+def _insensitive(s, d):
+    """Runs of structural stress on each chain, and how long the baseline hides a second one."""
+    w = ema(R.ratios(_inv(s, d, True), warm_up=5), {"slow": ("rho_ts", R.SLOW)}).select("chain", "idx", "start_us", "rhythm", F.col("ema_rhythm").alias("fast"), "slow")
+    e = episodes(w)
+    return e.select("chain", "episode", "end_idx", "n", "start_us", "end_us", F.round("peak", 6).alias("peak"), "insensitive", "met_us", F.round("needed", 6).alias("needed"))
+
+
 def _incidents_of(s, d, rows):
     return R.in_incident(rows, V.incidents(s))
 
@@ -417,6 +425,7 @@ QUERIES = {
     "state_in_force": _in_force,
     "append_baselines": _append,
     "rolling_p97": _rolling,
+    "insensitive_periods": _insensitive,
     "l2_d2_percent": _d2_percent,
     "calibrate_p97": _calibrate,
     "l0_hash": _hash,
