@@ -13,12 +13,18 @@ _local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where it is unset, the warehouse, or in local mode a temporary folder."""
+    """spark.checkpoint.dir as the session has it; where it is unset, the warehouse, or in local mode a temporary folder.
+
+    A warehouse on a machine's own disk is none that executors share: on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} is on each machine's own disk")
+        return warehouse
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="spark-"))
     return _local[0]

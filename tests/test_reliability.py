@@ -107,3 +107,19 @@ def test_a_batch_that_fails_before_its_manifest_is_published_once(spark, tmp_pat
     assert publish.broken(spark, path) == [2]
     # Of equal keys the latest batch's row holds.
     assert publish.published(spark, path).filter("idx = 0").select("state").collect() == [("S2D2",)]
+
+
+@pytest.mark.parametrize(("master", "warehouse", "fails"), [("yarn", "file:/tmp/warehouse", True), ("local-cluster[2,1,1024]", "/tmp/warehouse", True), ("yarn", "hdfs://n/warehouse", False)])
+def test_a_warehouse_on_own_disks_is_an_error_on_a_cluster(master, warehouse, fails):
+    from types import SimpleNamespace
+
+    from regimelake.sources.shared import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, *default: {"spark.sql.warehouse.dir": warehouse}.get(k, *default)), sparkContext=SimpleNamespace(master=master))
+    if fails:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session)
+    else:
+        assert shared_folder(session) == warehouse
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, *default: "file:/shared"), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(named) == "file:/shared"
