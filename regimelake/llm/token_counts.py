@@ -14,8 +14,9 @@ from .chunks import Chunks, chunk_of, spaced_chunks
 from .common import parts_of, small_batches, table
 
 
-#: Bytes of a piece from which on its pairs are kept in a heap: rounds over a long array cost its length each.
-LONG = 2048
+#: Bytes of a piece from which on its pairs are kept in a heap: rounds over a long array cost its length each. Measured on random
+#: letters, the array takes 1.5 s a MB at 24 bytes, 3 at 64 and 29 at 2,000, the heap 1.4 to 2 s throughout.
+LONG = 64
 
 
 class ArrayMerger:
