@@ -85,11 +85,13 @@ def stream_of(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]" if single else path)
 
 
-def optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A source that may be missing: then an empty table, so that its layer is null everywhere."""
+def optional(spark: SparkSession, path: str, schema: StructType, read=None) -> DataFrame:
+    """A source that may be missing: then an empty table of `schema`, so that its layer is null everywhere. read: a loader of this module, such as
+    read_rollup_hours, whose rows have that schema; without it, Parquet."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return read(spark, path) if read else spark.read.schema(schema).parquet(path)
 
 
 def columns_of(rows: DataFrame, table: str) -> DataFrame:

@@ -182,6 +182,12 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         V.read_blocks(spark, str(tmp_path / "none.csv"))
     assert V.optional(spark, str(tmp_path / "none.parquet"), V.BRIDGE_SCHEMA).count() == 0
+    kind = "chain string, hour long, block_count long, size_avg double, gas_avg double, basefee_avg double"
+    kind = spark.createDataFrame([], kind).schema
+    assert V.optional(spark, str(tmp_path / "none.csv"), kind, V.read_rollup_hours).columns == kind.fieldNames()
+    (tmp_path / "hours.csv").write_text("window_start,block_count,avg_size,avg_gas_used,avg_basefee_gwei\n2024-06-20 16:00:00 UTC,3,1.0,2.0,3.0\n")
+    there = V.optional(spark, str(tmp_path / "hours.csv"), kind, V.read_rollup_hours)
+    assert there.columns == kind.fieldNames() and there.count() == 1
     V.write_csv(spark.range(2), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
     V.write_csv(spark.range(0), str(tmp_path / "empty"))
