@@ -22,9 +22,8 @@ from .common import discard, materialize, parts_of, small_batches, spread_join,
 #: The content's root holds this share of the different texts of a host at least.
 ROOT_SHARE = 0.95
 
-#: A node is constant if its slot has one text, on half of the host's pages at least, and if pages of so many different main texts say so:
-#: what two pages share may be a passage that one has from the other.
-AGREE = 3
+#: A node is constant if its slot has one text, and pages of so many different main texts say so: what near-copies share is theirs.
+AGREE = 2
 
 #: A character of a heading weighs as much as so many others: a title is short, but its article's own.
 HEADING = 8
@@ -55,6 +54,7 @@ _MAYBE = set("aside banner promo promotion notice notices alert popup modal over
 _COMMENT = set("comment comment-body reply".split())
 
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NUMBER = re.compile(r"\d{3}")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PLAIN = re.compile(r"[^>\"']*")
 
@@ -65,15 +65,16 @@ _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 class Node:
     """An element: tag, words (of class, id and role), and children that are nodes or texts."""
 
-    __slots__ = ("tag", "words", "children")
+    __slots__ = ("tag", "said", "words", "children")
 
-    def __init__(self, tag: str, words: tuple = ()):
-        self.tag, self.words, self.children = tag, words, []
+    def __init__(self, tag: str, said: tuple = ()):
+        self.tag, self.said, self.children = tag, said, []
+        self.words = {re.sub(r"[-_]?\d+$", "", w) for w in said} if said else said
 
     @property
     def name(self) -> str:
-        """The name by which trees align: body and html by their tag alone, as their classes describe the page."""
-        return self.tag if self.tag in ("html", "body") or not self.words else f"{self.tag}.{'.'.join(w for w in self.words if not any(c.isdigit() for c in w))}"
+        """The name by which trees align: body and html by their tag alone, as their classes describe the page, and without numbers of three digits, which count pages."""
+        return self.tag if self.tag in ("html", "body") or not self.said else f"{self.tag}.{'.'.join(w for w in self.said if not _NUMBER.search(w))}"
 
 
 class _Scanner:
@@ -164,7 +165,6 @@ def parse(source: str) -> Node:
         words = ()
         if attributes:
             words = tuple(sorted({w.lower() for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in (a or b or c).split()}))
-            words = tuple(re.sub(r"[-_]?\d+$", "", w) for w in words)
         node = Node(tag, words)
         stack[-1].children.append(node)
         if tag in _RAW:
@@ -253,7 +253,7 @@ def blocks(root: Node, marks: bool = True) -> list[Block]:
         elif x.tag in _RAW:
             continue
         else:
-            words = set(x.words) if marks and x.words and x.tag not in ("html", "body") and x.tag not in _HEADING else ()
+            words = x.words if marks and x.words and x.tag not in ("html", "body") and x.tag not in _HEADING else ()
             most = 2 * sizes[id(x)] > whole
             main = marks and not (words and words & _COMMENT) and (x.tag in ("article", "main") or "main" in x.words and words and words.isdisjoint(_WORDS))
             aside = marks and (x.tag in _ASIDE or not main and not most and (x.tag == "form" or bool(words) and not words.isdisjoint(_WORDS)) or x.tag == "header" and not state[5])
@@ -311,9 +311,9 @@ def _count(batches, marks: bool = True):
             rows: dict = {}
             for source, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), strict=True):
                 found = blocks(parse(source or ""), marks)
-                # The longest blocks stand for the main text: pages that have them from one another count once.
-                longest = sorted((b.text for b in found if not b.aside and not b.maybe), key=lambda t: (len(t), t))[-3:]
-                bit = 1 << (_hash(*longest) % 62)
+                # The longest block stands for the main text: pages that have it from one another count once.
+                own = (b.text for b in found if not b.aside and not b.maybe)
+                bit = 1 << (_hash(max(own, key=lambda t: (len(t), t), default="")) % 62)
                 page = rows.setdefault((host, None, None), [0, 0, 0, None])
                 page[1], page[2] = page[1] + 1, page[2] | bit
                 once = set()
@@ -340,18 +340,18 @@ def _count(batches, marks: bool = True):
 def wrappers(pages: DataFrame, marks: bool = True) -> DataFrame:
     """(host, n, kinds, root, constant) of all hosts: their pages, at least how many with a different main text, the slot of the content's root (null: none), and the constant nodes.
 
-    Counts are over all pages and merge within map tasks, so a hot host is dealt over many tasks. A wrapper is no larger
-    than a few pages: its nodes are each on half of the host's pages. What comes out does not depend on the order of rows.
+    Counts are over all pages and merge within map tasks, so a hot host is dealt over many tasks. A wrapper has a node for a
+    slot at most, and grows with the layouts of a host, not with its pages. What comes out does not depend on the order of rows.
     """
     seen = pages.select(_host("url").alias("host"), "html").mapInArrow(lambda batches: _count(batches, marks), "host string, slot long, node long, length long, times long, seen long, above array<struct<depth: int, slot: long>>")
     counts = materialize(seen.groupBy("host", "slot", "node").agg(F.max("length").alias("length"), F.sum("times").alias("times"), F.bit_or("seen").alias("seen"), F.max("above").alias("above")))
     n = counts.filter("slot is null").select("host", F.col("times").alias("n"), F.bit_count("seen").alias("kinds"))
-    texts = counts.filter("node is not null").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("texts"), F.sum("length").alias("length"), F.max("node").alias("node"), F.max("times").alias("times"), F.bit_or("seen").alias("seen"))
+    texts = counts.filter("node is not null").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("texts"), F.sum("length").alias("length"), F.max("node").alias("node"), F.bit_or("seen").alias("seen"))
     texts = materialize(texts.join(counts.filter("node is null and slot is not null").select("host", "slot", "above"), ["host", "slot"]))
     total = texts.groupBy("host").agg(F.sum("length").alias("total"))
     held = texts.select("host", "length", F.explode("above").alias("x")).groupBy("host", "x.depth", "x.slot").agg(F.sum("length").alias("held"))
     roots = held.join(total, "host").filter((F.col("held") > 0) & (F.col("held") >= ROOT_SHARE * F.col("total"))).groupBy("host").agg(F.max(F.struct("depth", "held", "slot"))["slot"].alias("root"))
-    same = texts.join(n, "host").filter((F.col("texts") == 1) & (2 * F.col("times") >= F.col("n")) & (F.bit_count("seen") >= AGREE))
+    same = texts.filter((F.col("texts") == 1) & (F.bit_count("seen") >= AGREE))
     constant = same.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("constant"))
     out = materialize(n.join(roots, "host", "left").join(constant, "host", "left"))
     discard(counts)

