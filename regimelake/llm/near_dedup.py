@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, group_of, likely, materialize, mix, seeds, small_batches, spread_join, table, text_slices
+from .common import Words, components, group_of, likely, materialize, mix, parts_of, seeds, small_batches, spread_join, table, text_slices
 
 #: A signature has COORDINATES values, each of ROWS minhashes together; pairs that agree in MATCHES go on.
 #: At similarity s one coordinate agrees with probability s**3; at 0.8 a pair has fewer than 4 of 32
@@ -127,74 +127,117 @@ def _led(n: int, one, many) -> list[tuple[int, int]]:
     return links + many(np.flatnonzero(group != largest), np.arange(n))
 
 
-def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many coordinates each row of `a` collides with each of `b`."""
-    same = np.zeros((len(a), len(b)), np.int8)
-    for c in range(COORDINATES):
-        same += a[:, c : c + 1] == b[None, :, c]
-    return same
-
-
-def _many_agreeing(sig: np.ndarray):
-    def many(left, right):
-        pairs = []
-        for at in range(0, len(left), 256):
-            i, j = np.nonzero(_agreements(sig[left[at : at + 256]], sig[right]) >= MATCHES)
-            i, j = left[at + i], right[j]
-            keep = i != j
-            pairs += _span(zip(i[keep].tolist(), j[keep].tolist(), strict=True), np.arange(len(sig)))
-        return pairs
-
-    return many
+class Postings:
+    """Members posted under each coordinate and value of their signatures, in one sorted array; members are numbers below n."""
+
+    def __init__(self, sig: np.ndarray):
+        self.n = len(sig)
+        self.lists = np.unique(sig, return_inverse=True)[1].reshape(sig.shape).astype(np.int64)
+        self.entries = np.sort((self.lists * self.n + np.arange(self.n)[:, None]).ravel())
+
+    def seek(self, lists: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The first member from `target` on in each list, found by binary search; n at a list's end."""
+        base = lists * self.n
+        at = np.searchsorted(self.entries, base + target)
+        found = self.entries[np.minimum(at, len(self.entries) - 1)] - base
+        return np.where((at < len(self.entries)) & (found < self.n), found, self.n)
+
+    def count(self, member: int) -> np.ndarray:
+        """How often each member stands in the lists of one of them: its collisions, itself included."""
+        base = self.lists[member] * self.n
+        begin, end = np.searchsorted(self.entries, base), np.searchsorted(self.entries, base + self.n)
+        return np.bincount(np.concatenate([self.entries[i:j] - k for i, j, k in zip(begin, end, base, strict=True)]), minlength=self.n)
+
+    def merge(self, queries: np.ndarray, start: np.ndarray, close, skip: np.ndarray):
+        """Pairs of a query and a member from its `start` on that meet in MATCHES lists of the query and are close(i, j).
+
+        The lists are read in step. A member below the MATCHES-th smallest front stands in fewer lists than
+        MATCHES, so all lists skip to that front; where MATCHES fronts are equal, their member is a pair,
+        and the query goes on at skip[member]: the members before that are linked with it.
+        """
+        left, right = [], []
+        lists, target = self.lists[queries], start.astype(np.int64)
+        front = self.seek(lists, target[:, None])
+        while len(queries):
+            low = np.partition(front, MATCHES - 1, axis=1)[:, :MATCHES]
+            least = low[:, MATCHES - 1]
+            on = least < self.n
+            queries, lists, target, front, low, least = (x[on] for x in (queries, lists, target, front, low, least))
+            if not len(queries):
+                break
+            met = low.min(axis=1) == least
+            linked = met & close(queries, least)
+            left.append(queries[linked])
+            right.append(least[linked])
+            target = np.where(linked, skip[least], np.where(met, least + 1, least))
+            row, column = np.nonzero(front < target[:, None])
+            front[row, column] = self.seek(lists[row, column], target[row])
+        return np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _colliding(sig: np.ndarray, size: np.ndarray, percent: int, long_lists=()) -> list[tuple[int, int]]:
+    """Links with the same components as all pairs of MATCHES collisions whose sizes can be similar.
+
+    Members of `long_lists` are led first: a leader's lists are counted, and its tree takes what collides
+    with it. Members are then ordered by tree, so that a query skips its own tree and, once it is linked with
+    a member of another, the rest of that one.
+    """
+    if not len(sig):
+        return []
+    everyone = np.arange(len(sig))
+    tree, taken, links, posted = everyone.copy(), np.zeros(len(sig), bool), [], Postings(sig)
+
+    def close(i, j):
+        return 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+
+    for members in long_lists:
+        for _ in range(LEADERS):
+            free = members[~taken[members]]
+            if not len(free):
+                break
+            mine = np.flatnonzero((posted.count(free[0]) >= MATCHES) & close(free[0], everyone) & ~taken)
+            taken[mine], tree[mine] = True, free[0]
+            links += [(int(free[0]), j) for j in mine.tolist() if j != free[0]]
+    order = np.argsort(tree, kind="stable")
+    in_order = tree[order]
+    end = np.searchsorted(in_order, in_order, "right")
+    if links:
+        posted, size = Postings(sig[order]), size[order]
+    i, j = posted.merge(everyone, end, close, end)
+    return links + list(zip(order[i].tolist(), order[j].tolist(), strict=True))
 
 
 def _agreeing(key, rows: pd.DataFrame) -> pd.DataFrame:
     """Links of a part of a long posting list: rows of `side` 0 with all, as a spanning forest."""
-    ids = rows["id"].to_numpy()
-    sig = np.stack(rows["signature"].to_numpy())
-    side = rows["side"].to_numpy()
-    pairs = _many_agreeing(sig)(np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if len(rows) else []
-    return pd.DataFrame(_span(pairs, ids), columns=["a", "b"], dtype="int64")
+    if not len(rows):
+        return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+    # Rows of side 0 come first, so that each of them is merged with all of side 1.
+    rows = rows.sort_values("side", kind="stable")
+    n = int((rows["side"] == 0).sum())
+    posted = Postings(np.stack(rows["signature"].to_numpy()))
+    i, j = posted.merge(np.arange(n), np.full(n, n), lambda i, j: np.ones(len(i), bool), np.arange(1, len(rows) + 1))
+    return pd.DataFrame(_span(zip(i.tolist(), j.tolist(), strict=True), rows["id"].to_numpy()), columns=["a", "b"], dtype="int64")
 
 
 def _agreeing_lists(percent: int):
-    """Pairs that meet in posting lists and agree, as one spanning forest of all lists of the group.
+    """Pairs that meet in posting lists and collide often enough, as one spanning forest of all lists of the group.
 
-    Lists are merged from short to long; a pair that shorter lists have already linked, directly or by way of
-    others, is skipped, and so are pairs whose sizes cannot be similar.
+    The lists of the group bring the members together; their collisions are counted along the lists of all
+    coordinates of these members.
     """
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["value", "id"])
-        ids, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
-        sig = np.stack(rows["signature"].to_numpy())
-        size = rows["n_shingles"].to_numpy()
+        ids, first, place = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
+        if not len(ids):
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        sig = np.stack(rows["signature"].to_numpy()[first])
+        size = rows["n_shingles"].to_numpy()[first]
         value = rows["value"].to_numpy()
         begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        length = np.diff(np.r_[begin, len(value)])
-        parent: dict[int, int] = {}
-        for n in np.unique(length[length <= 64]).tolist():
-            lists = begin[length == n]
-            tree = np.arange(len(ids))
-            for x in parent:
-                tree[x] = _root(parent, x)
-            # Members i and i + step of all lists of n members are compared at once.
-            for step in range(1, n):
-                i = (lists[:, None] + np.arange(n - step)).ravel()
-                j = i + step
-                near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-                near &= tree[place[i]] != tree[place[j]]
-                i, j = i[near], j[near]
-                same = np.zeros(len(i), np.int8)
-                for c in range(COORDINATES):
-                    same += sig[i, c] == sig[j, c]
-                i, j = place[i[same >= MATCHES]], place[j[same >= MATCHES]]
-                _grow(parent, zip(i.tolist(), j.tolist(), strict=True))
-        for a, n in zip(begin[length > 64].tolist(), length[length > 64].tolist(), strict=True):
-            own, here = sig[a : a + n], place[a : a + n]
-            links = _led(n, lambda i, js, own=own: _agreements(own[i : i + 1], own[js])[0] >= MATCHES, _many_agreeing(own))
-            _grow(parent, ((here[i], here[j]) for i, j in links))
-        return pd.DataFrame([(int(ids[i]), int(ids[j])) for i, j in _stars(parent)], columns=["a", "b"], dtype="int64")
+        lists = [m for m in np.split(place, begin[1:]) if len(m) > 64]
+        links = _colliding(sig, size, percent, sorted(lists, key=len, reverse=True))
+        return pd.DataFrame(_span(links, ids), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -287,6 +330,33 @@ def _sets(batches, size: int):
             yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "cluster": rows.column("cluster"), "members": rows.column("members"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
+def _entries(batches):
+    for batch in batches:
+        for rows in parts_of(batch, "shingles"):
+            sets = [np.frombuffer(x, np.int64) for x in rows.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            own, cluster = (np.repeat(rows.column(c).to_numpy(), n) for c in ("own", "cluster"))
+            yield pa.RecordBatch.from_pydict({"own": own, "cluster": cluster, "shingle": np.concatenate(sets)})
+
+
+def _within_reach(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of those clusters that have unlinked rows, without unlinked rows that no other row can be similar to.
+
+    Shingles that no other row of the cluster has can't be common to two: what is left of a set bounds its
+    intersections, and a partner has at least percent/100 of its size and that of the cluster's smallest
+    set. Only shingles that one row alone has go by row, so common ones are counted where they are.
+    """
+    partly = materialize(rows.groupBy("cluster").agg(F.count_if(~F.col("linked")).alias("rest"), F.count(F.lit(1)).alias("n")).filter("rest > 0").drop("rest"))
+    met = materialize(spread_join(rows, partly, ["cluster"], ["id"]).withColumn("own", F.xxhash64("id", "shingles")))
+    least = met.groupBy("cluster").agg(F.min(F.length("shingles") / 8).cast("long").alias("least"), F.count(F.lit(1)).alias("n"))
+    held = met.select("own", "cluster", "shingles").mapInArrow(_entries, "own long, cluster long, shingle long").groupBy("cluster", "shingle")
+    alone = held.agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own")).filter("n = 1").groupBy("own").agg(F.count(F.lit(1)).alias("alone"))
+    sized = spread_join(met.join(alone, "own", "left"), materialize(least), ["cluster"], ["id"]).withColumn("size", (F.length("shingles") / 8).cast("long"))
+    shared = F.col("size") - F.coalesce("alone", F.lit(0))
+    enough = 100 * (100 + percent) * shared >= percent * (100 * F.col("size") + F.greatest(100 * F.col("least"), percent * F.col("size")))
+    return sized.filter(F.col("linked") | enough).select(rows.columns)
+
+
 def _rest_with_all(rows: DataFrame, key: str) -> DataFrame:
     """Blocks (key, i, j, side) in which the rows that are not `linked` meet all rows of their key; nothing where all are linked.
 
@@ -320,11 +390,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     follows. Representatives are posted under each coordinate and value; values that only one has are
     skipped, a document with fewer than MATCHES other ones too. Of what is left, ordered from rare to
     frequent, all but the last MATCHES - 1 form its prefix: pairs with MATCHES agreements meet in their
-    prefixes. Lists are merged many at a time, from short to long: a pair's collisions are counted unless
-    it is linked already. In lists of over 64, and in candidate clusters when links are confirmed, members
-    are held against a few leaders first, and only what these leave meets all; lists and clusters of over
-    BLOCK do so with their first member, and in blocks. All return spanning forests of their links, never
-    all pairs. Only a convergence flag reaches the driver. An empty table gives an empty one; long texts are
+    prefixes. Prefix lists deal members to tasks, many lists to each. There a member's lists, of all its
+    coordinates, are merged in step: they skip by binary search to the first member that MATCHES of them can
+    still hold, and beyond trees of members that are linked already. In lists of over 64, and in candidate
+    clusters when links are confirmed, members are held against a few leaders first, and only what these
+    leave meets all; lists and clusters of over BLOCK do so with their first member, and in blocks, clusters
+    after rows with too many shingles of their own are ruled out. All return spanning forests of their
+    links, never all pairs. Only a convergence flag reaches the driver. An empty table gives an empty one; long texts are
     whole; columns beside doc_id and text take no part.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -359,7 +431,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     large = _from_first(sets.filter(F.col("members") > BLOCK), "cluster", "shingles")
     large = materialize(large.select("id", "cluster", "members", "shingles", "first_id", "first_shingles").mapInArrow(lambda it: _with_first(it, percent), "id long, cluster long, members long, shingles binary, first_id long, linked boolean"))
     links = links.unionByName(large.filter("linked and id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")))
-    links = links.unionByName(_rest_with_all(large, "cluster").groupBy("cluster", "i", "j").applyInPandas(_confirm_rest(percent), "a long, b long"))
+    links = links.unionByName(_rest_with_all(materialize(_within_reach(large, percent)), "cluster").groupBy("cluster", "i", "j").applyInPandas(_confirm_rest(percent), "a long, b long"))
     linked = components(materialize(links))
     named = reps.join(linked, "id", "left").select("one", "two", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
