@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -172,16 +174,23 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(e, e.filter("vec_id % 20 = 0"))
 
 
-# ---- approximate nearest neighbours ------------------------------------------------------------
+# ---- nearest neighbours by an inverted file ----------------------------------------------------
 
 #: Vectors that centroids and codebooks are fitted on at most, and those of them that measure the recall of probing.
 SAMPLE, TRIALS = 16_384, 200
 
-#: Share of the sample's true neighbours that probed lists must hold; candidates of a query reranked exactly, as a multiple of k.
-TARGET, RERANK = 0.97, 8
+#: Share of the sample's true neighbours that the lists probed first must hold. They only set the bar; lists that can reach it follow.
+TARGET = 0.97
+
+#: Queries that are scored at a time, and components of the vectors that are multiplied exactly at a time.
+TABLES, PRODUCTS = 256, 1 << 20
+
 
-#: Queries whose distance tables are held at a time.
-TABLES = 64
+def _norm(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, without overflow or underflow of squares."""
+    most = np.abs(x).max(1, initial=0)
+    safe = np.where(most > 0, most, 1)
+    return most * np.sqrt(((x / safe[:, None]) ** 2).sum(1))
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -196,179 +205,216 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids, codebooks of residuals, and how many lists to probe."""
+    """Coarse centroids, codebooks of the residuals' directions, and how many lists to probe first.
+
+    A residual is a length and a direction, whose components are coded two by two, so that tight groups are
+    told apart as well as wide ones and any number of dimensions has fine codes.
+    """
 
     def __init__(self, sample: np.ndarray, lists: int, k: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.coarse = _kmeans(sample, lists, rng)
-        self.parts = next(p for p in (32, 16, 8, 4, 2, 1) if sample.shape[1] % p == 0)
-        rest = (sample - self.coarse[self.nearest(sample)]).reshape(len(sample), self.parts, -1)
-        self.books = [_kmeans(rest[:8192, p], 256, rng) for p in range(self.parts)]
-        trial = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
-        near = sample[trial] @ sample.T
-        near[np.arange(len(trial)), trial] = -np.inf  # the row itself, wherever it ranks
-        true = np.argsort(-near, 1)[:, : min(k, len(sample) - 1)]
-        home = self.nearest(sample)
-        place = np.argsort(np.argsort(-(sample[trial] @ self.coarse.T), 1), 1)
+        with np.errstate(all="ignore"):
+            self.coarse = _kmeans(sample, lists, rng)
+            self.dims, self.parts = sample.shape[1], -(-sample.shape[1] // 2)
+            home = self.nearest(sample)
+            ways = self._pairs(sample - self.coarse[home])[1][: max(1024, 8192 * 32 // self.parts)]
+            self.books = [_kmeans(ways[:, p], 256, rng) for p in range(self.parts)]
+            trial = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
+            near = sample[trial] @ sample.T
+            near[np.arange(len(trial)), trial] = -np.inf  # the row itself, wherever it ranks
+            true = np.argsort(-near, 1)[:, : min(k, len(sample) - 1)]
+            place = np.argsort(np.argsort(-(sample[trial] @ self.coarse.T), 1), 1)
         ranks = np.take_along_axis(place, home[true], 1)
         self.probes = int(np.quantile(ranks, TARGET)) + 1 if ranks.size else 1
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.coarse**2).sum(1) - 2 * x @ self.coarse.T, 1)
 
-    def encode(self, x: np.ndarray):
-        home = self.nearest(x)
-        rest = (x - self.coarse[home]).reshape(len(x), self.parts, -1)
-        codes = [np.argmin((b**2).sum(1) - 2 * rest[:, p] @ b.T, 1) for p, b in enumerate(self.books)]
-        return home, np.stack(codes, 1).astype(np.uint8)
-
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """For each query, part and code the inner product of the query's part with that code."""
-        q = queries.reshape(len(queries), self.parts, -1)
-        width = max(map(len, self.books))
-        return np.stack([np.pad(q[:, p] @ b.T, ((0, 0), (0, width - len(b)))) for p, b in enumerate(self.books)], 1)
+    def _pairs(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The residuals' lengths, and their directions in pairs of components."""
+        along = _norm(rest)
+        ways = np.zeros((len(rest), 2 * self.parts))
+        np.divide(rest, along[:, None], out=ways[:, : self.dims], where=along[:, None] > 0)
+        return along, ways.reshape(len(rest), self.parts, 2)
 
+    def encode(self, x: np.ndarray):
+        """(list, codes, residual's length, distance from the decoded vector at most, distance from the centroid at most) of each row."""
+        with np.errstate(all="ignore"):
+            home = self.nearest(x)
+            along, ways = self._pairs(x - self.coarse[home])
+            codes = [np.argmin((b**2).sum(1).astype(np.float32) - 2 * ways[:, p].astype(np.float32) @ b.T.astype(np.float32), 1) for p, b in enumerate(self.books)]
+            codes = np.stack(codes, 1).astype(np.uint8)
+            close = self.decode(home, codes, along)
+            # What doubles round in a vector's products is far under a trillionth of its length.
+            slack = 1e-12 * (_norm(x) + _norm(close) + _norm(self.coarse)[home])
+            return home, codes, along, _norm(x - close) * (1 + 1e-9) + slack, along * (1 + 1e-9) + slack
+
+    def decode(self, home: np.ndarray, codes: np.ndarray, along: np.ndarray) -> np.ndarray:
+        ways = np.stack([b[codes[:, p]] for p, b in enumerate(self.books)], 1).reshape(len(codes), -1)
+        return self.coarse[home] + along[:, None] * ways[:, : self.dims]
+
+
+class _Codes:
+    """A shard's rows ordered by list, decoded, and queries' scores of them within bounds."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame):
+        self.rows = rows.sort_values(["list", "id"], kind="stable")
+        self.ids, self.lists, self.error = self.rows["id"].to_numpy(np.int64), self.rows["list"].to_numpy(np.int64), self.rows["error"].to_numpy(np.float64)
+        codes = np.frombuffer(b"".join(self.rows["codes"]), np.uint8).reshape(-1, index.parts)
+        with np.errstate(all="ignore"):
+            self.close = index.decode(self.lists, codes, self.rows["along"].to_numpy(np.float64))
+        self.begin = np.flatnonzero(np.r_[True, self.lists[1:] != self.lists[:-1]])
+        self.end = np.r_[self.begin[1:], len(self.lists)]
+
+    def scores(self, left: pd.DataFrame):
+        """(first query, queries' vectors, scores of the decoded rows, how far the true ones can be off, which rows are candidates), some queries at a time.
+
+        Candidates are the rows of lists that a query asks for, but for its own.
+        """
+        asked, own, here = left["lists"].to_numpy(), left["id"].to_numpy(np.int64), self.lists[self.begin]
+        for at in range(0, len(left), TABLES):
+            q = np.stack(left["v"].iloc[at : at + TABLES].to_numpy())
+            wants = np.stack([np.isin(here, x) for x in asked[at : at + TABLES]])
+            scores = np.full((len(q), len(self.ids)), -np.inf)
+            with np.errstate(all="ignore"):
+                for i, (a, b) in enumerate(zip(self.begin.tolist(), self.end.tolist(), strict=True)):
+                    some = np.flatnonzero(wants[:, i])
+                    if len(some):
+                        scores[some, a:b] = q[some] @ self.close[a:b].T
+                off = _norm(q)[:, None] * self.error
+            there = np.repeat(wants, self.end - self.begin, 1) & (own[at : at + TABLES, None] != self.ids)
+            yield at, q, scores, off, there
 
-def _bins(scores: np.ndarray) -> np.ndarray:
-    """Numbers that rise with the scores: single-precision ones without their last 12 bits, so a bin is a fraction of a thousandth wide."""
-    bits = np.ascontiguousarray(scores, np.float32).view(np.int32)
-    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits) >> 12
 
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows of the largest inner product with each query, found by bounds on codes.
 
-def _table_scores(index: Index, left: pd.DataFrame, lists: np.ndarray, codes: np.ndarray):
-    """(rows of `left`, their scores of all candidates): by each query's distance tables, minus infinity in lists that it doesn't probe.
+    Centroids and codebooks are fitted on the SAMPLE rows of the smallest hash of their id; every row is
+    indexed by its list and the codes of its residual, with its distance from what these decode to. By Cauchy
+    and Schwarz a score differs from that of the decoded vector by this distance times the query's length at
+    most. First a query probes as many lists as hold TARGET of the true neighbours of TRIALS sample rows, and
+    more where these hold fewer than k others; every shard gives the lower bounds at a few ranks, each twice
+    the one before, and these are merged for each query into a bar that k rows reach for certain. Then all lists
+    whose centroid and radius allow a score at the bar are visited, and the rows whose upper bound is at the bar
+    or over it, and only those, are scored on the vectors. So no neighbour is missed whatever the rows are;
+    what the fit decides is how many lists and rows the bounds rule out. Small lists share a shard, long ones
+    are cut into several, each of about BLOCK rows. `report` is given the number of lists and of those probed first.
 
-    lists and codes are those of the candidates, ordered by list.
+    A query's own row is no candidate. Vectors that are null, empty, zero or hold null or non-finite
+    components take no part; those of different lengths never meet, each length has an index of its own.
+    Repeated ids are separate candidates; of equal vectors the smaller ids come first. No valid row gives an
+    empty result.
     """
-    begin = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-    end = np.r_[begin[1:], len(lists)]
-    probed = left["lists"].to_numpy()
-    vectors = np.stack(left["v"].to_numpy())
-    for at in range(0, len(left), TABLES):
-        q = vectors[at : at + TABLES]
-        tables, coarse = index.tables(q).astype(np.float32), (q @ index.coarse.T).astype(np.float32)
-        scores = np.full((len(q), len(lists)), -np.inf, np.float32)
-        asked = [set(np.asarray(x).tolist()) for x in probed[at : at + TABLES]]
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            here = int(lists[a])
-            some = np.array([i for i, x in enumerate(asked) if here in x], np.int64)
-            if len(some):
-                total = np.repeat(coarse[some, here][:, None], b - a, 1)
-                for p in range(index.parts):
-                    total += np.take(tables[some, p], codes[a:b, p], axis=1)
-                scores[some, a:b] = total
-        yield at, scores
+    c, q = _finite(rows, id_, vector, True), _finite(queries, id_, vector, True)
+    lengths = sorted(r["n"] for r in c.select(F.size("v").alias("n")).distinct().collect())  # one row a length of vectors
+    found = [_search(c.filter(F.size("v") == n), q.filter(F.size("v") == n), k, report) for n in lengths]
+    if not found:
+        return _best(rows.sparkSession.createDataFrame([], FOUND), k, "double")
+    return _best(functools.reduce(DataFrame.unionByName, found), k, "double")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", report: dict | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): about the k rows of the largest inner product with each query.
+FOUND = "query_id long, vec_id long, score double"
 
-    Centroids and codebooks are fitted on the SAMPLE rows of the smallest hash of their id; every row is
-    indexed. As many lists are probed as hold TARGET of the true neighbours of TRIALS sample rows, and more
-    for a query where these hold fewer than k others. Small lists share a shard, long ones are cut into
-    several, each of about BLOCK rows. First every shard ranks its codes by the queries' distance tables and
-    gives the scores at a few ranks, each twice the one before; these are merged for each query into a bar
-    that RERANK * k rows reach at least. Then the rows at the bar or over it, and only those, are scored exactly on the vectors. `report` is given the
-    number of lists and of probed ones.
 
-    A query's own row is no candidate. Vectors that are null, empty, zero or hold null or non-finite
-    components take no part, nor those of another length than the sample's commonest. Repeated ids are separate candidates;
-    of equal vectors the smaller ids come first. No valid row gives an empty result.
-    """
-    spark = rows.sparkSession
-    c = _finite(rows, id_, vector, True)
-    total = c.count()
+def _search(c: DataFrame, q: DataFrame, k: int, report: dict | None) -> DataFrame:
+    """(query_id, vec_id, score) of each shard's k best at most, among them all of the k best; c and q are (id, v), all of one length."""
+    spark = c.sparkSession
     sample = c.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    schema = "query_id long, vec_id long, score double"
-    if not len(sample):
-        return _best(spark.createDataFrame([], schema), k, "double")
-    size = int(sample["v"].map(len).mode()[0])
-    index = Index(np.stack(sample["v"][sample["v"].map(len) == size].to_numpy()), max(1, min(1024, round(total**0.5 / 4))), k)
-    wide, most = index.parts, RERANK * k
-    steps = np.unique(np.minimum(most, np.maximum(1, k // 4) << np.arange(most.bit_length())))
+    index = Index(np.stack(sample["v"].to_numpy()), max(1, min(1024, round(c.count() ** 0.5 / 4))), k)
+    steps = np.unique(np.minimum(k, np.maximum(1, k // 4) << np.arange(k.bit_length())))
 
     def assign(batches):
         for pdf in batches:
-            home, codes = index.encode(np.stack(pdf["v"].to_numpy())) if len(pdf) else (np.zeros(0, int), np.zeros((0, wide), np.uint8))
-            yield pdf.assign(list=home, codes=[x.tobytes() for x in codes])
+            if len(pdf):
+                home, codes, along, error, reach = index.encode(np.stack(pdf["v"].to_numpy()))
+                yield pdf.assign(list=home, codes=[x.tobytes() for x in codes], along=along, error=error, reach=reach)
 
-    held = materialize(c.filter(F.size("v") == size).mapInPandas(assign, "id long, v array<double>, list long, codes binary"))
-    sizes = np.zeros(len(index.coarse), np.int64)
-    for r in held.groupBy("list").count().collect():  # one row a list, 1,024 at most
-        sizes[r["list"]] = r["count"]
+    held = materialize(c.mapInPandas(assign, "id long, v array<double>, list long, codes binary, along double, error double, reach double"))
+    sizes, radius = np.zeros(len(index.coarse), np.int64), np.zeros(len(index.coarse))
+    for r in held.groupBy("list").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect():  # one row a list, 1,024 at most
+        sizes[r["list"]], radius[r["list"]] = r["n"], r["reach"]
     first, parts = _shards(sizes)
     placed = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts, strict=True))], "list long, first int, parts int")
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    n = max(1, -(-q.count() // QUERY_BLOCK))
     held = held.join(F.broadcast(placed), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if report is not None:
         report |= {"lists": len(index.coarse), "probes": index.probes, "rows": int(sizes.sum())}
 
+    def by_shard(lists) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for j in lists:
+            for part in range(parts[j]):
+                out.setdefault(int(first[j]) + part, []).append(j)
+        return out
+
     def probe(batches):
         for pdf in batches:
             out = []
             if len(pdf):
                 near = np.argsort(-(np.stack(pdf["v"].to_numpy()) @ index.coarse.T), 1, kind="stable")
                 enough = np.maximum((np.cumsum(sizes[near], 1) < k + 1).sum(1) + 1, index.probes)
-                for own, v, x, m in zip(pdf["id"], pdf["v"], near, enough, strict=True):
-                    by_shard: dict[int, list[int]] = {}
-                    for j in x[:m].tolist():
-                        for part in range(parts[j]):
-                            by_shard.setdefault(int(first[j]) + part, []).append(j)
-                    out += [(own, v, shard, js) for shard, js in by_shard.items()]
-            yield pd.DataFrame(out, columns=["id", "v", "shard", "lists"])
-
-    asked = _finite(queries, id_, vector, True).filter(F.size("v") == size).mapInPandas(probe, "id long, v array<double>, shard int, lists array<long>")
-    asked = materialize(asked.withColumn("qb", group_of(n, "id").cast("int")))
-
-    def candidates(right: pd.DataFrame):
-        right = right.sort_values(["list", "id"], kind="stable")
-        return right, right["id"].to_numpy(np.int64), right["list"].to_numpy(np.int64), np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(-1, wide)
-
-    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        query, bins, times = [], [], []
+                for own, qb, v, x, m in zip(pdf["id"], pdf["qb"], pdf["v"], near, enough, strict=True):
+                    out += [(own, qb, v, shard, js) for shard, js in by_shard(x[:m].tolist()).items()]
+            yield pd.DataFrame(out, columns=["id", "qb", "v", "shard", "lists"])
+
+    def visit(batches):
+        for pdf in batches:
+            out = []
+            if len(pdf):
+                v = np.stack(pdf["v"].to_numpy())
+                with np.errstate(all="ignore"):
+                    highest = v @ index.coarse.T + _norm(v)[:, None] * radius
+                can = ~(highest < pdf["bar"].to_numpy()[:, None]) & (sizes > 0)
+                for own, qb, x, bar, some in zip(pdf["id"], pdf["qb"], pdf["v"], pdf["bar"], can, strict=True):
+                    out += [(own, qb, x, bar, shard, js) for shard, js in by_shard(np.flatnonzero(some).tolist()).items()]
+            yield pd.DataFrame(out, columns=["id", "qb", "v", "bar", "shard", "lists"])
+
+    def lows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        query, bounds, times = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
-            _, ids, lists, codes = candidates(right)
-            own = left["id"].to_numpy(np.int64)
-            for at, scores in _table_scores(index, left, lists, codes):
-                for i, row in enumerate(scores):
-                    row[ids == own[at + i]] = -np.inf
-                    top = row if len(row) <= most else np.partition(row, len(row) - most)[len(row) - most :]
-                    top = np.sort(top[np.isfinite(top)])[::-1]
-                    # A few ranks tell the shard's counts: so many more rows lie at each bin or over it.
-                    ranks = np.unique(np.minimum(steps, len(top))) if len(top) else steps[:0]
-                    query.append(np.full(len(ranks), own[at + i]))
-                    bins.append(_bins(top[ranks - 1]))
-                    times.append(np.diff(np.r_[0, ranks]))
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"query_id": np.concatenate(none + query), "bin": np.concatenate(none + bins).astype(np.int32), "n": np.concatenate(none + times)})
-
-    seen = asked.groupBy("shard", "qb").cogroup(held.select("id", "list", "codes", "shard", "qb").groupBy("shard", "qb")).applyInPandas(count, "query_id long, bin int, n long")
-    above = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = seen.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("above", F.sum("n").over(above))
-    # The bar of the most common rows: where `most` are reached, else the lowest bin of all.
-    bars = sums.groupBy(F.col("query_id").alias("id")).agg(F.coalesce(F.max(F.when(F.col("above") >= most, F.col("bin"))), F.min("bin")).alias("bar"))
-    asked = asked.join(bars, "id")
+            codes, own = _Codes(index, right), left["id"].to_numpy(np.int64)
+            for at, _, scores, off, there in codes.scores(left):
+                with np.errstate(all="ignore"):
+                    low = np.where(there, scores - off, -np.inf)
+                low[~np.isfinite(low)] = -np.inf  # no bound
+                size = min(k, low.shape[1])
+                top = -np.sort(-np.partition(low, low.shape[1] - size, axis=1)[:, low.shape[1] - size :], axis=1)
+                # A few ranks tell the shard's counts: so many more rows reach each bound.
+                for a, b in zip([0, *steps.tolist()], steps.tolist(), strict=False):
+                    many = np.isfinite(top[:, a:b]).sum(1)
+                    some = np.flatnonzero(many)
+                    query.append(own[at + some])
+                    bounds.append(top[some, a + many[some] - 1])
+                    times.append(many[some])
+        return pd.DataFrame({"query_id": np.concatenate(query), "bound": np.concatenate(bounds), "n": np.concatenate(times)})
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        query, near, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
-            right, ids, lists, codes = candidates(right)
-            vectors, own, bar = np.stack(right["v"].to_numpy()), left["id"].to_numpy(np.int64), left["bar"].to_numpy(np.int64)
-            queries_ = left["v"].to_numpy()
-            for at, scores in _table_scores(index, left, lists, codes):
-                for i, row in enumerate(scores):
-                    row[ids == own[at + i]] = -np.inf
-                    take = np.flatnonzero(np.isfinite(row))
-                    take = take[_bins(row[take]) >= bar[at + i]]
-                    exact = np.concatenate([(vectors[take[j : j + 1024]] * queries_[at + i]).sum(1) for j in range(0, max(len(take), 1), 1024)])
-                    best = _top(ids[take], exact, k)
-                    out.append((np.full(len(best), own[at + i]), ids[take][best], exact[best]))
-        query, near, score = zip(*out, strict=True) if out else ((), (), ())
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"query_id": np.concatenate([*none, *query]), "vec_id": np.concatenate([*none, *near]), "score": np.concatenate([np.zeros(0), *score])})
-
-    found = asked.groupBy("shard", "qb").cogroup(held.select("id", "v", "list", "codes", "shard", "qb").groupBy("shard", "qb")).applyInPandas(rerank, schema)
-    return _best(found, k, "double")
+            codes, own, bar = _Codes(index, right), left["id"].to_numpy(np.int64), left["bar"].to_numpy(np.float64)
+            vectors = np.stack(codes.rows["v"].to_numpy())
+            step = max(1, PRODUCTS // index.dims)
+            for at, q, scores, off, there in codes.scores(left):
+                with np.errstate(all="ignore"):
+                    i, j = np.nonzero(there & ~(scores + off < bar[at : at + len(q), None]))
+                    exact = np.concatenate([np.zeros(0), *((vectors[j[a : a + step]] * q[i[a : a + step]]).sum(1) for a in range(0, len(i), step))])
+                order = np.lexsort((codes.ids[j], -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                query.append(own[at + i[best]])
+                near.append(codes.ids[j[best]])
+                score.append(exact[best])
+        return pd.DataFrame({"query_id": np.concatenate(query), "vec_id": np.concatenate(near), "score": np.concatenate(score)})
+
+    q = materialize(q.withColumn("qb", group_of(n, "id").cast("int")))
+    codes = held.select("id", "list", "codes", "along", "error", "shard", "qb")
+    asked = q.mapInPandas(probe, "id long, qb int, v array<double>, shard int, lists array<long>")
+    seen = asked.groupBy("shard", "qb").cogroup(codes.groupBy("shard", "qb")).applyInPandas(lows, "query_id long, bound double, n long")
+    above = Window.partitionBy("query_id").orderBy(F.desc("bound")).rowsBetween(Window.unboundedPreceding, 0)
+    bars = seen.withColumn("above", F.sum("n").over(above)).filter(F.col("above") >= k).groupBy(F.col("query_id").alias("id")).agg(F.max("bound").alias("bar"))
+    # Where fewer than k rows have a bound, every list and row counts.
+    asked = q.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))).mapInPandas(visit, "id long, qb int, v array<double>, bar double, shard int, lists array<long>")
+    return asked.groupBy("shard", "qb").cogroup(held.select("id", "v", "list", "codes", "along", "error", "shard", "qb").groupBy("shard", "qb")).applyInPandas(rerank, FOUND)
 
 
 def _shards(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -301,6 +301,32 @@ def test_neighbours_over_shards_and_repeated_ids(spark, monkeypatch):
     assert hits >= 0.9 * 20 * 25
 
 
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["near copies", "queries apart", "odd dimensions", "huge and tiny", "two lengths"])
+def test_no_neighbour_is_missed_on_other_rows(spark, kind):
+    rng = np.random.default_rng(6)
+    n, dims = 2000, 13 if kind == "odd dimensions" else 24
+    v = rng.normal(size=(n, dims))
+    if kind in ("near copies", "queries apart"):
+        tight = _unit(_unit(rng.normal(size=(4, dims)))[rng.integers(0, 4, n)] + 0.001 * v)
+        v = tight if kind == "near copies" else np.where((np.arange(n) % 50 == 0)[:, None], _unit(v), tight)
+    if kind == "huge and tiny":
+        v *= 10.0 ** rng.integers(-200, 150, (n, 1))
+    rows = [(i, x[: 10 if kind == "two lengths" and i % 3 else dims].tolist()) for i, x in enumerate(v)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in vectors.nearest_neighbours(e, e.filter("vec_id % 50 = 0")).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for i in range(0, n, 50):
+        others = [(-float((np.array(x) * rows[i][1]).sum()), j) for j, x in rows if j != i and len(x) == len(rows[i][1])]
+        want = sorted(others)[:20]
+        assert [found[i][k + 1][1] for k in range(20)] == pytest.approx([-s for s, _ in want], rel=1e-12)
+        assert {found[i][k + 1][0] for k in range(20)} == {j for _, j in want}
+
+
 def test_sharding_moves_only_into_the_new_shard_and_cuts_hot_slots(spark, tmp_path):
     docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.lit(20).alias("size"), F.lit("x").alias("_part")).repartition(6)
     path = str(tmp_path / "map")
