@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -127,32 +129,105 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, per_pa
         level += 1
 
 
-@functools.lru_cache(maxsize=2)
-def _tokens(path: str):
-    import os
+#: Words of printable ASCII and letters of Latin-1, which the tokenizer only lower-cases, and its pieces of such words in lower case, one to a line.
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9\n]+")
+
+#: Pieces, and other words, of one call of the library.
+AT_ONCE, ODD_AT_ONCE = 500, 2000
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each value first
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+def _spread(chunks: Chunks, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all keys one after another, where each key's ids end); each distinct key is looked up once."""
+    coded = keys.dictionary_encode()
+    index = coded.indices.to_numpy()
+    values = chunks.values([_strings(coded.dictionary)])[0]
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    data = np.frombuffer(b"".join(values), np.uint32)
+    n = size[index]
+    end = np.cumsum(n)
+    return data[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[index] - (end - n), n)], end
+
+
+class _Tokens:
+    """Ids of words as little-endian 32-bit numbers.
+
+    Plain words are cut into their pieces, and each distinct piece is encoded once: many to a call, as a
+    text with spaces between, where the library's ids tell the end of each piece. All other words, and
+    those that may hold a special string, are given to the library as they are.
+    """
 
-    def solve(words: list[str]) -> list[bytes]:
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces, self.words = Chunks(self.of_pieces), Chunks(self.of_words)
+        self.pieces.known["\n"] = b""
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(words), 2000):  # few of the library's result objects at a time
-            out += [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
+        for at in range(0, len(pieces), AT_ONCE):
+            some = pieces[at : at + AT_ONCE]
+            ids = self.encoded([" ".join(some)])[0]
+            end = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(end) != len(some) or end[-1] != 4 * len(ids):  # not a tokenizer that marks ends
+                out += [x.tobytes() for x in self.encoded(some)]
+                continue
+            data, end = ids.tobytes(), end.tolist()
+            out += [data[a:b] for a, b in zip([0, *end], end, strict=False)]
         return out
 
-    return Chunks(solve, 400_000)
+    def of_words(self, words: list[str]) -> list[bytes]:
+        array = pa.array(words, pa.large_string())
+        plain = pc.and_not(pc.match_substring_regex(array, _PLAIN), pc.match_substring(array, "<|"))
+        found = self.of_plain(_strings(array.filter(plain)))
+        if len(found) == len(words):
+            return found
+        odd = _strings(array.filter(pc.invert(plain)))
+        # Few of the library's result objects at a time.
+        others = iter([x.tobytes() for at in range(0, len(odd), ODD_AT_ONCE) for x in self.encoded(odd[at : at + ODD_AT_ONCE])])
+        found = iter(found)
+        return [next(found if p else others) for p in plain.to_pylist()]
+
+    def of_plain(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        pieces = pa.array(_PIECES.findall("\n".join([*words, ""]).lower()), pa.large_string())
+        ids, end = _spread(self.pieces, pieces)
+        line = (4 * end[np.flatnonzero(pc.equal(pieces, "\n").to_numpy(zero_copy_only=False))]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *line], line, strict=False)]
+
+
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> Chunks:
+    return _Tokens(path).words
 
 
-def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
+def token_bytes(path: str, texts: list[str | None] | pa.Array) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
     This tokenizer drops white space and joins nothing across it, so what lies between spaces and line
     feeds is encoded alone, once for each distinct such word.
     """
-    words = [[w for w in (t or "").replace("\n", " ").split(" ") if w] for t in texts]
-    return [b"".join(x) for x in _tokens(path).values(words)]
+    texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    ids, end = _spread(_tokens(path), words.flatten())
+    data, end = ids.tobytes(), (4 * np.r_[0, end][np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy())]]).tolist()
+    return [data[a:b] for a, b in zip(end, end[1:], strict=False)]
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -173,7 +248,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1
         for batch in batches:
             for part in parts_of(batch, text, 1 << 22):
                 rows = []
-                for k, found in zip(part.column(key).to_pylist(), token_bytes(path, part.column(text).to_pylist()), strict=True):
+                for k, found in zip(part.column(key).to_pylist(), token_bytes(path, part.column(text)), strict=True):
                     found += last
                     for i, at in enumerate(range(0, len(found), 4 * capacity)):
                         piece = found[at : at + 4 * capacity]

@@ -215,6 +215,40 @@ def test_pack_keeps_columns_of_any_name(spark):
     assert {(r.id, r._g, r._bin) for r in out.collect()} == {(i, f"m{i}", 7) for i in range(40)} and 10 <= out.select("sequence_id").distinct().count() <= 13
 
 
+def test_packing_ids_equal_the_library_and_pieces_are_encoded_once(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    letters = [*"abtheinsrlTHEÀÉßüñÿ", *"'!?.,$*<|>-_0123456789", "'s", "'LL", "e\u0301", "\u0130", "\u03a3", "²", "×", "\u00aa", "字", "\t", "\x0b", "\x00", "\u00a0", "<|endoftext|>", "<|", "😀"]
+    texts = [None, "", " ", "\n\n", "x" * 5000, *("".join(rng.choice([" ", "\n", "", "", ""]) + rng.choice(letters) for _ in range(rng.randrange(1, 80))) for _ in range(3000))]
+    assert packing.token_bytes(path, texts) == [np.array(library.encode(t or "", add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+
+    given = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, batch, **options):
+            given.extend(batch)
+            return self.inner.encode_batch_fast(batch, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counting)
+    packing._tokens.cache_clear()
+    stems = ["".join(rng.choices("etaoinshr", k=9)) for _ in range(700)]
+    shapes = [" ".join(f(w) for w in stems) for f in (str, str.title, str.upper, "{}.".format, "{},".format, "({})".format, "{}!!".format)]
+    got = packing.token_bytes(path, shapes)
+    packing._tokens.cache_clear()
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in shapes]
+    assert sum(map(len, given)) < 1.2 * sum(map(len, stems))  # each shape as a word of its own would give 7 times as much
+
+
 def test_equal_rows_spread_over_partitions(spark, monkeypatch):
     sizes = []
     real = packing._packer
